@@ -130,3 +130,41 @@ def low_payer_filter(df: DataFrame, p: Params, dim_country: DataFrame, country_c
         return df
     low = dim_country.where(F.col("is_low_payers_country")).select(F.col("country_code").alias("__cc"))
     return df.join(F.broadcast(low), col(country_col) == F.col("__cc"), "left_semi")
+
+
+# --- event predicates ----------------------------------------------------------
+
+def is_click() -> Column:
+    return F.col("event_name") == V.PURCHASE_CLICK
+
+
+def is_continue() -> Column:
+    return (F.col("event_name") == V.PRE_PURCHASE_CLICK) & (F.col("cta_name") == V.CTA_CONTINUE)
+
+
+def is_success() -> Column:
+    return F.col("event_name") == V.PURCHASE_SUCCESSFUL
+
+
+def on(platform: str) -> Column:
+    return F.col("payment_platform") == platform
+
+
+def on_store() -> Column:
+    return F.col("payment_platform").isin(*V.STORES)
+
+
+def apple_ok() -> Column:
+    return on(V.APPLE) & nonempty("purchase_id")
+
+
+def google_ok() -> Column:
+    return on(V.GOOGLEPLAY) & nonempty("google_order_number")
+
+
+def store_ok() -> Column:
+    return apple_ok() | google_ok()
+
+
+def dec0() -> Column:
+    return F.lit(0).cast("decimal(18,2)")

@@ -217,3 +217,262 @@ def all_sql(p: Params | None = None) -> dict[str, str]:
         if name.startswith("sql_") and callable(fn):
             out[name[4:]] = fn(p)
     return out
+
+
+# --- cohort analyses (A30-A45) -------------------------------------------------
+
+def _cohort_users(p: Params, segment: str = "test") -> str:
+    return seg_users_cte(p) + f""",
+cohort_users AS (SELECT distinct_id FROM seg_users WHERE segment = '{segment}')"""
+
+
+def _cohort_ev(p: Params, names=("purchase_click", "pre_purchase_click", "purchase_successful"), start=None) -> str:
+    s = start or p.effective_start
+    return f"""
+cohort_ev AS (
+  SELECT * FROM client_events
+  WHERE date BETWEEN {D(s)} AND {D(p.end)} AND event_name IN ({lst(names)})
+    AND {attr_filters(p, countries=False)}
+    AND distinct_id IN (SELECT distinct_id FROM cohort_users)
+)"""
+
+
+CONT = "event_name = 'pre_purchase_click' AND cta_name = 'continue'"
+SUCC = "event_name = 'purchase_successful'"
+APPLE_OK = "payment_platform = 'apple' AND purchase_id IS NOT NULL AND purchase_id <> ''"
+GOOGLE_OK = "payment_platform = 'googleplay' AND google_order_number IS NOT NULL AND google_order_number <> ''"
+
+
+def cdf(cond: str, idc: str = "funnel_id") -> str:
+    return f"COUNT(DISTINCT CASE WHEN {cond} THEN {idc} END)"
+
+
+def _cohort_funnel_cte(p: Params) -> str:
+    gate = "funnel_id IN (SELECT funnel_id FROM store_continue_funnels)"
+    return _cohort_users(p) + "," + _cohort_ev(p) + f""",
+store_continue_funnels AS (
+  SELECT DISTINCT funnel_id FROM cohort_ev WHERE {CONT} AND payment_platform IN ('apple', 'googleplay')
+),
+funnel AS (
+  SELECT
+    {cdf("event_name = 'purchase_click'")} AS purchase_clicks,
+    {cdf("event_name = 'purchase_click'", "distinct_id")} AS purchase_click_users,
+    {cdf(CONT + " AND payment_platform = 'direct'")} AS direct_continue,
+    {cdf(CONT + " AND payment_platform = 'apple'")} AS apple_continue,
+    {cdf(CONT + " AND payment_platform = 'googleplay'")} AS google_continue,
+    {cdf(SUCC + " AND payment_platform = 'direct'")} AS direct_purchases,
+    {cdf(f"{SUCC} AND {APPLE_OK} AND {gate}")} AS apple_purchases,
+    {cdf(f"{SUCC} AND {GOOGLE_OK} AND {gate}")} AS google_purchases,
+    {money(SUCC + " AND payment_platform = 'direct'")} AS direct_revenue,
+    {money(f"{SUCC} AND {APPLE_OK} AND {gate}")} AS apple_revenue,
+    {money(f"{SUCC} AND {GOOGLE_OK} AND {gate}")} AS google_revenue,
+    {cdf(SUCC + " AND payment_platform = 'direct'", "distinct_id")} AS direct_paying_users,
+    {cdf(f"{SUCC} AND {APPLE_OK} AND {gate}", "distinct_id")} AS apple_paying_users,
+    {cdf(f"{SUCC} AND {GOOGLE_OK} AND {gate}", "distinct_id")} AS google_paying_users
+  FROM cohort_ev
+)"""
+
+
+def sql_cohort_funnel(p: Params) -> str:
+    return with_binding(_cohort_funnel_cte(p)) + "\nSELECT * FROM funnel"
+
+
+def sql_cohort_funnel_summary(p: Params, fee: float = 0.30) -> str:
+    keep = 1.0 - fee
+    srev = "(apple_revenue + google_revenue)"
+    net = f"(direct_revenue + {srev} * {keep!r})"
+    gross = f"(direct_revenue + {srev})"
+    return with_binding(_cohort_funnel_cte(p)) + f"""
+SELECT purchase_clicks,
+  direct_purchases + apple_purchases + google_purchases AS total_purchases,
+  round({gross}, 6) AS total_revenue,
+  direct_continue, direct_purchases, round(direct_revenue, 6) AS direct_revenue,
+  {pct('direct_purchases', 'direct_continue')} AS direct_conversion_pct,
+  apple_continue + google_continue AS store_continue,
+  apple_purchases + google_purchases AS store_purchases,
+  round({srev}, 6) AS store_revenue,
+  {pct('apple_purchases + google_purchases', 'apple_continue + google_continue')} AS store_conversion_pct,
+  round(direct_revenue * {fee!r}, 6) AS direct_savings,
+  round({srev} * {fee!r}, 6) AS store_fees,
+  round({net}, 6) AS net_total,
+  {pct(net, gross)} AS effective_margin_pct
+FROM funnel"""
+
+
+def sql_prepurchase_choice(p: Params) -> str:
+    tot = "(direct_continue + apple_continue + google_continue)"
+    return with_binding(_cohort_funnel_cte(p)) + f"""
+SELECT 'direct' AS choice, direct_continue AS continue_clicks, {pct('direct_continue', tot)} AS pct FROM funnel
+UNION ALL
+SELECT 'store', apple_continue + google_continue, {pct('apple_continue + google_continue', tot)} FROM funnel"""
+
+
+def sql_channel_funnel_steps(p: Params) -> str:
+    return with_binding(_cohort_funnel_cte(p), """
+steps AS (
+  SELECT 'direct' AS channel, 'purchase_click' AS step, 1 AS step_order, purchase_clicks AS value FROM funnel
+  UNION ALL SELECT 'direct', 'continue', 2, direct_continue FROM funnel
+  UNION ALL SELECT 'direct', 'purchase_success', 3, direct_purchases FROM funnel
+  UNION ALL SELECT 'store', 'purchase_click', 1, purchase_clicks FROM funnel
+  UNION ALL SELECT 'store', 'continue', 2, apple_continue + google_continue FROM funnel
+  UNION ALL SELECT 'store', 'purchase_success', 3, apple_purchases + google_purchases FROM funnel
+),
+kept AS (SELECT * FROM steps WHERE value > 0)""") + f"""
+SELECT channel, step, CAST(step_order AS INTEGER) AS step_order, CAST(value AS BIGINT) AS value,
+  {pct('value', 'first_value(value) OVER (PARTITION BY channel ORDER BY step_order)')} AS pct_of_first
+FROM kept"""
+
+
+def _cohort_daily_cte(p: Params) -> str:
+    store_ok = f"{SUCC} AND (({APPLE_OK}) OR ({GOOGLE_OK}))"
+    return _cohort_users(p) + "," + _cohort_ev(p) + f""",
+daily AS (
+  SELECT date AS event_date,
+    {cdf("event_name = 'purchase_click'")} AS purchase_clicks,
+    {cdf(CONT + " AND payment_platform = 'direct'")} AS direct_continue,
+    {cdf(SUCC + " AND payment_platform = 'direct'")} AS direct_purchases,
+    {money(SUCC + " AND payment_platform = 'direct'")} AS direct_revenue,
+    {cdf(CONT + " AND payment_platform IN ('apple', 'googleplay')")} AS store_continue,
+    {cdf(store_ok)} AS store_purchases,
+    {money(store_ok)} AS store_revenue
+  FROM cohort_ev GROUP BY date
+)"""
+
+
+def sql_cohort_daily(p: Params) -> str:
+    return with_binding(_cohort_daily_cte(p)) + "\nSELECT * FROM daily ORDER BY event_date"
+
+
+def sql_cohort_daily_conversion(p: Params) -> str:
+    return with_binding(_cohort_daily_cte(p)) + f"""
+SELECT event_date, {pct('direct_purchases', 'direct_continue')} AS direct_conversion_pct,
+       {pct('store_purchases', 'store_continue')} AS store_conversion_pct
+FROM daily ORDER BY event_date"""
+
+
+def _direct_purchases_cte(p: Params) -> str:
+    from datetime import timedelta
+    s = p.effective_start - timedelta(days=365)
+    return _cohort_users(p) + f""",
+dp AS (
+  SELECT distinct_id, date, funnel_id, time, event_id, CAST(COALESCE(price_usd, 0) AS DECIMAL(18,2)) AS amount,
+    row_number() OVER (PARTITION BY distinct_id ORDER BY date, funnel_id NULLS FIRST, time, event_id) AS purchase_number
+  FROM client_events
+  WHERE date BETWEEN {D(s)} AND {D(p.end)} AND {SUCC} AND payment_platform = 'direct'
+    AND {attr_filters(p, countries=False)}
+    AND distinct_id IN (SELECT distinct_id FROM cohort_users)
+)"""
+
+
+def _rng(p: Params, c: str = "date") -> str:
+    return f"{c} BETWEEN {D(p.effective_start)} AND {D(p.end)}"
+
+
+def sql_first_vs_repeat(p: Params) -> str:
+    return with_binding(_direct_purchases_cte(p)) + f"""
+SELECT date AS event_date,
+  COUNT(DISTINCT CASE WHEN purchase_number = 1 THEN distinct_id END) AS first_purchase_users,
+  COUNT(DISTINCT CASE WHEN purchase_number > 1 THEN distinct_id END) AS repeat_purchase_users
+FROM dp WHERE {_rng(p)} GROUP BY date ORDER BY date"""
+
+
+def _depth_cte(p: Params) -> str:
+    return _direct_purchases_cte(p) + f""",
+umax AS (SELECT distinct_id, max(purchase_number) AS m FROM dp WHERE {_rng(p)} GROUP BY distinct_id),
+depth AS (
+  SELECT COUNT(DISTINCT CASE WHEN m >= 1 THEN distinct_id END) AS users_1st_purchase,
+         COUNT(DISTINCT CASE WHEN m >= 2 THEN distinct_id END) AS users_2nd_purchase,
+         COUNT(DISTINCT CASE WHEN m >= 3 THEN distinct_id END) AS users_3rd_purchase,
+         COUNT(DISTINCT CASE WHEN m >= 4 THEN distinct_id END) AS users_4th_plus_purchase
+  FROM umax
+)"""
+
+
+def sql_purchase_depth(p: Params) -> str:
+    return with_binding(_depth_cte(p)) + "\nSELECT * FROM depth"
+
+
+def sql_purchase_retention(p: Params) -> str:
+    return with_binding(_depth_cte(p)) + f"""
+SELECT *, {pct('users_2nd_purchase', 'users_1st_purchase')} AS retention_1_to_2,
+  {pct('users_3rd_purchase', 'users_2nd_purchase')} AS retention_2_to_3,
+  {pct('users_4th_plus_purchase', 'users_3rd_purchase')} AS retention_3_to_4,
+  {pct('users_2nd_purchase', 'users_1st_purchase')} AS cumulative_2nd,
+  {pct('users_3rd_purchase', 'users_1st_purchase')} AS cumulative_3rd,
+  {pct('users_4th_plus_purchase', 'users_1st_purchase')} AS cumulative_4th
+FROM depth"""
+
+
+def sql_atv_by_purchase_number(p: Params) -> str:
+    return with_binding(_direct_purchases_cte(p)) + f"""
+SELECT CASE WHEN purchase_number = 1 THEN '1st Purchase' WHEN purchase_number = 2 THEN '2nd Purchase'
+            WHEN purchase_number = 3 THEN '3rd Purchase' ELSE '4th+ Purchase' END AS purchase_tier,
+       CAST(CASE WHEN purchase_number <= 3 THEN purchase_number ELSE 4 END AS BIGINT) AS tier_order,
+       COUNT(*) AS num_purchases,
+       CAST(SUM(amount) AS DOUBLE) AS total_revenue,
+       round(CAST(SUM(amount) AS DOUBLE) / COUNT(*), 6) AS avg_transaction_value
+FROM dp WHERE {_rng(p)} GROUP BY 1, 2 ORDER BY 2"""
+
+
+def _ttf_cte(p: Params) -> str:
+    return _direct_purchases_cte(p) + f""",
+firstp AS (SELECT distinct_id, min(date) AS first_purchase_date FROM dp GROUP BY distinct_id),
+ttp AS (
+  SELECT f.distinct_id, date_diff('day', CAST(pl.first_event_time AS DATE), f.first_purchase_date) AS days
+  FROM cohort_users c JOIN dim_player pl ON c.distinct_id = pl.distinct_id
+  JOIN firstp f ON f.distinct_id = c.distinct_id
+  WHERE {_rng(p, 'f.first_purchase_date')}
+),
+buckets AS (
+  SELECT CASE WHEN days = 0 THEN 'Day 0 (Same day)' WHEN days = 1 THEN 'Day 1'
+              WHEN days BETWEEN 2 AND 3 THEN 'Day 2-3' WHEN days BETWEEN 4 AND 7 THEN 'Day 4-7'
+              WHEN days BETWEEN 8 AND 14 THEN 'Day 8-14' WHEN days BETWEEN 15 AND 30 THEN 'Day 15-30'
+              ELSE 'Day 31+' END AS days_bucket,
+         CAST(CASE WHEN days = 0 THEN 1 WHEN days = 1 THEN 2 WHEN days BETWEEN 2 AND 3 THEN 3
+              WHEN days BETWEEN 4 AND 7 THEN 4 WHEN days BETWEEN 8 AND 14 THEN 5
+              WHEN days BETWEEN 15 AND 30 THEN 6 ELSE 7 END AS BIGINT) AS bucket_order,
+         COUNT(*) AS users, round(avg(days), 6) AS avg_days
+  FROM ttp GROUP BY 1, 2
+)"""
+
+
+def sql_time_to_first_purchase(p: Params) -> str:
+    return with_binding(_ttf_cte(p.replace(test_start=None))) + "\nSELECT * FROM buckets ORDER BY bucket_order"
+
+
+def sql_time_to_first_stats(p: Params) -> str:
+    return with_binding(_ttf_cte(p.replace(test_start=None))) + f"""
+SELECT CAST(COALESCE(SUM(users), 0) AS BIGINT) AS total_users,
+  round(COALESCE(SUM(avg_days * users) / SUM(users), 0.0), 6) AS avg_days,
+  {pct('COALESCE(SUM(CASE WHEN bucket_order = 1 THEN users END), 0)', 'SUM(users)')} AS day_0_pct,
+  {pct('COALESCE(SUM(CASE WHEN bucket_order <= 4 THEN users END), 0)', 'SUM(users)')} AS week_1_pct
+FROM buckets"""
+
+
+def _exp_funnel_cte(p: Params) -> str:
+    return seg_users_cte(p) + f""",
+ef_ev AS (
+  SELECT ce.*, CASE s.segment WHEN 'test' THEN 'Test' WHEN 'control' THEN 'Control' END AS segment
+  FROM client_events ce JOIN seg_users s ON ce.distinct_id = s.distinct_id
+  WHERE ce.date BETWEEN {D(p.effective_start)} AND {D(p.end)}
+    AND ce.event_name IN ('purchase_click', 'purchase_successful')
+),
+ef AS (
+  SELECT segment,
+    {cdf("event_name = 'purchase_click'")} AS purchase_clicks,
+    {cdf(SUCC)} AS total_purchases,
+    {cdf(SUCC + " AND payment_platform = 'direct'")} AS direct_purchases,
+    {cdf(f"{SUCC} AND (({APPLE_OK}) OR ({GOOGLE_OK}))")} AS store_purchases,
+    {money(SUCC)} AS total_revenue
+  FROM ef_ev GROUP BY segment
+)"""
+
+
+def sql_experiment_funnel(p: Params) -> str:
+    return with_binding(_exp_funnel_cte(p)) + "\nSELECT * FROM ef ORDER BY segment DESC"
+
+
+def sql_experiment_funnel_rates(p: Params) -> str:
+    return with_binding(_exp_funnel_cte(p)) + f"""
+SELECT segment, purchase_clicks, total_purchases, {pct('total_purchases', 'purchase_clicks')} AS conversion_pct
+FROM ef"""

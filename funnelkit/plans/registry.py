@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from funnelkit.operators import cohort as C
 from funnelkit.operators import segments as S
 from funnelkit.plans.params import Params, default_params
 from funnelkit.sources.binding import Tables, load_tables
@@ -27,6 +28,23 @@ OPERATORS: dict[str, Op] = {
     "segment_share": lambda t, p: S.segment_share(S.segment_stats(t, p)),
     "purchase_summary": S.purchase_summary,
     "purchase_margin": lambda t, p: S.purchase_margin(S.purchase_summary(t, p), p.store_fee),
+    "cohort_funnel": C.cohort_funnel,
+    "cohort_funnel_summary": lambda t, p: C.cohort_funnel_summary(C.cohort_funnel(t, p), p.store_fee),
+    "prepurchase_choice": lambda t, p: C.prepurchase_choice(C.cohort_funnel(t, p)),
+    "channel_funnel_steps": lambda t, p: C.channel_funnel_steps(C.cohort_funnel(t, p)),
+    "cohort_daily": C.cohort_daily,
+    "cohort_daily_conversion": lambda t, p: C.cohort_daily_conversion(C.cohort_daily(t, p)),
+    "first_vs_repeat": C.first_vs_repeat,
+    "purchase_depth": C.purchase_depth,
+    "purchase_retention": lambda t, p: C.purchase_retention(C.purchase_depth(t, p)),
+    "atv_by_purchase_number": C.atv_by_purchase_number,
+    # all users first appear at the start of the data, so the range starts
+    # there (no test start) to populate the early buckets
+    "time_to_first_purchase": lambda t, p: C.time_to_first_purchase(t, p.replace(test_start=None)),
+    "time_to_first_stats": lambda t, p: C.time_to_first_stats(
+        C.time_to_first_purchase(t, p.replace(test_start=None))),
+    "experiment_funnel": C.experiment_funnel,
+    "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
 }
 
 
