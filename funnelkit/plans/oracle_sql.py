@@ -476,3 +476,157 @@ def sql_experiment_funnel_rates(p: Params) -> str:
     return with_binding(_exp_funnel_cte(p)) + f"""
 SELECT segment, purchase_clicks, total_purchases, {pct('total_purchases', 'purchase_clicks')} AS conversion_pct
 FROM ef"""
+
+
+# --- channel switching (A46-A50) -----------------------------------------------
+
+def _switch_ctes(p: Params) -> str:
+    s = p.switch_since or p.effective_start
+    return _cohort_users(p) + f""",
+allp AS (
+  SELECT distinct_id, date, payment_platform, price_usd FROM client_events
+  WHERE date BETWEEN {D(s)} AND {D(p.end)} AND {SUCC}
+    AND payment_platform IN ('direct', 'apple', 'googleplay') AND {attr_filters(p, countries=False)}
+    AND distinct_id IN (SELECT distinct_id FROM cohort_users)
+),
+hist AS (
+  SELECT distinct_id,
+    MIN(CASE WHEN payment_platform = 'direct' THEN date END) AS first_direct_date,
+    MIN(CASE WHEN payment_platform IN ('apple', 'googleplay') THEN date END) AS first_store_date,
+    COUNT(CASE WHEN payment_platform = 'direct' THEN 1 END) AS direct_purchase_count,
+    COUNT(CASE WHEN payment_platform IN ('apple', 'googleplay') THEN 1 END) AS store_purchase_count,
+    {money("payment_platform = 'direct'")} AS direct_revenue,
+    {money("payment_platform IN ('apple', 'googleplay')")} AS store_revenue
+  FROM allp GROUP BY distinct_id
+),
+dts AS (
+  SELECT distinct_id, first_direct_date, first_store_date FROM hist
+  WHERE first_direct_date IS NOT NULL AND first_store_date IS NOT NULL AND first_store_date >= first_direct_date
+),
+after AS (
+  SELECT s.distinct_id, s.first_direct_date, s.first_store_date,
+    COUNT(CASE WHEN a.payment_platform = 'direct' AND a.date <= s.first_store_date THEN 1 END) AS direct_before_store,
+    COUNT(CASE WHEN a.payment_platform = 'direct' AND a.date > s.first_store_date THEN 1 END) AS direct_after_store,
+    COUNT(CASE WHEN a.payment_platform IN ('apple', 'googleplay') AND a.date > s.first_store_date THEN 1 END)
+      AS store_after_first_store,
+    COUNT(CASE WHEN a.payment_platform IN ('apple', 'googleplay') THEN 1 END) AS total_store,
+    {money("a.payment_platform = 'direct'", "a.price_usd")} AS direct_revenue,
+    {money("a.payment_platform IN ('apple', 'googleplay')", "a.price_usd")} AS store_revenue
+  FROM dts s LEFT JOIN allp a ON s.distinct_id = a.distinct_id
+  GROUP BY s.distinct_id, s.first_direct_date, s.first_store_date
+)"""
+
+
+def sql_switchers(p: Params) -> str:
+    return with_binding(_switch_ctes(p)) + f"""
+SELECT distinct_id, first_direct_date, first_store_date, direct_purchase_count, store_purchase_count,
+  direct_revenue, store_revenue, CAST(date_diff('day', first_direct_date, first_store_date) AS BIGINT) AS days_between
+FROM hist
+WHERE first_direct_date IS NOT NULL AND first_store_date IS NOT NULL AND first_store_date >= first_direct_date
+ORDER BY first_direct_date DESC, distinct_id LIMIT {p.switcher_limit}"""
+
+
+def sql_switch_categories(p: Params) -> str:
+    return with_binding(_switch_ctes(p), """
+cats AS (
+  SELECT CASE
+    WHEN first_direct_date IS NOT NULL AND first_store_date IS NULL THEN 'direct_only'
+    WHEN first_direct_date IS NULL AND first_store_date IS NOT NULL THEN 'store_only'
+    WHEN first_store_date >= first_direct_date THEN 'direct_then_store'
+    WHEN first_store_date < first_direct_date THEN 'store_then_direct' END AS category
+  FROM hist
+),
+names(category) AS (VALUES ('direct_only'), ('store_only'), ('direct_then_store'), ('store_then_direct'))""") + """
+SELECT n.category, COUNT(c.category) AS user_count
+FROM names n LEFT JOIN cats c ON c.category = n.category
+GROUP BY n.category"""
+
+
+def _switch_return_cte(p: Params) -> str:
+    return _switch_ctes(p) + """,
+ret AS (
+  SELECT CASE WHEN direct_after_store > 0 THEN 'Returned to direct' ELSE 'Never returned to direct' END AS behavior,
+    COUNT(DISTINCT distinct_id) AS users,
+    CAST(SUM(direct_after_store) AS BIGINT) AS direct_purchases_after_store,
+    CAST(SUM(store_after_first_store) AS BIGINT) AS store_purchases_after_first_store
+  FROM after GROUP BY 1
+)"""
+
+
+def sql_switch_return(p: Params) -> str:
+    return with_binding(_switch_return_cte(p)) + "\nSELECT * FROM ret ORDER BY behavior"
+
+
+def sql_switch_return_share(p: Params) -> str:
+    return with_binding(_switch_return_cte(p)) + f"""
+SELECT behavior, users, {pct('users', '(SELECT SUM(users) FROM ret)')} AS pct FROM ret"""
+
+
+def sql_switcher_details(p: Params) -> str:
+    return with_binding(_switch_ctes(p)) + f"""
+SELECT distinct_id, first_direct_date, first_store_date, direct_before_store, direct_after_store, total_store,
+  round(direct_revenue, 2) AS direct_revenue, round(store_revenue, 2) AS store_revenue,
+  CASE WHEN direct_after_store > 0 THEN 'Yes' ELSE 'No' END AS returned_to_direct
+FROM after ORDER BY direct_after_store DESC, first_direct_date, distinct_id LIMIT {p.switcher_limit}"""
+
+
+# --- promo audit (A51-A54) -------------------------------------------------------
+
+def _promo_ctes(p: Params) -> str:
+    since = p.test_start or p.days_before(p.promo_days_back)
+    path = p.extra.get("promo_config_path", "$.config_id")
+    return seg_ctes(p) + f""",
+labels AS (SELECT distinct_id, CASE segment WHEN 'test' THEN 'Test' ELSE 'Control' END AS segment FROM user_segments),
+promo AS (
+  SELECT * FROM client_events
+  WHERE event_name = 'promo_impression' AND date >= {D(since)} AND promo_snapshot IS NOT NULL
+    AND (CASE WHEN json_valid(promo_snapshot)
+              THEN TRY_CAST(json_extract_string(promo_snapshot, '{path}') AS BIGINT) END) = {int(p.promo_config_id)}
+),
+per_user AS (
+  SELECT distinct_id, MIN(date) AS first_impression_date, MAX(date) AS last_impression_date,
+         COUNT(*) AS impression_count
+  FROM promo GROUP BY distinct_id
+),
+promo_seg AS (
+  SELECT COALESCE(l.segment, 'Not in Test/Control') AS segment, COUNT(DISTINCT u.distinct_id) AS users,
+         CAST(SUM(u.impression_count) AS BIGINT) AS total_impressions
+  FROM per_user u LEFT JOIN labels l ON u.distinct_id = l.distinct_id GROUP BY 1
+)"""
+
+
+def sql_promo_segments(p: Params) -> str:
+    return with_binding(_promo_ctes(p)) + "\nSELECT * FROM promo_seg ORDER BY segment"
+
+
+def sql_promo_user_details(p: Params) -> str:
+    return with_binding(_promo_ctes(p)) + f"""
+SELECT u.distinct_id, COALESCE(l.segment, 'Not in Test/Control') AS segment,
+  u.first_impression_date, u.last_impression_date, u.impression_count
+FROM per_user u LEFT JOIN labels l ON u.distinct_id = l.distinct_id
+ORDER BY u.first_impression_date DESC, u.distinct_id LIMIT {p.detail_limit}"""
+
+
+def sql_promo_outside_users(p: Params) -> str:
+    return with_binding(_promo_ctes(p)) + f"""
+SELECT pr.distinct_id, 'Not in Test/Control' AS segment, pr.country, pr.os,
+  MIN(pr.date) AS first_impression_date, MAX(pr.date) AS last_impression_date, COUNT(*) AS impression_count
+FROM promo pr LEFT JOIN labels l ON pr.distinct_id = l.distinct_id
+WHERE l.segment IS NULL
+GROUP BY pr.distinct_id, pr.country, pr.os
+ORDER BY first_impression_date DESC, pr.distinct_id, pr.country, pr.os LIMIT {p.detail_limit}"""
+
+
+def sql_promo_verdict(p: Params) -> str:
+    return with_binding(_promo_ctes(p), """
+v AS (
+  SELECT CAST(COALESCE(SUM(CASE WHEN segment = 'Test' THEN users END), 0) AS BIGINT) AS test_users,
+         CAST(COALESCE(SUM(CASE WHEN segment = 'Control' THEN users END), 0) AS BIGINT) AS control_users,
+         CAST(COALESCE(SUM(CASE WHEN segment = 'Not in Test/Control' THEN users END), 0) AS BIGINT) AS other_users
+  FROM promo_seg
+)""") + """
+SELECT test_users, control_users, other_users,
+  CASE WHEN control_users = 0 AND test_users > 0 THEN 'only_test'
+       WHEN test_users = 0 AND control_users > 0 THEN 'only_control'
+       WHEN test_users > 0 AND control_users > 0 THEN 'both' ELSE 'none' END AS verdict
+FROM v"""

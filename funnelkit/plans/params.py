@@ -98,4 +98,6 @@ def default_params() -> Params:
         end=date(2024, 1, 30),
         as_of=date(2024, 1, 30),
         test_start=date(2024, 1, 15),
+        # the test binding keeps the promo config id at $.k of the snapshot
+        extra={"promo_config_path": "$.k"},
     )

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.operators import cohort as C
+from funnelkit.operators import promo as PR
 from funnelkit.operators import segments as S
+from funnelkit.operators import switching as SW
 from funnelkit.plans.params import Params, default_params
 from funnelkit.sources.binding import Tables, load_tables
 
@@ -45,6 +47,15 @@ OPERATORS: dict[str, Op] = {
         C.time_to_first_purchase(t, p.replace(test_start=None))),
     "experiment_funnel": C.experiment_funnel,
     "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
+    "switchers": SW.switchers,
+    "switch_categories": SW.switch_categories,
+    "switch_return": SW.switch_return,
+    "switch_return_share": lambda t, p: SW.switch_return_share(SW.switch_return(t, p)),
+    "switcher_details": SW.switcher_details,
+    "promo_segments": PR.promo_segments,
+    "promo_user_details": PR.promo_user_details,
+    "promo_outside_users": PR.promo_outside_users,
+    "promo_verdict": lambda t, p: PR.promo_verdict(PR.promo_segments(t, p)),
 }
 
 
