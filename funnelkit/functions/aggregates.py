@@ -31,7 +31,8 @@ class FlagCounts:
     keys: list[str] = field(default_factory=list)
     by_funnel: dict[str, Column] = field(default_factory=dict)
     by_user: dict[str, Column] = field(default_factory=dict)
-    sums: dict[str, Column] = field(default_factory=dict)
+    # name -> condition (sums price_usd) or (condition, decimal amount)
+    sums: dict = field(default_factory=dict)
     funnel: str = "funnel_id"
     user: str = "distinct_id"
 
@@ -39,8 +40,9 @@ class FlagCounts:
         """One row per (keys, user, funnel) with flags and exact sums."""
         aggs = [any_flag(c).alias(f"f__{n}") for n, c in self.by_funnel.items()]
         aggs += [any_flag(c).alias(f"u__{n}") for n, c in self.by_user.items()]
-        aggs += [F.sum(F.when(c, P.money("price_usd")).otherwise(P.dec0())).alias(f"s__{n}")
-                 for n, c in self.sums.items()]
+        for n, c in self.sums.items():
+            cond, amount = c if isinstance(c, tuple) else (c, P.money("price_usd"))
+            aggs.append(F.sum(F.when(cond, amount).otherwise(P.dec0())).alias(f"s__{n}"))
         return df.groupBy(*self.keys, self.user, self.funnel).agg(*aggs)
 
     def derive(self, fine: DataFrame) -> DataFrame:

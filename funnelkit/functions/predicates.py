@@ -35,15 +35,24 @@ def r6(c) -> Column:
     return F.round(col(c), 6)
 
 
-def safe_ratio(n, d, scale: float = 1.0) -> Column:
-    """``n * scale / d`` as double when ``d > 0`` else 0 (rounded to 6 dp)."""
+def r6_stable(c) -> Column:
+    """Round a value that comes out of a floating-point *sum* (e.g. a mean of
+    daily KPIs): summation order leaves noise in the last bits, so snap to
+    9 dp first, then round to 6 dp."""
+    return F.round(F.round(col(c), 9), 6)
+
+
+def safe_ratio(n, d, scale: float = 1.0, rounded: bool = True) -> Column:
+    """``n * scale / d`` as double when ``d > 0`` else 0 (rounded to 6 dp
+    unless the value feeds a further aggregate)."""
     n, d = col(n), col(d)
     num = n.cast("double") * F.lit(float(scale)) if scale != 1.0 else n.cast("double")
-    return r6(F.when(d > 0, num / d.cast("double")).otherwise(F.lit(0.0)))
+    out = F.when(d > 0, num / d.cast("double")).otherwise(F.lit(0.0))
+    return r6(out) if rounded else out
 
 
-def safe_pct(n, d) -> Column:
-    return safe_ratio(n, d, 100.0)
+def safe_pct(n, d, rounded: bool = True) -> Column:
+    return safe_ratio(n, d, 100.0, rounded)
 
 
 def money(c) -> Column:

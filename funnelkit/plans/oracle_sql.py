@@ -31,12 +31,14 @@ def with_binding(*ctes: str) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def pct(n: str, d: str) -> str:
-    return f"round(CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) * 100.0 / ({d}) ELSE 0.0 END, 6)"
+def pct(n: str, d: str, rounded: bool = True) -> str:
+    e = f"CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) * 100.0 / ({d}) ELSE 0.0 END"
+    return f"round({e}, 6)" if rounded else e
 
 
-def ratio(n: str, d: str) -> str:
-    return f"round(CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE 0.0 END, 6)"
+def ratio(n: str, d: str, rounded: bool = True) -> str:
+    e = f"CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE 0.0 END"
+    return f"round({e}, 6)" if rounded else e
 
 
 def money(cond: str | None = None, amount: str = "price_usd") -> str:
@@ -630,3 +632,195 @@ SELECT test_users, control_users, other_users,
        WHEN test_users = 0 AND control_users > 0 THEN 'only_control'
        WHEN test_users > 0 AND control_users > 0 THEN 'both' ELSE 'none' END AS verdict
 FROM v"""
+
+
+# --- experiment read-outs (A22-A29) ------------------------------------------------
+
+EVENT_DAY = "(DATE '1970-01-01' + CAST(res_timestamp // 86400000 AS INTEGER))"
+
+
+def _first_purchase_cte(name: str = "ufp", users: str | None = None) -> str:
+    restrict = f" AND distinct_id IN (SELECT distinct_id FROM {users})" if users else ""
+    return f"""
+{name} AS (
+  SELECT distinct_id, MIN({EVENT_DAY}) AS first_purchase_date FROM client_events
+  WHERE {SUCC} AND date >= DATE '2020-01-01' AND {valid()}{restrict}
+  GROUP BY distinct_id
+)"""
+
+
+def _daily_kpi_select(src: str, keep: float = 0.70, exact: bool = False) -> str:
+    rnd = (lambda e: e) if exact else (lambda e: f"round({e}, 6)")
+    v = f"ce.{SUCC.replace('event_name', 'event_name')} AND {valid('ce')}"
+    v = f"ce.event_name = 'purchase_successful' AND {valid('ce')}"
+    amt = "CAST(COALESCE(ce.price_usd, 0) AS DECIMAL(18,2))"
+    net = (f"CASE WHEN ce.payment_platform = 'direct' THEN {amt} "
+           f"ELSE {amt} * CAST('{keep}' AS DECIMAL(3,2)) END")
+    return f"""
+dm AS (
+  SELECT {EVENT_DAY.replace('res_timestamp', 'ce.res_timestamp')} AS event_date, ce.segment,
+    COUNT(DISTINCT ce.distinct_id) AS active_users,
+    COUNT(DISTINCT CASE WHEN {v} THEN ce.funnel_id END) AS total_purchases,
+    {rnd(f"CAST(COALESCE(SUM(CASE WHEN {v} THEN {amt} END), 0) AS DOUBLE)")} AS gross_revenue,
+    {rnd(f"CAST(COALESCE(SUM(CASE WHEN {v} THEN {net} END), 0) AS DOUBLE)")} AS net_revenue,
+    COUNT(DISTINCT CASE WHEN {v} THEN ce.distinct_id END) AS paying_users,
+    COUNT(DISTINCT CASE WHEN ce.event_name = 'purchase_successful' AND ce.interrupted = 1 THEN ce.funnel_id END)
+      AS interrupted_purchases,
+    COUNT(DISTINCT CASE WHEN ce.event_name = 'purchase_click' THEN ce.funnel_id END) AS purchase_clicks,
+    COUNT(DISTINCT CASE WHEN ce.event_name = 'pre_purchase_click' AND ce.cta_name = 'continue' THEN ce.funnel_id END)
+      AS pp_continue_clicks,
+    COUNT(DISTINCT CASE WHEN {v}
+      AND ufp.first_purchase_date = {EVENT_DAY.replace('res_timestamp', 'ce.res_timestamp')} THEN ce.distinct_id END)
+      AS ftd_users
+  FROM {src} ce LEFT JOIN ufp ON ce.distinct_id = ufp.distinct_id
+  GROUP BY 1, 2
+)"""
+
+
+def _timeline_select(test_start, period: str, exact: bool = False) -> str:
+    r = not exact
+    return f"""
+SELECT event_date, segment, {D(test_start)} AS test_start_date, {period} AS period,
+  active_users, total_purchases, gross_revenue, net_revenue, paying_users, interrupted_purchases,
+  purchase_clicks, pp_continue_clicks, ftd_users,
+  {pct('paying_users', 'active_users', r)} AS ppu_percent,
+  {pct('ftd_users', 'active_users', r)} AS ftd_percent,
+  {ratio('gross_revenue', 'active_users', r)} AS arpdau,
+  {ratio('net_revenue', 'active_users', r)} AS arpdau_net,
+  {ratio('gross_revenue', 'paying_users', r)} AS arppu,
+  {ratio('net_revenue', 'paying_users', r)} AS arppu_net,
+  {ratio('gross_revenue', 'total_purchases', r)} AS atv,
+  {ratio('net_revenue', 'total_purchases', r)} AS atv_net,
+  {pct('pp_continue_clicks', 'purchase_clicks', r)} AS purchase_to_continue_rate,
+  {pct('total_purchases', 'pp_continue_clicks', r)} AS continue_to_purchase_rate,
+  {pct('interrupted_purchases', 'total_purchases', r)} AS interrupted_rate
+FROM dm"""
+
+
+def _timeline_cte(p: Params, name: str = "timeline", exact: bool = False) -> str:
+    rs, ts, re_ = p.experiment_window
+    return seg_users_cte(p) + f""",
+arms AS (SELECT distinct_id, CASE segment WHEN 'test' THEN 'Test' ELSE 'Control' END AS segment FROM seg_users),
+tl_rows AS (
+  SELECT ce.*, a.segment FROM client_events ce JOIN arms a ON ce.distinct_id = a.distinct_id
+  WHERE ce.date BETWEEN {D(rs)} AND {D(re_)} AND {attr_filters(p, 'ce', countries=False, floor=True)}
+),""" + _first_purchase_cte("ufp", "arms") + "," + _daily_kpi_select("tl_rows", exact=exact) + f""",
+{name} AS ({_timeline_select(ts, f"CASE WHEN event_date >= {D(ts)} THEN 'After' ELSE 'Before' END", exact)})"""
+
+
+def sql_first_purchase_date(p: Params) -> str:
+    return with_binding(_first_purchase_cte("ufp")) + "\nSELECT * FROM ufp"
+
+
+def sql_experiment_timeline(p: Params) -> str:
+    return with_binding(_timeline_cte(p)) + "\nSELECT * FROM timeline ORDER BY event_date, segment"
+
+
+def _did_sql(kpis: list[str], src: str = "timeline", with_flags: bool = False) -> str:
+    from funnelkit.operators.experiment import KPI_LABELS
+    unions = "\n  UNION ALL ".join(
+        f"SELECT '{k}' AS kpi, {i + 1} AS kpi_order, '{KPI_LABELS[k]}' AS label, segment, period, "
+        f"CAST({k} AS DOUBLE) AS value FROM {src}" for i, k in enumerate(kpis))
+
+    def cell(seg, per):
+        return f"COALESCE(AVG(CASE WHEN segment = '{seg}' AND period = '{per}' THEN value END), 0.0)"
+
+    def chg(d, b):
+        return f"round(round(CASE WHEN {b} <> 0 THEN ({d}) / {b} * 100.0 ELSE 0.0 END, 9), 6)"
+    flags = (",\n  bool_or(segment = 'Test') AS has_test, bool_or(segment = 'Control') AS has_control"
+             if with_flags else "")
+    return f"""
+long AS (
+  {unions}
+),
+cells AS (
+  SELECT kpi, kpi_order, label, {cell('Test', 'Before')} AS tb, {cell('Test', 'After')} AS ta,
+         {cell('Control', 'Before')} AS cb, {cell('Control', 'After')} AS ca{flags}
+  FROM long GROUP BY kpi, kpi_order, label
+)""", f"""
+SELECT CAST(kpi_order AS INTEGER) AS kpi_order, kpi, label, round(round(tb, 9), 6) AS test_before, round(round(ta, 9), 6) AS test_after,
+  {chg('ta - tb', 'tb')} AS test_change_pct, round(round(cb, 9), 6) AS control_before, round(round(ca, 9), 6) AS control_after,
+  {chg('ca - cb', 'cb')} AS control_change_pct, round(round((ta - tb) - (ca - cb), 9), 6) AS diff_in_diff,
+  {chg('(ta - tb) - (ca - cb)', 'cb')} AS diff_in_diff_pct{', has_test, has_control' if with_flags else ''}
+FROM cells ORDER BY kpi_order"""
+
+
+def sql_did_summary(p: Params) -> str:
+    from funnelkit.operators.experiment import DID_KPIS
+    cte, sel = _did_sql(DID_KPIS)
+    return with_binding(_timeline_cte(p, exact=True), cte) + sel
+
+
+def sql_did_summary_net(p: Params) -> str:
+    from funnelkit.operators.experiment import DID_KPIS_NET
+    cte, sel = _did_sql(DID_KPIS_NET)
+    return with_binding(_timeline_cte(p, exact=True), cte) + sel
+
+
+def sql_before_after(p: Params) -> str:
+    from funnelkit.operators import experiment as X
+    kpis = X._union(X.TIMELINE_MENU_1, X.TIMELINE_MENU_2, X.TIMELINE_MENU_1_NET, X.TIMELINE_MENU_2_NET)
+    cte, sel = _did_sql(kpis, with_flags=True)
+    return with_binding(_timeline_cte(p, exact=True), cte) + sel
+
+
+def _purchaser_cte(p: Params, exact: bool = False) -> str:
+    ts = p.test_start or p.start
+    return f"""
+tagged AS (
+  SELECT DISTINCT distinct_id FROM client_events
+  WHERE event_name = 'config_loaded' AND date >= {D(p.days_before(60))} AND segments LIKE {TEST_LIKE}
+),
+pt_users AS (
+  SELECT distinct_id FROM dim_player
+  WHERE first_country IN ({lst(p.home_markets)}) AND distinct_id IN (SELECT distinct_id FROM tagged)
+),
+direct_buyers AS (
+  SELECT DISTINCT distinct_id FROM client_events
+  WHERE {SUCC} AND payment_platform = 'direct' AND date >= {D(ts)}
+    AND distinct_id IN (SELECT distinct_id FROM pt_users)
+),
+store_buyers AS (
+  SELECT DISTINCT distinct_id FROM client_events
+  WHERE {SUCC} AND (({APPLE_OK}) OR ({GOOGLE_OK})) AND date >= {D(ts)}
+    AND distinct_id IN (SELECT distinct_id FROM pt_users)
+),
+groups AS (
+  SELECT distinct_id,
+    CASE WHEN distinct_id IN (SELECT distinct_id FROM direct_buyers) THEN 'Direct Purchasers'
+         WHEN distinct_id IN (SELECT distinct_id FROM store_buyers) THEN 'Store-only Purchasers' END AS segment
+  FROM pt_users
+  WHERE distinct_id IN (SELECT distinct_id FROM direct_buyers) OR distinct_id IN (SELECT distinct_id FROM store_buyers)
+),
+pt_rows AS (
+  SELECT ce.*, g.segment FROM client_events ce JOIN groups g ON ce.distinct_id = g.distinct_id
+  WHERE ce.date BETWEEN {D(ts)} AND {D(p.as_of)} AND {attr_filters(p, 'ce', countries=False, floor=True)}
+),""" + _first_purchase_cte("ufp", "groups") + "," + _daily_kpi_select("pt_rows", exact=exact) + f""",
+ptl AS ({_timeline_select(ts, "'After'", exact)})"""
+
+
+def sql_purchaser_timeline(p: Params) -> str:
+    return with_binding(_purchaser_cte(p)) + "\nSELECT * FROM ptl ORDER BY event_date, segment"
+
+
+def sql_purchaser_comparison(p: Params) -> str:
+    from funnelkit.operators import experiment as X
+    kpis = X._union(X.COMPARISON_KPIS, X.COMPARISON_MENU_1, X.COMPARISON_MENU_2)
+    unions = "\n  UNION ALL ".join(
+        f"SELECT '{k}' AS kpi, {i + 1} AS kpi_order, '{X.KPI_LABELS[k]}' AS label, segment, "
+        f"CAST({k} AS DOUBLE) AS value FROM ptl" for i, k in enumerate(kpis))
+    return with_binding(_purchaser_cte(p, exact=True), f"""
+long AS (
+  {unions}
+),
+cells AS (
+  SELECT kpi, kpi_order, label,
+    COALESCE(AVG(CASE WHEN segment = 'Direct Purchasers' THEN value END), 0.0) AS a,
+    COALESCE(AVG(CASE WHEN segment = 'Store-only Purchasers' THEN value END), 0.0) AS b,
+    bool_or(segment = 'Direct Purchasers') AS has_direct, bool_or(segment = 'Store-only Purchasers') AS has_store_only
+  FROM long GROUP BY kpi, kpi_order, label
+)""") + """
+SELECT CAST(kpi_order AS INTEGER) AS kpi_order, kpi, label, round(round(a, 9), 6) AS direct_purchasers,
+  round(round(b, 9), 6) AS store_only_purchasers, round(round(a - b, 9), 6) AS difference,
+  round(round(CASE WHEN b <> 0 THEN (a - b) / b * 100.0 ELSE 0.0 END, 9), 6) AS difference_pct, has_direct, has_store_only
+FROM cells ORDER BY kpi_order"""

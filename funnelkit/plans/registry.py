@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.operators import cohort as C
+from funnelkit.operators import experiment as X
 from funnelkit.operators import promo as PR
 from funnelkit.operators import segments as S
 from funnelkit.operators import switching as SW
@@ -47,6 +48,13 @@ OPERATORS: dict[str, Op] = {
         C.time_to_first_purchase(t, p.replace(test_start=None))),
     "experiment_funnel": C.experiment_funnel,
     "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
+    "first_purchase_date": lambda t, p: X.first_purchase_date(t),
+    "experiment_timeline": X.experiment_timeline,
+    "did_summary": lambda t, p: X.did_summary(X.experiment_timeline(t, p, exact=True)),
+    "did_summary_net": lambda t, p: X.did_summary_net(X.experiment_timeline(t, p, exact=True)),
+    "before_after": lambda t, p: X.before_after(X.experiment_timeline(t, p, exact=True)),
+    "purchaser_timeline": X.purchaser_timeline,
+    "purchaser_comparison": lambda t, p: X.purchaser_comparison(X.purchaser_timeline(t, p, exact=True)),
     "switchers": SW.switchers,
     "switch_categories": SW.switch_categories,
     "switch_return": SW.switch_return,
