@@ -824,3 +824,186 @@ SELECT CAST(kpi_order AS INTEGER) AS kpi_order, kpi, label, round(round(a, 9), 6
   round(round(b, 9), 6) AS store_only_purchasers, round(round(a - b, 9), 6) AS difference,
   round(round(CASE WHEN b <> 0 THEN (a - b) / b * 100.0 ELSE 0.0 END, 9), 6) AS difference_pct, has_direct, has_store_only
 FROM cells ORDER BY kpi_order"""
+
+
+# --- server-side funnels (A10-A16, A42, A43) ---------------------------------------
+
+def _exp_users_cte(p: Params) -> str:
+    return seg_ctes(p) + """,
+exp_users AS (SELECT distinct_id FROM user_segments WHERE segment = 'test')"""
+
+
+def _panel_ctes(p: Params, server_id: str | None = None, client_funnel: bool = False) -> str:
+    """Client panel rows and server rows enriched the original way: a range
+    LEFT JOIN on the user and a LAST_VALUE(... IGNORE NULLS) window per user."""
+    extra = f" AND se.{server_id} IS NOT NULL" if server_id else ""
+    cf = " AND funnel_id IS NOT NULL" if client_funnel else ""
+    srv_filter = attr_filters(p, os=False, floor=True, version_col="client_version_float",
+                              country_col="client_country_code")
+    return _exp_users_cte(p) + f""",
+panel_client AS (
+  SELECT * FROM client_events
+  WHERE {client_window(p)} AND {attr_filters(p, floor=True)}{cf}
+    AND distinct_id IN (SELECT distinct_id FROM exp_users)
+),
+meta AS (
+  SELECT distinct_id, res_timestamp / 1000 AS ts_s, NULLIF(version_float, 0) AS version, country
+  FROM client_events WHERE {client_window(p)}
+),
+enriched AS (
+  SELECT se.*,
+    LAST_VALUE(cm.version IGNORE NULLS) OVER (PARTITION BY se.distinct_id ORDER BY cm.ts_s
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS client_version_float,
+    LAST_VALUE(cm.country IGNORE NULLS) OVER (PARTITION BY se.distinct_id ORDER BY cm.ts_s
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS client_country_code
+  FROM server_events se LEFT JOIN meta cm ON se.distinct_id = cm.distinct_id AND cm.ts_s <= se.request_timestamp
+  WHERE {server_window(p, alias='se')}{extra} AND se.distinct_id IN (SELECT distinct_id FROM exp_users)
+),
+panel_server AS (
+  SELECT DISTINCT distinct_id, event_name, request_id, transaction_id, funnel_id, cta_name
+  FROM enriched WHERE {srv_filter}
+)"""
+
+
+CLIENT_STEPS = {
+    "purchase_click": "event_name = 'purchase_click'",
+    "changed_selection": "event_name = 'pre_purchase_click' AND cta_name IN ('select_direct', 'select_store')",
+    "direct_continue": "event_name = 'pre_purchase_click' AND cta_name = 'continue' AND payment_platform = 'direct'",
+    "native_popup": "event_name = 'native_popup' AND payment_platform = 'direct'",
+    "client_success": "event_name = 'purchase_successful' AND payment_platform = 'direct'",
+    "validation_request": "event_name = 'verify_request' AND payment_platform = 'direct'",
+    "validation_approval": "event_name = 'verify_approval' AND payment_platform = 'direct'",
+    "rewards": "event_name = 'rewards' AND payment_platform = 'direct'",
+}
+
+
+def _server_steps_sql(success=("wf_success", "wh_success"), add_card=True) -> dict:
+    s = {"webform_impression": "event_name = 'wf_impression'"}
+    if add_card:
+        s["webform_add_card"] = "event_name = 'wf_add_card'"
+    s["webform_pay_click"] = "event_name = 'wf_checkout_click' AND cta_name = 'pay'"
+    s["webform_success"] = f"event_name IN ({lst(success)})"
+    return s
+
+
+def _strip_sql(order, client_id, server_id, server_steps, prefix, suffix, client_src="panel_client",
+               server_src="panel_server") -> str:
+    cols = []
+    for step in order:
+        if step in CLIENT_STEPS:
+            cols.append(f"(SELECT {cdf(CLIENT_STEPS[step], client_id)} FROM {client_src}) AS {prefix}{step}{suffix}")
+        else:
+            cols.append(f"(SELECT {cdf(server_steps[step], server_id)} FROM {server_src}) AS {prefix}{step}{suffix}")
+    return "SELECT " + ",\n  ".join(cols)
+
+
+def _user_funnel_cte(p: Params) -> str:
+    from funnelkit.operators.funnels import USER_FUNNEL_ORDER
+    return _panel_ctes(p) + f""",
+strip AS ({_strip_sql(USER_FUNNEL_ORDER, 'distinct_id', 'distinct_id', _server_steps_sql(), '', '_users')})"""
+
+
+def _exec_cte(p: Params) -> str:
+    from funnelkit.operators.funnels import EXECUTION_ORDER
+    return _panel_ctes(p, "transaction_id", True) + f""",
+strip AS ({_strip_sql(EXECUTION_ORDER, 'funnel_id', 'transaction_id', _server_steps_sql(('wh_success',)),
+                      'funnels_', '')})"""
+
+
+def _by_request_cte(p: Params) -> str:
+    from funnelkit.operators.funnels import BY_REQUEST_ORDER
+    return _panel_ctes(p, "request_id", True) + f""",
+strip AS ({_strip_sql(BY_REQUEST_ORDER, 'funnel_id', 'request_id', _server_steps_sql(add_card=False),
+                      'funnels_', '')})"""
+
+
+def _pct_sql(order, prefix="", suffix="") -> str:
+    base = f"{prefix}{order[0]}{suffix}"
+    parts = [f"SELECT {i + 1} AS step_order, '{s}' AS step, CAST({prefix}{s}{suffix} AS BIGINT) AS value, "
+             f"{pct(prefix + s + suffix, base)} AS pct_of_base FROM strip WHERE {base} > 0"
+             for i, s in enumerate(order)]
+    return "\nUNION ALL ".join(parts)
+
+
+def sql_user_funnel(p: Params) -> str:
+    return with_binding(_user_funnel_cte(p)) + "\nSELECT * FROM strip"
+
+
+def sql_user_funnel_pct(p: Params) -> str:
+    from funnelkit.operators.funnels import USER_FUNNEL_ORDER
+    return with_binding(_user_funnel_cte(p)) + "\n" + _pct_sql(USER_FUNNEL_ORDER, "", "_users")
+
+
+def sql_execution_funnel(p: Params) -> str:
+    return with_binding(_exec_cte(p)) + "\nSELECT * FROM strip"
+
+
+def sql_execution_funnel_pct(p: Params) -> str:
+    from funnelkit.operators.funnels import EXECUTION_ORDER
+    return with_binding(_exec_cte(p)) + "\n" + _pct_sql(EXECUTION_ORDER, "funnels_")
+
+
+def sql_execution_funnel_by_request(p: Params) -> str:
+    return with_binding(_by_request_cte(p)) + "\nSELECT * FROM strip"
+
+
+def sql_execution_funnel_by_request_pct(p: Params) -> str:
+    from funnelkit.operators.funnels import BY_REQUEST_ORDER
+    return with_binding(_by_request_cte(p)) + "\n" + _pct_sql(BY_REQUEST_ORDER, "funnels_")
+
+
+def sql_server_event_enrichment(p: Params) -> str:
+    return with_binding(_panel_ctes(p)) + """
+SELECT DISTINCT distinct_id, request_id, event_name, transaction_id, funnel_id, cta_name, request_timestamp,
+       client_version_float, client_country_code
+FROM enriched"""
+
+
+def sql_server_event_enrichment_asof(p: Params) -> str:
+    """Per-event backward as-of: the last non-null value at or before the
+    server event's own time."""
+    return with_binding(_panel_ctes(p)) + f"""
+SELECT se.distinct_id, se.request_id, se.event_name, se.transaction_id, se.funnel_id, se.cta_name,
+  se.request_timestamp,
+  (SELECT m.version FROM meta m WHERE m.distinct_id = se.distinct_id AND m.ts_s <= se.request_timestamp
+     AND m.version IS NOT NULL ORDER BY m.ts_s DESC LIMIT 1) AS client_version_float,
+  (SELECT m.country FROM meta m WHERE m.distinct_id = se.distinct_id AND m.ts_s <= se.request_timestamp
+     AND m.country IS NOT NULL ORDER BY m.ts_s DESC LIMIT 1) AS client_country_code
+FROM server_events se
+WHERE {server_window(p, alias='se')} AND se.distinct_id IN (SELECT distinct_id FROM exp_users)"""
+
+
+def _cohort_exec_cte(p: Params) -> str:
+    from funnelkit.operators.funnels import EXECUTION_ORDER
+    return _cohort_users(p) + f""",
+cx_client AS (
+  SELECT * FROM client_events
+  WHERE date BETWEEN {D(p.effective_start)} AND {D(p.end)} AND {attr_filters(p, countries=False)}
+    AND funnel_id IS NOT NULL AND distinct_id IN (SELECT distinct_id FROM cohort_users)
+),
+cx_server AS (
+  SELECT * FROM server_events
+  WHERE date BETWEEN {D(p.effective_start)} AND {D(p.end)} AND transaction_id IS NOT NULL
+    AND distinct_id IN (SELECT distinct_id FROM cohort_users)
+),
+strip AS ({_strip_sql(EXECUTION_ORDER, 'funnel_id', 'transaction_id', _server_steps_sql(('wh_success',)),
+                      'funnels_', '', 'cx_client', 'cx_server')})"""
+
+
+def sql_cohort_execution_funnel(p: Params) -> str:
+    return with_binding(_cohort_exec_cte(p)) + "\nSELECT * FROM strip"
+
+
+def sql_cohort_execution_rates(p: Params) -> str:
+    from funnelkit.operators.funnels import EXECUTION_ORDER
+    n = len(EXECUTION_ORDER)
+    rates = [("continue_rate", "direct_continue", "purchase_click"),
+             ("webform_rate", "webform_impression", "direct_continue"),
+             ("pay_click_rate", "webform_pay_click", "webform_impression"),
+             ("success_rate", "client_success", "webform_pay_click"),
+             ("overall_conversion", "client_success", "purchase_click")]
+    rate_sql = "\nUNION ALL ".join(
+        f"SELECT {n + i + 1} AS step_order, '{name}' AS step, CAST(NULL AS BIGINT) AS value, "
+        f"{pct('funnels_' + a, 'funnels_' + b)} AS pct_of_base FROM strip WHERE funnels_purchase_click > 0"
+        for i, (name, a, b) in enumerate(rates))
+    return with_binding(_cohort_exec_cte(p)) + "\n" + _pct_sql(EXECUTION_ORDER, "funnels_") + "\nUNION ALL " + rate_sql

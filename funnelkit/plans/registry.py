@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.operators import cohort as C
 from funnelkit.operators import experiment as X
+from funnelkit.operators import funnels as FN
 from funnelkit.operators import promo as PR
 from funnelkit.operators import segments as S
 from funnelkit.operators import switching as SW
@@ -48,6 +49,17 @@ OPERATORS: dict[str, Op] = {
         C.time_to_first_purchase(t, p.replace(test_start=None))),
     "experiment_funnel": C.experiment_funnel,
     "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
+    "user_funnel": FN.user_funnel,
+    "user_funnel_pct": lambda t, p: FN.funnel_pct(FN.user_funnel(t, p), FN.USER_FUNNEL_ORDER, "", "_users"),
+    "execution_funnel": FN.execution_funnel,
+    "execution_funnel_pct": lambda t, p: FN.funnel_pct(FN.execution_funnel(t, p), FN.EXECUTION_ORDER, "funnels_"),
+    "execution_funnel_by_request": FN.execution_funnel_by_request,
+    "execution_funnel_by_request_pct": lambda t, p: FN.funnel_pct(
+        FN.execution_funnel_by_request(t, p), FN.BY_REQUEST_ORDER, "funnels_"),
+    "server_event_enrichment": lambda t, p: FN.server_event_enrichment(t, p, "user"),
+    "server_event_enrichment_asof": lambda t, p: FN.server_event_enrichment(t, p, "event"),
+    "cohort_execution_funnel": FN.cohort_execution_funnel,
+    "cohort_execution_rates": lambda t, p: FN.cohort_execution_rates(FN.cohort_execution_funnel(t, p)),
     "first_purchase_date": lambda t, p: X.first_purchase_date(t),
     "experiment_timeline": X.experiment_timeline,
     "did_summary": lambda t, p: X.did_summary(X.experiment_timeline(t, p, exact=True)),
