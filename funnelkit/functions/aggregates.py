@@ -33,6 +33,8 @@ class FlagCounts:
     by_user: dict[str, Column] = field(default_factory=dict)
     # name -> condition (sums price_usd) or (condition, decimal amount)
     sums: dict = field(default_factory=dict)
+    # name -> (by_funnel name, by_funnel name): funnels that meet *both*
+    funnel_all: dict = field(default_factory=dict)
     funnel: str = "funnel_id"
     user: str = "distinct_id"
 
@@ -50,9 +52,11 @@ class FlagCounts:
         parts = []
         if self.by_funnel:
             nn = F.col(self.funnel).isNotNull()
-            f = (fine.groupBy(*self.keys, self.funnel)
-                 .agg(*[F.max(F.when(nn, F.col(f"f__{n}")).otherwise(0)).alias(n) for n in self.by_funnel])
-                 .groupBy(*self.keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in self.by_funnel]))
+            per = (fine.groupBy(*self.keys, self.funnel)
+                   .agg(*[F.max(F.when(nn, F.col(f"f__{n}")).otherwise(0)).alias(n) for n in self.by_funnel]))
+            f = per.groupBy(*self.keys).agg(
+                *[F.sum(n).cast("bigint").alias(n) for n in self.by_funnel],
+                *[F.sum(F.col(a) * F.col(b)).cast("bigint").alias(n) for n, (a, b) in self.funnel_all.items()])
             parts.append(f)
         if self.by_user:
             u = (fine.groupBy(*self.keys, self.user)
@@ -67,7 +71,7 @@ class FlagCounts:
             out = out.join(part, self.keys) if self.keys else out.crossJoin(part)
         # empty input: a global aggregate still yields one row of zeros
         fills = [F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)
-                 for n in list(self.by_funnel) + list(self.by_user)]
+                 for n in list(self.by_funnel) + list(self.funnel_all) + list(self.by_user)]
         fills += [F.coalesce(F.col(n), P.dec0()).cast("double").alias(n) for n in self.sums]
         return out.select(*self.keys, *fills)
 

@@ -1007,3 +1007,208 @@ def sql_cohort_execution_rates(p: Params) -> str:
         f"{pct('funnels_' + a, 'funnels_' + b)} AS pct_of_base FROM strip WHERE funnels_purchase_click > 0"
         for i, (name, a, b) in enumerate(rates))
     return with_binding(_cohort_exec_cte(p)) + "\n" + _pct_sql(EXECUTION_ORDER, "funnels_") + "\nUNION ALL " + rate_sql
+
+
+# --- channel-analytics panel: platform KPIs, adoption, latency (A9, A17-A21) ----
+
+def _panel1_ctes(p: Params) -> str:
+    return _exp_users_cte(p) + f""",
+p1 AS (
+  SELECT *, {EVENT_DAY} AS event_date FROM client_events
+  WHERE {client_window(p)} AND {attr_filters(p, exclusions=True, floor=True)}
+    AND distinct_id IN (SELECT distinct_id FROM exp_users)
+)"""
+
+
+def sql_platform_kpi(p: Params) -> str:
+    rules = {"direct": ("os IN ('Apple', 'Android')", "TRUE", "payment_platform = 'direct'"),
+             "apple": ("os = 'Apple'", "os = 'Apple'", APPLE_OK),
+             "googleplay": ("os = 'Android'", "os = 'Android'", GOOGLE_OK)}
+    blocks = []
+    for pl, (act, cos, ok) in rules.items():
+        okc = f"{SUCC} AND {ok}"
+        blocks.append(f"""
+  SELECT '{pl}' AS payment_platform,
+    COUNT(DISTINCT CASE WHEN {act} THEN distinct_id END) AS active_users,
+    {cdf(okc)} AS total_purchases,
+    CAST(COALESCE(SUM(CASE WHEN {okc} THEN CAST(COALESCE(price_usd, 0) AS DECIMAL(18,2)) END), 0) AS DECIMAL(20,2)) AS gross,
+    {cdf(okc, 'distinct_id')} AS ppu,
+    {cdf(f"event_name = 'purchase_click' AND {cos}")} AS purchase_clicks,
+    {cdf(f"{CONT} AND payment_platform = '{pl}' AND {cos}")} AS pp_continue_clicks,
+    {cdf(f"{okc} AND funnel_id IN (SELECT funnel_id FROM cont WHERE payment_platform = '{pl}')")}
+      AS pp_continue_purchases,
+    {cdf(f"{okc} AND interrupted = 1")} AS interrupted_purchases
+  FROM p1""")
+    return with_binding(_panel1_ctes(p), f"""
+cont AS (SELECT DISTINCT funnel_id, payment_platform FROM p1 WHERE {CONT} AND payment_platform IS NOT NULL),
+m AS ({' UNION ALL '.join(blocks)}
+)""") + f"""
+SELECT payment_platform, active_users, total_purchases, round(CAST(gross AS DOUBLE), 6) AS total_gross_revenue,
+  round(CASE WHEN payment_platform = 'direct' THEN CAST(gross AS DOUBLE)
+             ELSE CAST(gross * CAST('0.70' AS DECIMAL(3,2)) AS DOUBLE) END, 6) AS total_net_revenue,
+  ppu, {pct('ppu', 'active_users')} AS ppu_percentage,
+  {ratio('CAST(gross AS DOUBLE)', 'active_users')} AS arpdau,
+  {ratio('CAST(gross AS DOUBLE)', 'ppu')} AS arppu,
+  {ratio('CAST(gross AS DOUBLE)', 'total_purchases')} AS atv,
+  {pct('pp_continue_clicks', 'purchase_clicks')} AS pp_continue_from_purchase_clicks_rate,
+  {pct('pp_continue_purchases', 'pp_continue_clicks')} AS pp_purchase_continue_to_successful_rate,
+  interrupted_purchases, {pct('interrupted_purchases', 'total_purchases')} AS interrupted_purchases_rate
+FROM m ORDER BY payment_platform"""
+
+
+def _ttc_cte() -> str:
+    return f"""
+tm AS (
+  SELECT c1.event_date, avg(CAST(c2.res_timestamp - c1.res_timestamp AS DOUBLE) / 1000.0) AS avg_s,
+         quantile_disc(CAST(c2.res_timestamp - c1.res_timestamp AS DOUBLE) / 1000.0, 0.5) AS median_s
+  FROM p1 c1 JOIN p1 c2 ON c1.funnel_id = c2.funnel_id AND c1.event_name = 'offer_impression'
+    AND c2.event_name = 'pre_purchase_click' AND c2.cta_name = 'continue' AND c2.res_timestamp > c1.res_timestamp
+  GROUP BY c1.event_date
+)"""
+
+
+def sql_time_to_continue_daily(p: Params) -> str:
+    return with_binding(_panel1_ctes(p), _ttc_cte()) + """
+SELECT event_date, round(round(avg_s, 9), 6) AS avg_time_offer_to_continue,
+       median_s AS median_time_offer_to_continue
+FROM tm ORDER BY event_date"""
+
+
+def sql_adoption_daily(p: Params) -> str:
+    ok = f"{SUCC} AND {valid()}"
+    dok = f"{SUCC} AND payment_platform = 'direct'"
+    return with_binding(_panel1_ctes(p), f"""
+dm AS (
+  SELECT event_date,
+    COUNT(DISTINCT distinct_id) AS active_users,
+    {cdf("event_name = 'purchase_click'")} AS purchase_clicks,
+    {cdf(dok)} AS direct_purchases,
+    {cdf(ok)} AS total_purchases,
+    {money(dok)} AS direct_revenue,
+    {money(ok)} AS total_revenue,
+    {cdf(dok, 'distinct_id')} AS direct_payers,
+    {cdf(ok, 'distinct_id')} AS total_payers,
+    {cdf(CONT + " AND payment_platform = 'direct'")} AS direct_continues
+  FROM p1 GROUP BY event_date
+),""" + _ttc_cte()) + f"""
+SELECT dm.event_date,
+  {pct('direct_purchases', 'total_purchases')} AS direct_purchases_share,
+  {pct('direct_revenue', 'total_revenue')} AS direct_revenue_share,
+  {pct('direct_payers', 'total_payers')} AS direct_payers_share,
+  {pct('direct_continues', 'purchase_clicks')} AS pp_continue_from_purchase_clicks_rate,
+  {pct('direct_purchases', 'direct_continues')} AS pp_purchase_continue_to_successful_rate,
+  round(round(COALESCE(tm.avg_s, 0.0), 9), 6) AS avg_time_offer_to_continue,
+  COALESCE(tm.median_s, 0.0) AS median_time_offer_to_continue
+FROM dm LEFT JOIN tm ON dm.event_date = tm.event_date ORDER BY dm.event_date"""
+
+
+def _card_edit_cte(p: Params) -> str:
+    return f"""
+cee AS (
+  SELECT DISTINCT transaction_id, request_timestamp FROM server_events
+  WHERE event_name = 'wf_add_card' AND date BETWEEN {D(p.start)} AND {D(p.end)} AND transaction_id IS NOT NULL
+),
+card_edit AS (
+  SELECT DISTINCT cee.transaction_id,
+    LAST_VALUE(se.funnel_id IGNORE NULLS) OVER (PARTITION BY cee.transaction_id
+      ORDER BY se.request_timestamp, se.funnel_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS funnel_id
+  FROM cee LEFT JOIN server_events se ON cee.transaction_id = se.transaction_id AND se.funnel_id IS NOT NULL
+  WHERE se.date BETWEEN {D(p.start)} AND {D(p.end)}
+)"""
+
+
+def sql_card_edit_funnels(p: Params) -> str:
+    return with_binding(_card_edit_cte(p)) + "\nSELECT transaction_id, funnel_id FROM card_edit"
+
+
+def _latency_sql(p: Params, exclude_first: bool) -> str:
+    first = ""
+    fc = fs = ""
+    if exclude_first:
+        first = f""",
+first_f AS (
+  SELECT DISTINCT distinct_id, FIRST_VALUE(funnel_id) OVER (PARTITION BY distinct_id
+    ORDER BY res_timestamp, funnel_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS funnel_id
+  FROM client_events
+  WHERE date BETWEEN {D(p.start)} AND {D(p.end)} AND payment_platform = 'direct' AND funnel_id IS NOT NULL
+    AND {CONT}
+)"""
+        fc = " AND funnel_id NOT IN (SELECT funnel_id FROM first_f WHERE funnel_id IS NOT NULL)"
+        fs = fc
+    srv_filter = attr_filters(p, os=False, floor=True, version_col="client_version_float",
+                              country_col="client_country_code")
+    if p.fix_units:
+        wf = lambda a, b: f"CAST({a} - {b} AS DOUBLE)"
+        wfc = "CAST(fe.success_ts AS DOUBLE) / 1000.0 - CAST(swe.wf_success_ts AS DOUBLE)"
+    else:
+        wf = lambda a, b: f"CAST({a} - {b} AS DOUBLE) / 1000.0"
+        wfc = "CAST(fe.success_ts - swe.wf_success_ts AS DOUBLE) / 1000.0"
+    ctes = _panel1_ctes(p) + "," + _card_edit_cte(p) + first + f""",
+lc AS (
+  SELECT * FROM p1 WHERE funnel_id IS NOT NULL
+    AND funnel_id NOT IN (SELECT funnel_id FROM card_edit WHERE funnel_id IS NOT NULL){fc}
+),
+meta AS (
+  SELECT distinct_id, res_timestamp / 1000 AS ts_s, NULLIF(version_float, 0) AS version, country
+  FROM client_events WHERE {client_window(p)}
+),
+enriched AS (
+  SELECT se.*,
+    LAST_VALUE(cm.version IGNORE NULLS) OVER (PARTITION BY se.distinct_id ORDER BY cm.ts_s
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS client_version_float,
+    LAST_VALUE(cm.country IGNORE NULLS) OVER (PARTITION BY se.distinct_id ORDER BY cm.ts_s
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS client_country_code
+  FROM server_events se LEFT JOIN meta cm ON se.distinct_id = cm.distinct_id AND cm.ts_s <= se.request_timestamp
+  WHERE {server_window(p, alias='se')} AND se.funnel_id IS NOT NULL
+    AND se.distinct_id IN (SELECT distinct_id FROM exp_users)
+),
+ls AS (
+  SELECT DISTINCT distinct_id, event_name, funnel_id, cta_name, request_timestamp FROM enriched
+  WHERE {srv_filter}
+    AND funnel_id NOT IN (SELECT funnel_id FROM card_edit WHERE funnel_id IS NOT NULL){fs}
+),
+fe AS (
+  SELECT funnel_id, payment_platform,
+    MAX(CASE WHEN {CONT} THEN res_timestamp END) AS continue_ts,
+    MAX(CASE WHEN event_name = 'native_popup' THEN res_timestamp END) AS popup_ts,
+    MAX(CASE WHEN {SUCC} AND {valid()} THEN res_timestamp END) AS success_ts,
+    MAX(CASE WHEN event_name = 'rewards' THEN res_timestamp END) AS rewards_ts
+  FROM lc GROUP BY funnel_id, payment_platform
+),
+swe AS (
+  SELECT funnel_id,
+    MAX(CASE WHEN event_name = 'wf_impression' THEN request_timestamp END) AS wf_impression_ts,
+    MAX(CASE WHEN event_name = 'wf_checkout_click' AND cta_name = 'pay' THEN request_timestamp END) AS wf_click_ts,
+    MAX(CASE WHEN event_name IN ('wf_success', 'wh_success') THEN request_timestamp END) AS wf_success_ts
+  FROM ls GROUP BY funnel_id
+),
+td AS (
+  SELECT fe.payment_platform,
+    CAST(fe.rewards_ts - fe.continue_ts AS DOUBLE) / 1000.0 AS continue_to_rewards,
+    CAST(fe.popup_ts - fe.continue_ts AS DOUBLE) / 1000.0 AS continue_to_popup,
+    CAST(fe.success_ts - fe.popup_ts AS DOUBLE) / 1000.0 AS popup_to_success,
+    CAST(fe.rewards_ts - fe.success_ts AS DOUBLE) / 1000.0 AS success_to_rewards,
+    {wf('swe.wf_click_ts', 'swe.wf_impression_ts')} AS wf_impression_to_click,
+    {wf('swe.wf_success_ts', 'swe.wf_click_ts')} AS wf_click_to_success,
+    {wfc} AS wf_success_to_client_success
+  FROM fe LEFT JOIN swe ON fe.funnel_id = swe.funnel_id
+  WHERE fe.payment_platform IN ('direct', 'apple', 'googleplay') AND fe.continue_ts IS NOT NULL
+)"""
+    cd = ["continue_to_rewards", "continue_to_popup", "popup_to_success", "success_to_rewards"]
+    wd = ["wf_impression_to_click", "wf_click_to_success", "wf_success_to_client_success"]
+    cols = [f"quantile_disc({c}, 0.5) AS median_{c}" for c in cd]
+    cols += [f"round(round(avg({c}), 9), 6) AS avg_{c}" for c in cd]
+    cols += [f"CASE WHEN payment_platform = 'direct' THEN quantile_disc({c}, 0.5) END AS median_{c}" for c in wd]
+    cols += [f"CASE WHEN payment_platform = 'direct' THEN round(round(avg({c}), 9), 6) END AS avg_{c}" for c in wd]
+    return with_binding(ctes) + f"""
+SELECT payment_platform,
+  {', '.join(cols)}
+FROM td WHERE continue_to_rewards > 0 GROUP BY payment_platform ORDER BY payment_platform"""
+
+
+def sql_funnel_latency(p: Params) -> str:
+    return _latency_sql(p, False)
+
+
+def sql_funnel_latency_excl_first(p: Params) -> str:
+    return _latency_sql(p, True)

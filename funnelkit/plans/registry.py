@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from funnelkit.operators import cohort as C
 from funnelkit.operators import experiment as X
 from funnelkit.operators import funnels as FN
+from funnelkit.operators import kpi as K
+from funnelkit.operators import latency as L
 from funnelkit.operators import promo as PR
 from funnelkit.operators import segments as S
 from funnelkit.operators import switching as SW
@@ -49,6 +51,12 @@ OPERATORS: dict[str, Op] = {
         C.time_to_first_purchase(t, p.replace(test_start=None))),
     "experiment_funnel": C.experiment_funnel,
     "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
+    "platform_kpi": K.platform_kpi,
+    "adoption_daily": K.adoption_daily,
+    "time_to_continue_daily": K.time_to_continue_daily,
+    "funnel_latency": lambda t, p: L.funnel_latency(t, p, exclude_first=False),
+    "funnel_latency_excl_first": lambda t, p: L.funnel_latency(t, p, exclude_first=True),
+    "card_edit_funnels": L.card_edit_funnels,
     "user_funnel": FN.user_funnel,
     "user_funnel_pct": lambda t, p: FN.funnel_pct(FN.user_funnel(t, p), FN.USER_FUNNEL_ORDER, "", "_users"),
     "execution_funnel": FN.execution_funnel,
