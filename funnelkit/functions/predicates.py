@@ -177,3 +177,30 @@ def store_ok() -> Column:
 
 def dec0() -> Column:
     return F.lit(0).cast("decimal(18,2)")
+
+
+def country_filters(p: Params, *, countries=True, exclusions=False, country_col="country") -> Column:
+    cond = F.lit(True)
+    if countries and p.countries:
+        cond = cond & col(country_col).isin(list(p.countries))
+    if exclusions and p.exclude_testing_countries:
+        cond = cond & ~col(country_col).isin(list(p.excluded_countries))
+    return cond
+
+
+def needs_country(p: Params, *, countries=True, exclusions=False, low_payers=True) -> bool:
+    return bool((countries and p.countries) or (exclusions and p.exclude_testing_countries)
+                or (low_payers and p.low_payers_only))
+
+
+def filtered_client(t, p: Params, base: Column, *, countries=True, exclusions=False, floor=False,
+                    low_payers=True) -> DataFrame:
+    """Client rows meeting ``base`` and the filter panel.  Non-country
+    predicates are applied first (they push down to the scan); the country is
+    attached afterwards only if a country predicate is active."""
+    df = t.client.where(base & attribute_filters(p, countries=False, floor=floor))
+    if needs_country(p, countries=countries, exclusions=exclusions, low_payers=low_payers):
+        df = t.with_country(df).where(country_filters(p, countries=countries, exclusions=exclusions))
+        if low_payers:
+            df = low_payer_filter(df, p, t.countries)
+    return df

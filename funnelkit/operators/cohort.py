@@ -60,12 +60,13 @@ def cohort_funnel(t: Tables, p: Params) -> DataFrame:
     # gate: the funnel had a store continue anywhere in the cohort rows
     gate = F.max("f__store_continue_any").over(Window.partitionBy("funnel_id"))
     gated = fine.withColumn("gate", F.when(F.col("funnel_id").isNotNull(), gate).otherwise(0))
+    g = F.col("gate")
+    replaced = {}
     for store in ("apple", "google"):
-        gated = (gated
-                 .withColumn(f"f__{store}_purchases", F.col(f"f__{store}_purchases") * F.col("gate"))
-                 .withColumn(f"u__{store}_paying_users", F.col(f"u__{store}_paying_users") * F.col("gate"))
-                 .withColumn(f"s__{store}_revenue", F.when(F.col("gate") == 1, F.col(f"s__{store}_revenue"))
-                             .otherwise(P.dec0())))
+        replaced[f"f__{store}_purchases"] = F.col(f"f__{store}_purchases") * g
+        replaced[f"u__{store}_paying_users"] = F.col(f"u__{store}_paying_users") * g
+        replaced[f"s__{store}_revenue"] = F.when(g == 1, F.col(f"s__{store}_revenue")).otherwise(P.dec0())
+    gated = gated.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in gated.columns])
     out = counts.derive(gated)
     return out.select("purchase_clicks", "purchase_click_users", "direct_continue", "apple_continue",
                       "google_continue", "direct_purchases", "apple_purchases", "google_purchases",

@@ -29,7 +29,7 @@ from funnelkit.sources.binding import Tables
 def client_metadata(t: Tables, p: Params) -> DataFrame:
     """Client rows of the window: user, time in (fractional) seconds, version
     (0 = unknown -> null), country."""
-    return (t.client.where(P.client_window(p))
+    return (t.with_country(t.client.where(P.client_window(p)))
             .select("distinct_id", (F.col("res_timestamp") / 1000.0).alias("ts_s"),
                     F.nullif(F.col("version_float"), F.lit(0.0)).alias("version"), "country"))
 

@@ -62,9 +62,8 @@ BY_REQUEST_ORDER = [s for s in EXECUTION_ORDER if s != "webform_add_card"]
 def panel_client_rows(t: Tables, p: Params, users: DataFrame) -> DataFrame:
     """Client rows of the channel-analytics panels: window, test users, OS /
     version / country / low-payer filters and the version floor."""
-    rows = (t.client.where(P.client_window(p) & P.attribute_filters(p, floor=True))
-            .join(users, "distinct_id", "left_semi"))
-    return P.low_payer_filter(rows, p, t.countries)
+    rows = P.filtered_client(t, p, P.client_window(p), floor=True)
+    return rows.join(users, "distinct_id", "left_semi")
 
 
 def panel_server_rows(t: Tables, p: Params, users: DataFrame, id_col: str | None = None) -> DataFrame:

@@ -35,9 +35,8 @@ def _valid(pl: str) -> Column:
 def panel_rows(t: Tables, p: Params) -> DataFrame:
     """Client rows of charts 1, 6, 7: window, all filter-panel predicates
     including the testing-country exclusion, version floor, test users."""
-    rows = (t.client.where(P.client_window(p) & P.attribute_filters(p, exclusions=True, floor=True))
-            .join(experiment_users(t, p), "distinct_id", "left_semi"))
-    return P.low_payer_filter(rows, p, t.countries)
+    rows = P.filtered_client(t, p, P.client_window(p), exclusions=True, floor=True)
+    return rows.join(experiment_users(t, p), "distinct_id", "left_semi")
 
 
 def platform_kpi(t: Tables, p: Params) -> DataFrame:

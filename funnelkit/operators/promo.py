@@ -57,7 +57,7 @@ def promo_user_details(t: Tables, p: Params) -> DataFrame:
 
 def promo_outside_users(t: Tables, p: Params) -> DataFrame:
     """Exposed users with no experiment tag, by user / country / OS."""
-    per = (promo_rows(t, p).groupBy("distinct_id", "country", "os")
+    per = (t.with_country(promo_rows(t, p)).groupBy("distinct_id", "country", "os")
            .agg(F.min("date").alias("first_impression_date"), F.max("date").alias("last_impression_date"),
                 F.count(F.lit(1)).alias("impression_count")))
     return (per.join(_labels(t, p).select("distinct_id"), "distinct_id", "left_anti")

@@ -88,8 +88,8 @@ def available_versions(t: Tables, p: Params) -> DataFrame:
 
 def available_countries(t: Tables, p: Params) -> DataFrame:
     """A2: distinct non-empty countries seen in the last 90 days."""
-    c = t.client
-    return (c.where(P.nonempty("country") & (F.col("date") >= F.lit(p.days_before(90))))
+    c = t.with_country(t.client.where(F.col("date") >= F.lit(p.days_before(90))))
+    return (c.where(P.nonempty("country"))
             .select(F.col("country")).distinct().orderBy("country"))
 
 
