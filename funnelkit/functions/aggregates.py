@@ -38,34 +38,56 @@ class FlagCounts:
     funnel: str = "funnel_id"
     user: str = "distinct_id"
 
+    def _grain(self) -> list[str]:
+        g = list(self.keys)
+        if self.by_user:
+            g.append(self.user)
+        if self.by_funnel or self.funnel_all:
+            g.append(self.funnel)
+        return g
+
     def fine(self, df: DataFrame) -> DataFrame:
-        """One row per (keys, user, funnel) with flags and exact sums."""
+        """One row per (keys, user, funnel) with flags and exact sums; the user
+        or funnel key is left out when no count needs it."""
         aggs = [any_flag(c).alias(f"f__{n}") for n, c in self.by_funnel.items()]
         aggs += [any_flag(c).alias(f"u__{n}") for n, c in self.by_user.items()]
         for n, c in self.sums.items():
             cond, amount = c if isinstance(c, tuple) else (c, P.money("price_usd"))
             aggs.append(F.sum(F.when(cond, amount).otherwise(P.dec0())).alias(f"s__{n}"))
-        return df.groupBy(*self.keys, self.user, self.funnel).agg(*aggs)
+        return df.groupBy(*self._grain()).agg(*aggs)
 
     def derive(self, fine: DataFrame) -> DataFrame:
-        """Counts and sums per ``keys`` from the fine table."""
+        """Counts and sums per ``keys`` from the fine table.  Sums ride along
+        with the first count branch, so there is at most one join per
+        id kind."""
         parts = []
-        if self.by_funnel:
+        sums = [F.sum(f"s__{n}").alias(f"s__{n}") for n in self.sums]
+        if self.by_funnel or self.funnel_all:
             nn = F.col(self.funnel).isNotNull()
-            per = (fine.groupBy(*self.keys, self.funnel)
-                   .agg(*[F.max(F.when(nn, F.col(f"f__{n}")).otherwise(0)).alias(n) for n in self.by_funnel]))
-            f = per.groupBy(*self.keys).agg(
+            flags = [F.when(nn, F.col(f"f__{n}")).otherwise(0) for n in self.by_funnel]
+            if self.by_user:
+                per = fine.groupBy(*self.keys, self.funnel).agg(
+                    *[F.max(f).alias(n) for f, n in zip(flags, self.by_funnel)], *sums)
+            else:
+                per = fine.select(*self.keys, *[f.alias(n) for f, n in zip(flags, self.by_funnel)],
+                                  *[F.col(f"s__{n}") for n in self.sums])
+            parts.append(per.groupBy(*self.keys).agg(
                 *[F.sum(n).cast("bigint").alias(n) for n in self.by_funnel],
-                *[F.sum(F.col(a) * F.col(b)).cast("bigint").alias(n) for n, (a, b) in self.funnel_all.items()])
-            parts.append(f)
+                *[F.sum(F.col(a) * F.col(b)).cast("bigint").alias(n) for n, (a, b) in self.funnel_all.items()],
+                *[F.sum(f"s__{n}").alias(n) for n in self.sums]))
+            sums = []
         if self.by_user:
-            u = (fine.groupBy(*self.keys, self.user)
-                 .agg(*[F.max(f"u__{n}").alias(n) for n in self.by_user])
-                 .groupBy(*self.keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in self.by_user]))
-            parts.append(u)
-        if self.sums:
-            s = fine.groupBy(*self.keys).agg(*[F.sum(f"s__{n}").alias(n) for n in self.sums])
-            parts.append(s)
+            if self.by_funnel or self.funnel_all:
+                per = fine.groupBy(*self.keys, self.user).agg(
+                    *[F.max(f"u__{n}").alias(f"u__{n}") for n in self.by_user], *sums)
+            else:
+                per = fine
+            parts.append(per.groupBy(*self.keys).agg(
+                *[F.sum(f"u__{n}").cast("bigint").alias(n) for n in self.by_user],
+                *[F.sum(f"s__{n}").alias(n) for n in (self.sums if sums else [])]))
+            sums = []
+        if sums:
+            parts.append(fine.groupBy(*self.keys).agg(*[F.sum(f"s__{n}").alias(n) for n in self.sums]))
         out = parts[0]
         for part in parts[1:]:
             out = out.join(part, self.keys) if self.keys else out.crossJoin(part)

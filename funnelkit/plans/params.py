@@ -47,7 +47,7 @@ class Params:
     # behaviour switches; defaults reproduce the original analyses exactly
     fix_units: bool = False
     enrich_mode: str = "user"
-    exact_median: bool = True
+    exact_median: bool = False
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
