@@ -1212,3 +1212,7 @@ def sql_funnel_latency(p: Params) -> str:
 
 def sql_funnel_latency_excl_first(p: Params) -> str:
     return _latency_sql(p, True)
+
+
+def sql_experiment_timeline_test_only(p: Params) -> str:
+    return with_binding(_timeline_cte(p)) + "\nSELECT * FROM timeline WHERE segment = 'Test' ORDER BY event_date"

@@ -70,6 +70,7 @@ OPERATORS: dict[str, Op] = {
     "cohort_execution_rates": lambda t, p: FN.cohort_execution_rates(FN.cohort_execution_funnel(t, p)),
     "first_purchase_date": lambda t, p: X.first_purchase_date(t),
     "experiment_timeline": X.experiment_timeline,
+    "experiment_timeline_test_only": lambda t, p: X.experiment_timeline(t, p, only_test=True),
     "did_summary": lambda t, p: X.did_summary(X.experiment_timeline(t, p, exact=True)),
     "did_summary_net": lambda t, p: X.did_summary_net(X.experiment_timeline(t, p, exact=True)),
     "before_after": lambda t, p: X.before_after(X.experiment_timeline(t, p, exact=True)),

@@ -37,11 +37,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "funnel
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temp folder only
-    when the session has none (local tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``
+    (Spark sets it on the context at start-up); a temporary folder only when
+    the session has none, as in local tests."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d

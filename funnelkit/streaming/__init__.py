@@ -1,0 +1 @@
+"""Streaming entry points (the original refreshes results on a timer; see refresh.py)."""
