@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions import predicates as P
 from funnelkit.functions import vocab as V
 from funnelkit.functions.aggregates import FlagCounts
+from funnelkit.functions.pairs import pair_stats
 from funnelkit.operators.experiment import event_day
 from funnelkit.operators.segments import experiment_users
 from funnelkit.plans.params import Params
@@ -96,14 +97,15 @@ def median(c: str, p: Params) -> Column:
 
 def time_to_continue(rows: DataFrame, p: Params) -> DataFrame:
     """Seconds from each offer impression to every later continue click
-    of the same funnel, averaged and median per impression day."""
+    of the same funnel, mean and (lower) median per impression day.  The
+    statistics are taken over all such pairs; a funnel with more candidate
+    pairs than a fixed bound switches the whole computation to the pair-free
+    counting method (``functions.pairs``)."""
     imp = rows.where(F.col("event_name") == V.OFFER_IMPRESSION).select(
-        "funnel_id", F.col("res_timestamp").alias("t1"), F.col("event_date"))
-    cont = rows.where(P.is_continue() & F.col("funnel_id").isNotNull()).select(
-        "funnel_id", F.col("res_timestamp").alias("t2"))
-    pairs = (imp.join(cont, "funnel_id").where(F.col("t2") > F.col("t1"))
-             .select("event_date", ((F.col("t2") - F.col("t1")).cast("double") / 1000.0).alias("dt")))
-    return pairs.groupBy("event_date").agg(F.avg("dt").alias("avg_s"), median("dt", p).alias("median_s"))
+        "funnel_id", F.col("res_timestamp").alias("t"), "event_date")
+    cont = rows.where(P.is_continue()).select("funnel_id", F.col("res_timestamp").alias("t"))
+    return pair_stats(imp, cont, "event_date", median_fn=lambda c: median(c, p)).select(
+        "event_date", "avg_s", "median_s")
 
 
 def adoption_daily(t: Tables, p: Params) -> DataFrame:

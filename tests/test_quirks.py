@@ -239,3 +239,22 @@ def test_did_missing_cell_counts_zero(spark):
     a = did["active_users"]
     assert (a["test_before"], a["test_after"], a["control_before"], a["control_after"]) == (0.0, 1.0, 0.0, 0.0)
     assert a["test_change_pct"] == 0.0 and a["diff_in_diff"] == 1.0 and a["diff_in_diff_pct"] == 0.0
+
+
+def test_pair_stats_counting_path_matches_brute_force(spark):
+    """A hot funnel (many impressions and continues) forces the pair-free
+    counting method; mean and lower median equal the brute-force values."""
+    import statistics
+    from funnelkit.functions.pairs import pair_stats
+    imp_t = [1000 * i + 7 * (i % 5) for i in range(0, 60)]
+    cont_t = [1500 * i + 3 for i in range(0, 45)] + [86_400_000 + 250 * i for i in range(10)]
+    imp = spark.createDataFrame([(1, t, "d") for t in imp_t] + [(2, 5, "d"), (None, 1, "d")],
+                                "funnel_id bigint, t bigint, g string")
+    later = spark.createDataFrame([(1, t) for t in cont_t] + [(2, 9), (3, 1)], "funnel_id bigint, t bigint")
+    deltas = sorted([(c - i) / 1000.0 for i in imp_t for c in cont_t if c > i] + [0.004])
+    got = pair_stats(imp, later, "g", pair_limit=10).collect()[0]
+    assert got["n_pairs"] == len(deltas)
+    assert abs(got["avg_s"] - statistics.fmean(deltas)) < 1e-9
+    assert got["median_s"] == deltas[(len(deltas) + 1) // 2 - 1]
+    small = pair_stats(imp, later, "g").collect()[0]       # bounded join path
+    assert small["n_pairs"] == got["n_pairs"] and small["median_s"] == got["median_s"]
