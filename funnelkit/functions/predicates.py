@@ -42,9 +42,18 @@ def r6_stable(c) -> Column:
     return F.round(F.round(col(c), 9), 6)
 
 
+def _ident(name: str) -> bool:
+    return name.replace("_", "").isalnum()
+
+
 def safe_ratio(n, d, scale: float = 1.0, rounded: bool = True) -> Column:
     """``n * scale / d`` as double when ``d > 0`` else 0 (rounded to 6 dp
     unless the value feeds a further aggregate)."""
+    if isinstance(n, str) and isinstance(d, str) and _ident(n) and _ident(d):
+        # same expression, parsed in one call (cheaper plan building)
+        num = f"CAST({n} AS DOUBLE)" + (f" * {float(scale)!r}D" if scale != 1.0 else "")
+        e = f"CASE WHEN {d} > 0 THEN {num} / CAST({d} AS DOUBLE) ELSE 0.0D END"
+        return F.expr(f"round({e}, 6)" if rounded else e)
     n, d = col(n), col(d)
     num = n.cast("double") * F.lit(float(scale)) if scale != 1.0 else n.cast("double")
     out = F.when(d > 0, num / d.cast("double")).otherwise(F.lit(0.0))

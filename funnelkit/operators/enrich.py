@@ -18,6 +18,8 @@ user-day.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from funnelkit.plans.params import Params
 from funnelkit.sources.binding import Tables
 
 
+@lru_cache(maxsize=256)
 def client_metadata(t: Tables, p: Params) -> DataFrame:
     """Client rows of the window: user, time in (fractional) seconds, version
     (0 = unknown -> null), country."""

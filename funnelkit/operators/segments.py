@@ -6,11 +6,14 @@ latest row per user is taken with ``max_by`` over a (date, time, event_id)
 struct: a hash aggregate with map-side partial aggregation, so a user with a
 third of all config events still reduces to one row per map task before the
 shuffle.
+
+The segment helpers are memoised on (tables, params): they return lazy plans,
+so sharing them only saves re-building the same plan in Python, never data.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ def _tagged_config_events(client: DataFrame, since) -> DataFrame:
                      .when(seg.like(V.CONTROL_TAG), F.lit(V.CONTROL)).alias("segment")))
 
 
+@lru_cache(maxsize=512)
 def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest: bool = True) -> DataFrame:
     """One row per tagged user: ``distinct_id, segment, segment_date``.
 
@@ -44,6 +48,7 @@ def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest:
             .select("distinct_id", F.col("s.segment").alias("segment"), F.col("s.date").alias("segment_date")))
 
 
+@lru_cache(maxsize=512)
 def segment_users(t: Tables, p: Params, segment: str | None = None, home: bool = True,
                   lookback_days: int = 30) -> DataFrame:
     """A3: latest segment per user joined to the player dimension.
@@ -63,15 +68,18 @@ def segment_users(t: Tables, p: Params, segment: str | None = None, home: bool =
                     "segment", "segment_date"))
 
 
+@lru_cache(maxsize=512)
 def segment_map(t: Tables, p: Params, home: bool = True) -> DataFrame:
     """``distinct_id -> segment`` for both arms (the join side of most operators)."""
     return segment_users(t, p, home=home).select("distinct_id", "segment")
 
 
+@lru_cache(maxsize=512)
 def cohort_users(t: Tables, p: Params, segment: str = V.TEST, home: bool = True) -> DataFrame:
     return segment_users(t, p, segment=segment, home=home).select("distinct_id")
 
 
+@lru_cache(maxsize=512)
 def experiment_users(t: Tables, p: Params, segment: str = V.TEST) -> DataFrame:
     """Users of one arm by latest tag only (no player/home-market restriction),
     as used by the channel-analytics funnels."""
