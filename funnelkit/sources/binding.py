@@ -48,6 +48,27 @@ class Tables:
         t = spark.table
         return Tables(t(client), t(server), t(players), t(countries), t(testers))
 
+    @staticmethod
+    def from_parquet(spark: SparkSession, base: str) -> "Tables":
+        """Canonical tables stored under ``base`` (as written by
+        ``materialize``): the event logs are partitioned by ``date``, so the
+        literal date bounds of every analysis prune whole directories."""
+        r = spark.read.parquet
+        return Tables(r(f"{base}/client_events"), r(f"{base}/server_events"), r(f"{base}/dim_player"),
+                      r(f"{base}/dim_country"), r(f"{base}/tester_list"))
+
+    def materialize(self, base: str) -> None:
+        """Write the canonical tables in the production layout: event logs
+        partitioned by ``date`` and clustered by user within a day, dimensions
+        as plain Parquet.  The country is resolved into the client log."""
+        client = self.with_country(self.client)
+        for name, df in (("client_events", client), ("server_events", self.server)):
+            (df.repartition("date").sortWithinPartitions("distinct_id")
+             .write.mode("overwrite").partitionBy("date").parquet(f"{base}/{name}"))
+        for name, df in (("dim_player", self.players), ("dim_country", self.countries),
+                         ("tester_list", self.testers)):
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+
 
 # --- fixed values of the test binding (FIXTURES.md §2) -------------------------
 EPOCH_DAY0 = "2024-01-01"

@@ -258,3 +258,14 @@ def test_pair_stats_counting_path_matches_brute_force(spark):
     assert got["median_s"] == deltas[(len(deltas) + 1) // 2 - 1]
     small = pair_stats(imp, later, "g").collect()[0]       # bounded join path
     assert small["n_pairs"] == got["n_pairs"] and small["median_s"] == got["median_s"]
+
+
+def test_low_payer_filter_semi_join(spark):
+    p = P0.replace(low_payers_only=True)
+    t = tables(spark, [tag(1, 1, "test", country="NATION_0"), tag(2, 1, "test", country="NATION_1"),
+                       ev(1, 16, "purchase_click", country="NATION_0", payment_platform="direct", funnel_id=1),
+                       ev(2, 16, "purchase_click", country="NATION_1", payment_platform="direct", funnel_id=2)],
+               countries=[dict(country_code="NATION_0", is_low_payers_country=True),
+                          dict(country_code="NATION_1", is_low_payers_country=False)])
+    assert rows(FN.user_funnel(t, p))[0]["purchase_click_users"] == 1
+    assert rows(FN.user_funnel(t, P0))[0]["purchase_click_users"] == 2
