@@ -171,7 +171,10 @@ def bind_players(events: DataFrame, customer: DataFrame, nation: DataFrame, regi
            .join(F.broadcast(region.select(F.col("r_regionkey").alias("n_regionkey"),
                                            F.col("r_name").alias("first_country"))), "n_regionkey")
            .select("distinct_id", "first_country"))
-    return first.join(geo, "distinct_id").select("distinct_id", "first_event_time", "first_country")
+    # one row per player; the first-event time is a unique-keyed left join, so
+    # Catalyst drops the whole events aggregate when an analysis only needs
+    # the player key and country
+    return geo.join(first, "distinct_id", "left").select("distinct_id", "first_event_time", "first_country")
 
 
 def bind_countries(nation: DataFrame) -> DataFrame:
@@ -272,11 +275,12 @@ server_events AS (
   WHERE e.event_type = 'error'
 ),
 dim_player AS (
-  SELECT f.distinct_id, f.first_event_time, r.r_name AS first_country
-  FROM (SELECT user_id AS distinct_id, min(ts) AS first_event_time FROM events GROUP BY user_id) f
-  JOIN customer c ON c.c_custkey = f.distinct_id
+  SELECT c.c_custkey AS distinct_id, f.first_event_time, r.r_name AS first_country
+  FROM customer c
   JOIN nation n ON n.n_nationkey = c.c_nationkey
   JOIN region r ON r.r_regionkey = n.n_regionkey
+  LEFT JOIN (SELECT user_id AS distinct_id, min(ts) AS first_event_time FROM events GROUP BY user_id) f
+    ON c.c_custkey = f.distinct_id
 ),
 dim_country AS (
   SELECT n_name AS country_code, n_nationkey % 4 = 0 AS is_low_payers_country FROM nation
