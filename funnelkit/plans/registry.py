@@ -9,6 +9,7 @@ aggregate they derive from.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,3 +102,27 @@ def run(name: str, spark: SparkSession, sf_dir: str, p: Params | None = None) ->
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in OPERATORS}
+
+
+@contextmanager
+def shared_inputs(t: Tables, p: Params):
+    """Cache the segment maps that most analyses of one dashboard session
+    share (SURVEY R11), for the duration of the ``with`` block.
+
+    Spark's cache matches on the logical plan, so every analysis run inside the
+    block with the same tables and parameters reads the cached maps instead of
+    re-scanning the configuration events.  Cached blocks live in executor
+    memory / local disk and are rebuilt from lineage if an executor is lost.
+    """
+    from pyspark import StorageLevel
+
+    from funnelkit.operators.segments import experiment_users, segment_users, user_segments
+
+    shared = [user_segments(t.client, p), segment_users(t, p), experiment_users(t, p)]
+    for df in shared:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield t
+    finally:
+        for df in shared:
+            df.unpersist()

@@ -46,3 +46,16 @@ def test_promo_users_are_distinct_exposed(spark):
 def test_user_funnel_bounded_by_clicks(spark):
     r = one(spark, "user_funnel_pct")
     assert r and r[0]["pct_of_base"] == 100.0
+
+
+def test_shared_inputs_cache_gives_same_results(spark):
+    from funnelkit.plans.params import default_params
+    from funnelkit.plans.registry import OPERATORS, shared_inputs
+    from funnelkit.sources.binding import load_tables
+    t, p = load_tables(spark, SF), default_params()
+    plain = {k: sorted(map(tuple, OPERATORS[k](t, p).collect())) for k in ("cohort_daily", "segment_stats")}
+    with shared_inputs(t, p):
+        df = OPERATORS["cohort_daily"](t, p)
+        assert "InMemoryRelation" in df._jdf.queryExecution().optimizedPlan().toString()
+        cached = {k: sorted(map(tuple, OPERATORS[k](t, p).collect())) for k in ("cohort_daily", "segment_stats")}
+    assert plain == cached
