@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_compare import duck, rows_of
+from tools.oracle_compare import SPARK_TO_DUCK, duck, rows_of
 
 SF_DIR = os.environ.get("FUNNELKIT_ORACLE_DIR", "/root/testdata/sf0.001")
 QUERIES = E.queries()
@@ -29,6 +29,8 @@ def test_matches_oracle(spark, con, key):
     rel = con.sql(SQL[key])
     d_cols, d_rows = rel.columns, rel.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert s_types == {c: str(t) for c, t in zip(d_cols, rel.types)}
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
 
 
