@@ -165,14 +165,15 @@ def experiment_timeline(t: Tables, p: Params, only_test: bool = False, exact: bo
 
 
 def _kpi_long(timeline: DataFrame, kpis: list[str], group: str = "segment") -> DataFrame:
-    return (timeline.select(group, "period", *[F.col(k).cast("double").alias(k) for k in kpis])
+    return (timeline.selectExpr(group, "period", *[f"CAST({k} AS DOUBLE) AS {k}" for k in kpis])
             .unpivot([group, "period"], kpis, "kpi", "value"))
 
 
 def _kpi_meta(df: DataFrame, kpis: list[str]) -> DataFrame:
-    order = F.create_map(*[x for i, k in enumerate(kpis) for x in (F.lit(k), F.lit(i + 1))])
-    label = F.create_map(*[x for k in kpis for x in (F.lit(k), F.lit(KPI_LABELS[k]))])
-    return df.withColumn("kpi_order", order[F.col("kpi")]).withColumn("label", label[F.col("kpi")])
+    order = ", ".join(f"'{k}', {i + 1}" for i, k in enumerate(kpis))
+    label = ", ".join(f"'{k}', '{KPI_LABELS[k]}'" for k in kpis)
+    return df.select("*", F.expr(f"map({order})[kpi]").alias("kpi_order"),
+                     F.expr(f"map({label})[kpi]").alias("label"))
 
 
 def _cell(seg: str, period: str | None = None):
