@@ -9,9 +9,9 @@ size of a funnel.  Everything here is built from one primitive instead:
     cum_le(key, t) = number (and time sum) of later-side events of the same
                      key at or before time t
 
-computed with running sums over (key, day bucket) windows plus per-bucket
+computed with running sums over (key, hour bucket) windows plus per-bucket
 totals carried over earlier buckets, so a window partition never holds more
-than one key-day and the carried totals hold one row per key-day.
+than one key-hour and the carried totals hold one row per key-hour.
 
 Keys are usually small (a funnel is one purchase attempt), so ``pair_stats``
 joins the pairs out when every key has at most ``PAIR_LIMIT`` candidate pairs
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+BUCKET_MS = 3_600_000  # one hour
 PROBES = 63
 # candidate pairs (impressions x later events) a single key may produce before
 # the pair-free method takes over
@@ -43,10 +43,10 @@ D38 = "decimal(38,0)"
 def cum_le(points: DataFrame, events: DataFrame, key: str = "funnel_id") -> DataFrame:
     """``points``: distinct (``key``, ``t``).  Returns ``key, t, n_le, s_le``:
     count and sum of event times of the same key with time <= t."""
-    b = F.expr(f"t div {DAY_MS}")
+    b = F.expr(f"t div {BUCKET_MS}")
     ev = events.select(key, "t").withColumn("b", b)
     pts = points.select(key, "t").withColumn("b", b)
-    # within the point's day bucket: events sort before points at equal time
+    # within the point's hour bucket: events sort before points at equal time
     u = (ev.select(key, "b", "t", F.lit(0).alias("kind"))
          .unionByName(pts.select(key, "b", "t", F.lit(1).alias("kind"))))
     w = Window.partitionBy(key, "b").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)

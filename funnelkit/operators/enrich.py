@@ -11,9 +11,9 @@ with a residual ``<=`` (each client row meets at most one row), and a
 ``mode="event"`` is the backward as-of join the original comment describes:
 each server event gets the last non-null value at or before *its own* time.
 Client and server rows are unioned and a ``last(ignorenulls)`` window runs per
-(user, day) bucket; the value carried over from earlier days comes from a
-small per-(user, day) aggregate, so no window partition is larger than one
-user-day.
+(user, hour) bucket; the value carried over from earlier hours comes from a
+small per-(user, hour) aggregate, so no window partition is larger than one
+user-hour.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from funnelkit.plans.params import Params
 from funnelkit.sources.binding import Tables
 
 
+# time bucket of the as-of windows: a window partition holds one user-hour
+BUCKET_S = 3600
+
+
 @lru_cache(maxsize=256)
 def client_metadata(t: Tables, p: Params) -> DataFrame:
     """Client rows of the window: user, time in (fractional) seconds, version
@@ -52,7 +56,7 @@ def enrich_user(server: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def enrich_event(server: DataFrame, meta: DataFrame) -> DataFrame:
-    day = F.floor(F.col("ts_s") / 86400).cast("bigint")
+    day = F.floor(F.col("ts_s") / BUCKET_S).cast("bigint")
     cols = server.columns
     row_type = server.schema
     srv = server.select("distinct_id", F.struct(*cols).alias("__row"),
