@@ -103,9 +103,9 @@ def enrich(server: DataFrame, meta: DataFrame, mode: str = "user") -> DataFrame:
     raise ValueError(f"unknown enrichment mode {mode!r}")
 
 
-def server_filters(df: DataFrame, p: Params, t: Tables) -> DataFrame:
+def server_filters(df: DataFrame, p: Params, t: Tables, exclusions: bool = False) -> DataFrame:
     """Version list, version floor, country list and low-payer filter applied
     through the attached client metadata (OS is not applied to server rows)."""
-    cond = P.attribute_filters(p, os=False, floor=True, version_col="client_version_float",
-                               country_col="client_country_code")
+    cond = P.attribute_filters(p, os=False, floor=True, exclusions=exclusions,
+                               version_col="client_version_float", country_col="client_country_code")
     return P.low_payer_filter(df.where(cond), p, t.countries, "client_country_code")

@@ -62,7 +62,7 @@ BY_REQUEST_ORDER = [s for s in EXECUTION_ORDER if s != "webform_add_card"]
 def panel_client_rows(t: Tables, p: Params, users: DataFrame) -> DataFrame:
     """Client rows of the channel-analytics panels: window, test users, OS /
     version / country / low-payer filters and the version floor."""
-    rows = P.filtered_client(t, p, P.client_window(p), floor=True)
+    rows = P.filtered_client(t, p, P.client_window(p), floor=True, exclusions=p.apply_exclusions_everywhere)
     return rows.join(users, "distinct_id", "left_semi")
 
 
@@ -72,7 +72,8 @@ def panel_server_rows(t: Tables, p: Params, users: DataFrame, id_col: str | None
     rows = t.server.where(P.server_window(p)).join(users, "distinct_id", "left_semi")
     if id_col:
         rows = rows.where(F.col(id_col).isNotNull())
-    return server_filters(enrich(rows, client_metadata(t, p), p.enrich_mode), p, t)
+    return server_filters(enrich(rows, client_metadata(t, p), p.enrich_mode), p, t,
+                          exclusions=p.apply_exclusions_everywhere)
 
 
 def server_event_enrichment(t: Tables, p: Params, mode: str | None = None) -> DataFrame:

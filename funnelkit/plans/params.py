@@ -48,6 +48,9 @@ class Params:
     fix_units: bool = False
     enrich_mode: str = "user"
     exact_median: bool = False
+    # apply the testing-country exclusion in every channel panel (originally
+    # only the KPI, adoption and latency panels apply it)
+    apply_exclusions_everywhere: bool = False
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):

@@ -231,6 +231,8 @@ def test_k8_exclusions_only_in_panel_queries(spark):
     kpi = {r["payment_platform"]: r for r in rows(K.platform_kpi(t, P0))}
     assert kpi["direct"]["active_users"] == 0                                      # excluded country
     assert rows(FN.user_funnel(t, P0))[0]["purchase_click_users"] == 1             # no exclusion here
+    everywhere = P0.replace(apply_exclusions_everywhere=True)
+    assert rows(FN.user_funnel(t, everywhere))[0]["purchase_click_users"] == 0
 
 
 def test_did_missing_cell_counts_zero(spark):
