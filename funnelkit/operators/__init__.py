@@ -1,0 +1 @@
+"""Analysis operators: (Tables, Params) -> DataFrame."""
