@@ -149,13 +149,17 @@ WHERE d.distinct_id IN (SELECT distinct_id FROM client_events WHERE {_a4_active(
 GROUP BY segment ORDER BY segment"""
 
 
-def sql_segment_daily_new_users(p: Params) -> str:
+def sql_segment_daily_new_users(p: Params, days: int = 14) -> str:
     return with_binding(seg_ctes(p, latest=False, name="first_seg")) + f"""
 SELECT segment_date, segment, COUNT(DISTINCT distinct_id) AS new_users
-FROM first_seg WHERE segment_date >= {D(p.days_before(14))}
+FROM first_seg WHERE segment_date >= {D(p.days_before(days))}
 GROUP BY 1, 2 ORDER BY 1 DESC, 2"""
 
 
+def sql_segment_daily_new_users_30d(p: Params) -> str:
+    return sql_segment_daily_new_users(p, days=30)
+
+
 def sql_segment_share(p: Params) -> str:
     return with_binding(seg_users_cte(p), f"""
 stats AS (

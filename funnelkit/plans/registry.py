@@ -32,6 +32,9 @@ OPERATORS: dict[str, Op] = {
     "segment_users": lambda t, p: S.segment_users(t, p),
     "segment_stats": S.segment_stats,
     "segment_daily_new_users": lambda t, p: S.segment_daily_new_users(t, p),
+    # the same operator over the whole 30-day assignment window (the 14-day
+    # default is empty on the test data: every first assignment is early)
+    "segment_daily_new_users_30d": lambda t, p: S.segment_daily_new_users(t, p, days=30),
     "segment_share": lambda t, p: S.segment_share(S.segment_stats(t, p)),
     "purchase_summary": S.purchase_summary,
     "purchase_margin": lambda t, p: S.purchase_margin(S.purchase_summary(t, p), p.store_fee),
