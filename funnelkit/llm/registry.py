@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import matrix_bpe, packing, wavelet
+from . import jaccard, matrix_bpe, packing, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_wavelet": wavelet.op2_wavelet,
     "op3_matrix_bpe": matrix_bpe.op3_matrix_bpe,
+    "op4_jaccard": jaccard.op4_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
