@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, table, words, written
 
-SHINGLE, SMALL, NEAR, BLOCK = 5, 17, 3, 4096
-BUCKETS, BITS, CACHE = 1 << 17, 1 << 22, 1_000_000
+SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
+BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -76,24 +77,35 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def common_levels(sets: DataFrame) -> np.ndarray:
-    """Estimate per bucket of hashes of how many documents have its most common one; 0: nothing stands out.
+    """Per bucket of hashes, 4 * log2(1 + estimate of how many documents have its most common one); 0: none stands out.
 
-    A fixed number of buckets is counted over all documents, so what is sent to the driver is bounded.
+    A fixed number of buckets is counted over all documents, as compressed slices, so what is sent to
+    the driver and out again is bounded.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint64)
-            counts += np.bincount((flat >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(counts[at])], ["b", "c"])
-
-    rows = sets.select("items").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(BUCKETS)
-    counts[rows.b] = rows.c
+            for x in batch.column("items"):
+                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), 1)
+        slices = counts.reshape(-1, SLICE)
+        at = np.flatnonzero(slices.any(1))
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for which, data in rows_of(batches, "slice", "counts"):
+            for i, x in zip(which, data, strict=True):
+                new = np.frombuffer(zlib.decompress(x), np.uint32)
+                total[i] = total[i] + new if i in total else new.astype(np.uint64)
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+
+    rows = sets.select("items").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    counts = np.zeros((BUCKETS // SLICE, SLICE))
+    for i, x in rows.collect():
+        counts[i] = np.frombuffer(x, np.uint64)
     usual = np.median(counts)
-    return np.maximum(0, counts - usual - 6 * np.sqrt(usual + 1)).astype(np.int64)
+    return np.round(4 * np.log2(1 + np.maximum(0, counts.ravel() - usual - 6 * np.sqrt(usual + 1)))).astype(np.uint8)
 
 
 def _bit(column: str) -> Column:
@@ -122,8 +134,7 @@ def _marked(sets: DataFrame, bitmap: np.ndarray, want: bool) -> DataFrame:
 
 def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
     """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here)."""
-    logs = np.ceil(np.log2(level + 1)).astype(np.uint64)
-    blocks = 1 + level // BLOCK
+    blocks = 1 + np.exp2(np.arange(256) / 4).astype(np.int64) // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items"):
@@ -132,12 +143,12 @@ def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
                 items = np.frombuffer(x, np.uint64)
                 bucket = (items >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
                 first = n - -(-3 * n // 4) + 1
-                at = np.lexsort((items, logs[bucket]))[:first]
+                at = np.lexsort((items, level[bucket]))[:first]
                 cols.append(items[at])
                 docs.append(np.full(first, d))
                 ns.append(np.full(first, n, np.int32))
                 near.append(np.arange(first) < n - -(-6 * n // 7) + 1)
-                block.append((items[at] * np.uint64(2 * d + 1 & (2**64 - 1)) >> np.uint64(33)).astype(np.int64) % blocks[bucket[at]])
+                block.append((items[at] * np.uint64(2 * d + 1 & (2**64 - 1)) >> np.uint64(33)).astype(np.int64) % blocks[level[bucket[at]]])
             if cols:
                 out = [np.concatenate(c) for c in (cols, block, docs, ns, near)]
                 yield pa.record_batch([pa.array(out[0].view(np.int64)), pa.array(out[1].astype(np.int32)), *map(pa.array, out[2:])], ["col", "block", "doc", "n", "near"])
