@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,3 +74,32 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str, chars: int = 1 <<
                     a, total = i + 1, 0
         elif len(texts):
             yield [c.to_pylist() for c in held]
+
+
+def with_columns(docs: DataFrame, added: str, run) -> DataFrame:
+    """``docs`` with columns that ``run()``, called once a task, gives a function from texts to Arrow arrays for.
+
+    A column of the same name is replaced. ``text`` may hold nulls.
+    """
+    names = [f.split()[0] for f in added.split(", ")]
+    kept = docs.drop(*names)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], added])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = run()
+        for batch in batches:
+            at = 0
+            for (texts,) in rows_of(iter([batch]), "text"):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.record_batch([*part.columns, *function(texts)], [*part.schema.names, *names])
+
+    return kept.mapInArrow(each, schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, where: str = "true") -> DataFrame:
+    """``docs`` that have a label, ``rows`` at most (the first in an order by hash), so that the labels can be broadcast."""
+    known = labels.filter(f"{column} is not null and doc_id is not null").filter(where)
+    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")

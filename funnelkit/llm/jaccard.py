@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, table, words, written
 
 SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
-BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 1_000_000
+BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 300_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -61,7 +61,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         gc.disable()
-        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=1 << 21):
+        for doc_ids, texts in rows_of(batches, "doc_id", "text"):
             cut = [words(t) for t in texts]
             if len(seen) > CACHE:
                 seen.clear()
@@ -86,8 +86,8 @@ def common_levels(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for x in batch.column("items"):
-                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), 1)
+            items = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]])
+            counts += np.bincount((items >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
         slices = counts.reshape(-1, SLICE)
         at = np.flatnonzero(slices.any(1))
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
@@ -134,7 +134,7 @@ def _marked(sets: DataFrame, bitmap: np.ndarray, want: bool) -> DataFrame:
 
 def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
     """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here)."""
-    blocks = 1 + np.exp2(np.arange(256) / 4).astype(np.int64) // BLOCK
+    blocks = 1 + np.exp2(np.minimum(np.arange(256), 160) / 4).astype(np.int64) // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items"):
@@ -156,7 +156,9 @@ def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
     return sets.select("doc_id", "n", "items").mapInArrow(run, "col long, block int, doc long, n int, near boolean")
 
 
-_PAIRS = "a long, b long, na int, nb int, c int, big int"
+#: c: counted shared columns; near: the smaller set has one of them in its own first part; big: one is of a large
+#: column, not all of whose pairs come at once, so that the count decides nothing.
+_PAIRS = "a long, b long, na int, nb int, c int, near int, big int"
 _SHARED = "col long, block int, doc long, n int, near boolean, size int"
 
 
@@ -190,20 +192,21 @@ def _arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 def _emit(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, big: int) -> pa.RecordBatch | None:
     """Pairs of rows i < j (in order of n, then doc) of one block that may link, their shared columns counted."""
-    ok = _fits(a["n"][i], a["n"][j]) & a["near"][i] & (a["doc"][i] != a["doc"][j])
+    ok = _fits(a["n"][i], a["n"][j]) & (a["doc"][i] != a["doc"][j])
     if "comp" in a:
         ok &= a["comp"][i] != a["comp"][j]
     i, j = i[ok], j[ok]
     if not len(i):
         return None
-    pair = np.empty(len(i), [("a", np.int64), ("b", np.int64)])
-    pair["a"], pair["b"] = a["doc"][i], a["doc"][j]
-    _, first, count = np.unique(pair, return_index=True, return_counts=True)
+    x, y = a["doc"][i], a["doc"][j]
+    order = np.lexsort((y, x))
+    x, y, i, j = x[order], y[order], i[order], j[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    count = np.diff(first, append=len(x))
+    near = np.maximum.reduceat(a["near"][i].astype(np.int32), first)
     i, j = i[first], j[first]
-    return pa.record_batch(
-        [a["doc"][i], a["doc"][j], a["n"][i].astype(np.int32), a["n"][j].astype(np.int32), count.astype(np.int32), np.full(len(i), big, np.int32)],
-        ["a", "b", "na", "nb", "c", "big"],
-    )
+    columns = [x[first], y[first], a["n"][i], a["n"][j], count.astype(np.int32), near, np.full(len(i), big, np.int32)]
+    return pa.record_batch(columns, ["a", "b", "na", "nb", "c", "near", "big"])
 
 
 def _starts(a: dict[str, np.ndarray]) -> np.ndarray:
@@ -254,9 +257,9 @@ def apart(rows: DataFrame, after: int, to: int) -> DataFrame:
 
 def _possible(pairs: DataFrame) -> DataFrame:
     """Distinct pairs whose counted overlap, with all that may follow, reaches the least overlap of their sizes."""
-    total = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"), F.max("big").alias("big"))
+    total = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"), F.max("near").alias("near"), F.max("big").alias("big"))
     rest = F.expr("greatest(na - (na - ceil(0.75D * na) + 1), nb - (nb - ceil(0.75D * nb) + 1))")
-    return total.filter((F.col("big") == 1) | (7 * (F.col("c") + rest) >= 3 * (F.col("na") + F.col("nb"))))
+    return total.filter((F.col("big") == 1) | ((F.col("near") == 1) & (7 * (F.col("c") + rest) >= 3 * (F.col("na") + F.col("nb")))))
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

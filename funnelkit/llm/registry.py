@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, matrix_bpe, packing, wavelet
+from . import jaccard, matrix_bpe, packing, quality, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_wavelet": wavelet.op2_wavelet,
     "op3_matrix_bpe": matrix_bpe.op3_matrix_bpe,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op9_importance": quality.op9_importance,
 }
 ORACLE_SQL: dict[str, str] = {}
