@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, matrix_bpe, packing, quality, toxicity, wavelet
+from . import jaccard, matrix_bpe, packing, quality, rules, secrets_scan, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_matrix_bpe": matrix_bpe.op3_matrix_bpe,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_rules": rules.op7_rules,
+    "op8_secrets": secrets_scan.op8_secrets,
     "op9_importance": quality.op9_importance,
 }
 ORACLE_SQL: dict[str, str] = {}
