@@ -367,5 +367,21 @@ def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: Dat
     return comps
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, the one of smallest doc_id; rows without a doc_id stay.
+
+    Most rows are told apart by a bitmap of fixed size and never shuffled.
+    """
+    found = written(near_duplicates(docs), "groups").filter("doc_id is not null")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    bits = _bitmap(gone.unionByName(twice), "doc_id")
+    name = "b" if "b" not in docs.columns else "b_"
+    rest = docs.withColumnRenamed("b", name)
+    doubtful = _marked(rest.filter("doc_id is not null"), bits, True).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    out = _marked(rest.filter("doc_id is not null"), bits, False).unionByName(doubtful).unionByName(rest.filter("doc_id is null"))
+    return out.withColumnRenamed("b_", "b").select(*docs.columns)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, matrix_bpe, packing, quality, rules, secrets_scan, toxicity, wavelet
+from . import jaccard, matrix_bpe, maxent, packing, quality, rules, secrets_scan, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_rules": rules.op7_rules,
     "op8_secrets": secrets_scan.op8_secrets,
     "op9_importance": quality.op9_importance,
+    "op10_maxent": maxent.op10_maxent,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -98,22 +98,22 @@ def thresholds(candidates: DataFrame) -> dict[int, int]:
     return {s: x for s, x in passed.groupBy("stratum").agg(F.min("level")).collect()}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (pattern spans) and added (random tokens) of every row: structs (s, k, e, t), k as in ``KINDS``."""
+def scan(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns with base (pattern spans) and added (random tokens): structs (s, k, e, t), k as in ``KINDS``."""
     found = docs.select(
-        "doc_id",
+        *columns,
         F.array_sort(F.concat(spans("text", ASSIGN, 0, (2, 12)), spans("text", ACCESS, 1), spans("text", HEX, 2))).alias("base"),
         spans("text", CANDIDATE, 3).alias("tokens"),
     )
     free = F.filter("tokens", lambda x: ~F.exists("base", lambda y: (x.s < y.e) & (y.s < x.e)))
-    found = written(found.select("doc_id", "base", free.alias("tokens"), F.monotonically_increasing_id().alias("row")), "spans")
+    found = written(found.select(*columns, "base", free.alias("tokens"), F.monotonically_increasing_id().alias("row")), "spans")
     tested = written(battery(found.select("row", F.explode("tokens").alias("x")).select("row", "x.*")), "tokens")
     least = thresholds(tested)
     if not least:
-        return found.select("doc_id", "base", F.expr(f"cast(array() as {SPAN})").alias("added"))
+        return found.select(*columns, "base", F.expr(f"cast(array() as {SPAN})").alias("added"))
     limit = F.element_at(F.create_map(*[F.lit(v) for pair in least.items() for v in pair]), F.col("stratum"))
     added = tested.filter(F.col("level") >= limit).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "t"))).alias("added"))
-    return found.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})")).alias("added"))
+    return found.join(added, "row", "left").select(*columns, "base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})")).alias("added"))
 
 
 KINDS = ("assign", "access", "hex", "random")
@@ -125,9 +125,23 @@ def listed(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.element_at(kinds, x.k + 1), x.s.cast("string"), x.e.cast("string"))), ",")
 
 
+def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans are one."""
+    columns = docs.columns
+    names = {"base": "secret_base", "added": "secret_added", "tokens": "secret_tokens", "row": "secret_row"}
+    clash = {c: v for c, v in names.items() if c in columns}
+    found = scan(docs.withColumnsRenamed(clash), *[clash.get(c, c) for c in columns])
+    found = found.withColumn("secret_spans", F.array_sort(F.concat("base", "added"))).drop("base", "added")
+    text = F.expr(f"""aggregate(secret_spans, struct(0 as p, '' as o),
+        (a, x) -> struct(greatest(a.p, x.e) as p, if(x.s >= a.p, concat(a.o, substring(text, a.p + 1, x.s - a.p), '{mark}'), a.o) as o),
+        a -> concat(a.o, substring(text, a.p + 1)))""")
+    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, text).otherwise(F.col("text"))).drop("secret_spans")
+    return out.withColumnsRenamed({v: c for c, v in clash.items()}).select(*columns)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x.k == k)).cast("long")
-    return scan(table(spark, sf_dir, "documents")).select(
+    return scan(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
