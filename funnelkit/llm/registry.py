@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, matrix_bpe, maxent, packing, quality, rules, secrets_scan, toxicity, wavelet
+from . import jaccard, matrix_bpe, maxent, nn_descent, packing, quality, rules, secrets_scan, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_matrix_bpe": matrix_bpe.op3_matrix_bpe,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_nn_descent": nn_descent.op6_nn_descent,
     "op7_rules": rules.op7_rules,
     "op8_secrets": secrets_scan.op8_secrets,
     "op9_importance": quality.op9_importance,
