@@ -63,7 +63,7 @@ def _best(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.R
     take = np.arange(len(node)) - np.repeat(start, size) < k
     node, ids, scores = node[take], ids[take], scores[take]
     some, at = np.unique(node, return_index=True)
-    ends = np.append(at[1:], len(node))
+    ends = np.append(at[1:], len(node)) if len(node) else at
     pieces = [(ids[a:b].astype("<i8").tobytes(), scores[a:b].astype("<f8").tobytes()) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
     return pa.record_batch([pa.array(some, pa.int64()), pa.array([p for p, _ in pieces], pa.binary()), pa.array([p for _, p in pieces], pa.binary())], ["node", "ids", "scores"])
 
