@@ -84,19 +84,27 @@ class FlagCounts:
             else:
                 per = fine
             parts.append(per.groupBy(*self.keys).agg(
-                *[E(f"CAST(sum(u__{n}) AS BIGINT)").alias(n) for n in self.by_user],
+                *[E(f"CAST(sum(CASE WHEN {self.user} IS NOT NULL THEN u__{n} ELSE 0 END) AS BIGINT)").alias(n) for n in self.by_user],
                 *[E(f"sum(s__{n})").alias(n) for n in (self.sums if sums else [])]))
             sums = []
         if sums:
             parts.append(fine.groupBy(*self.keys).agg(*[E(f"sum(s__{n})").alias(n) for n in self.sums]))
         out = parts[0]
         for part in parts[1:]:
-            out = out.join(part, self.keys) if self.keys else out.crossJoin(part)
+            out = self._side_by_side(out, part)
         # empty input: a global aggregate still yields one row of zeros
         fills = [f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}"
                  for n in list(self.by_funnel) + list(self.funnel_all) + list(self.by_user)]
         fills += [f"CAST(coalesce({n}, CAST(0 AS DECIMAL(18,2))) AS DOUBLE) AS {n}" for n in self.sums]
         return out.selectExpr(*self.keys, *fills)
 
+    def _side_by_side(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Joined on ``keys``, null keys too; one-row results without keys."""
+        if not self.keys:
+            return a.crossJoin(b)
+        other = b.withColumnsRenamed({k: f"__{k}" for k in self.keys})
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
+        return a.join(other, same).drop(*[f"__{k}" for k in self.keys])
+
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.derive(self.fine(df))

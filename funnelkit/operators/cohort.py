@@ -58,8 +58,8 @@ def cohort_funnel(t: Tables, p: Params) -> DataFrame:
         })
     fine = counts.fine(cohort_events(t, p))
     # gate: the funnel had a store continue anywhere in the cohort rows
-    gate = F.max("f__store_continue_any").over(Window.partitionBy("funnel_id"))
-    gated = fine.withColumn("gate", F.when(F.col("funnel_id").isNotNull(), gate).otherwise(0))
+    gate = fine.where(F.col("funnel_id").isNotNull()).groupBy("funnel_id").agg(F.max("f__store_continue_any").alias("gate"))
+    gated = fine.join(gate, "funnel_id", "left").select(*fine.columns, F.coalesce("gate", F.lit(0)).alias("gate"))
     g = F.col("gate")
     replaced = {}
     for store in ("apple", "google"):
@@ -239,6 +239,11 @@ LAST_BUCKET = ("Day 31+", 7)
 def time_to_first_purchase(t: Tables, p: Params) -> DataFrame:
     """Users by days from install to first direct purchase (first purchase
     in range; negative or unknown day counts fall into the last bucket)."""
+    return first_purchase_buckets(t, p).drop("known", "total_days").orderBy("bucket_order")
+
+
+def first_purchase_buckets(t: Tables, p: Params) -> DataFrame:
+    """A40 with the number and sum of known day counts, for averages over buckets."""
     first = (direct_purchases(t, p).groupBy("distinct_id").agg(F.min("date").alias("first_purchase_date"))
              .where(_in_range(p, "first_purchase_date")))
     inst = t.players.select("distinct_id", F.to_date("first_event_time").alias("install_date"))
@@ -249,8 +254,8 @@ def time_to_first_purchase(t: Tables, p: Params) -> DataFrame:
         cond = F.col("days").between(lo, hi)
         label, order = F.when(cond, F.lit(name)).otherwise(label), F.when(cond, F.lit(o)).otherwise(order)
     return (d.groupBy(label.alias("days_bucket"), order.cast("bigint").alias("bucket_order"))
-            .agg(F.count(F.lit(1)).alias("users"), P.r6(F.avg("days")).alias("avg_days"))
-            .orderBy("bucket_order"))
+            .agg(F.count(F.lit(1)).alias("users"), P.r6(F.avg("days")).alias("avg_days"),
+                 F.count("days").alias("known"), F.sum("days").alias("total_days")))
 
 
 def time_to_first_stats(buckets: DataFrame) -> DataFrame:
@@ -258,7 +263,7 @@ def time_to_first_stats(buckets: DataFrame) -> DataFrame:
     total = F.sum("users")
     return buckets.agg(
         F.coalesce(total, F.lit(0)).cast("bigint").alias("total_users"),
-        P.r6(F.coalesce(F.sum(F.col("avg_days") * F.col("users")) / total, F.lit(0.0))).alias("avg_days"),
+        P.r6(F.coalesce(F.sum("total_days") / F.sum("known"), F.lit(0.0))).alias("avg_days"),
         P.safe_pct(F.coalesce(F.sum(F.when(F.col("bucket_order") == 1, F.col("users"))), F.lit(0)), total)
          .alias("day_0_pct"),
         P.safe_pct(F.coalesce(F.sum(F.when(F.col("bucket_order") <= 4, F.col("users"))), F.lit(0)), total)

@@ -18,7 +18,6 @@ user-hour.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +31,13 @@ from funnelkit.sources.binding import Tables
 BUCKET_S = 3600
 
 
-@lru_cache(maxsize=256)
-def client_metadata(t: Tables, p: Params) -> DataFrame:
-    """Client rows of the window: user, time in (fractional) seconds, version
-    (0 = unknown -> null), country."""
-    return (t.with_country(t.client.where(P.client_window(p)))
+def client_metadata(t: Tables, p: Params, users: DataFrame | None = None) -> DataFrame:
+    """Client rows of the window (of ``users``): user, time in (fractional)
+    seconds, version (0 = unknown -> null), country."""
+    rows = t.client.where(P.client_window(p))
+    if users is not None:
+        rows = rows.join(users, "distinct_id", "left_semi")
+    return (t.with_country(rows)
             .select("distinct_id", (F.col("res_timestamp") / 1000.0).alias("ts_s"),
                     F.nullif(F.col("version_float"), F.lit(0.0)).alias("version"), "country"))
 

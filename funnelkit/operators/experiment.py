@@ -99,7 +99,7 @@ def daily_kpis(rows: DataFrame, first: DataFrame, keep: float = 0.70, exact: boo
 
     ``exact`` keeps full double precision (for the difference-in-differences,
     which averages the daily values); otherwise KPIs are rounded to 6 dp."""
-    rows = rows.join(first, "distinct_id", "left").withColumn("event_date", event_day())
+    rows = rows.withColumn("event_date", event_day())
     valid = P.is_success() & P.valid_purchase()
     m = P.money("price_usd")
     net_amount = F.when(P.on(V.DIRECT), m).otherwise(m * F.lit(str(keep)).cast("decimal(3,2)"))
@@ -114,10 +114,13 @@ def daily_kpis(rows: DataFrame, first: DataFrame, keep: float = 0.70, exact: boo
         by_user={
             "active_users": F.lit(True),
             "paying_users": valid,
-            "ftd_users": valid & (F.col("first_purchase_date") == F.col("event_date")),
+            "ftd_users": valid,
         },
         sums={"gross_revenue": valid, "net_revenue": (valid, net_amount)})
-    d = counts(rows)
+    # whether a paying user's day is the first one depends on (user, day) alone
+    fine = counts.fine(rows).join(first, "distinct_id", "left")
+    ftd = F.when(F.col("first_purchase_date") == F.col("event_date"), F.col("u__ftd_users")).otherwise(0)
+    d = counts.derive(fine.withColumn("u__ftd_users", ftd).drop("first_purchase_date"))
     c = F.col
     r = not exact
 

@@ -72,7 +72,7 @@ def panel_server_rows(t: Tables, p: Params, users: DataFrame, id_col: str | None
     rows = t.server.where(P.server_window(p)).join(users, "distinct_id", "left_semi")
     if id_col:
         rows = rows.where(F.col(id_col).isNotNull())
-    return server_filters(enrich(rows, client_metadata(t, p), p.enrich_mode), p, t,
+    return server_filters(enrich(rows, client_metadata(t, p, users), p.enrich_mode), p, t,
                           exclusions=p.apply_exclusions_everywhere)
 
 
@@ -81,7 +81,9 @@ def server_event_enrichment(t: Tables, p: Params, mode: str | None = None) -> Da
     attached client version / country (before the metadata filters)."""
     users = experiment_users(t, p)
     rows = t.server.where(P.server_window(p)).join(users, "distinct_id", "left_semi")
-    return enrich(rows, client_metadata(t, p), mode or p.enrich_mode).select(
+    rows = rows.select("distinct_id", "request_id", "event_name", "transaction_id", "funnel_id", "cta_name",
+                       "request_timestamp").distinct()
+    return enrich(rows, client_metadata(t, p, users), mode or p.enrich_mode).select(
         "distinct_id", "request_id", "event_name", "transaction_id", "funnel_id", "cta_name",
         "request_timestamp", "client_version_float", "client_country_code")
 

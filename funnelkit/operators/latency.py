@@ -63,7 +63,7 @@ def funnel_latency(t: Tables, p: Params, exclude_first: bool | None = None) -> D
               .join(excluded, "funnel_id", "left_anti"))
     server_rows = (t.server.where(P.server_window(p) & F.col("funnel_id").isNotNull())
                    .join(users, "distinct_id", "left_semi"))
-    server = (server_filters(enrich(server_rows, client_metadata(t, p), p.enrich_mode), p, t)
+    server = (server_filters(enrich(server_rows, client_metadata(t, p, users), p.enrich_mode), p, t)
               .join(excluded, "funnel_id", "left_anti"))
 
     ev, ts = F.col("event_name"), F.col("res_timestamp")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions import vocab as V
 from funnelkit.operators.segments import user_segments
-from funnelkit.plans.params import Params
+from funnelkit.plans.params import Params, limited
 from funnelkit.sources.binding import Tables
 
 OUTSIDE = "Not in Test/Control"  # fixed label
@@ -52,7 +52,7 @@ def promo_user_details(t: Tables, p: Params) -> DataFrame:
             .select("distinct_id", F.coalesce(F.col("segment"), F.lit(OUTSIDE)).alias("segment"),
                     "first_impression_date", "last_impression_date", "impression_count")
             .orderBy(F.col("first_impression_date").desc(), F.col("distinct_id").asc())
-            .limit(p.detail_limit))
+            .transform(limited(p.detail_limit)))
 
 
 def promo_outside_users(t: Tables, p: Params) -> DataFrame:
@@ -65,7 +65,7 @@ def promo_outside_users(t: Tables, p: Params) -> DataFrame:
                     "first_impression_date", "last_impression_date", "impression_count")
             .orderBy(F.col("first_impression_date").desc(), F.col("distinct_id").asc(),
                      F.col("country").asc(), F.col("os").asc())
-            .limit(p.detail_limit))
+            .transform(limited(p.detail_limit)))
 
 
 def promo_verdict(segments: DataFrame) -> DataFrame:

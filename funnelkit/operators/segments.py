@@ -13,7 +13,6 @@ so sharing them only saves re-building the same plan in Python, never data.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,6 @@ def _tagged_config_events(client: DataFrame, since) -> DataFrame:
                      .when(seg.like(V.CONTROL_TAG), F.lit(V.CONTROL)).alias("segment")))
 
 
-@lru_cache(maxsize=512)
 def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest: bool = True) -> DataFrame:
     """One row per tagged user: ``distinct_id, segment, segment_date``.
 
@@ -48,7 +46,6 @@ def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest:
             .select("distinct_id", F.col("s.segment").alias("segment"), F.col("s.date").alias("segment_date")))
 
 
-@lru_cache(maxsize=512)
 def segment_users(t: Tables, p: Params, segment: str | None = None, home: bool = True,
                   lookback_days: int = 30) -> DataFrame:
     """A3: latest segment per user joined to the player dimension.
@@ -68,18 +65,10 @@ def segment_users(t: Tables, p: Params, segment: str | None = None, home: bool =
                     "segment", "segment_date"))
 
 
-@lru_cache(maxsize=512)
-def segment_map(t: Tables, p: Params, home: bool = True) -> DataFrame:
-    """``distinct_id -> segment`` for both arms (the join side of most operators)."""
-    return segment_users(t, p, home=home).select("distinct_id", "segment")
-
-
-@lru_cache(maxsize=512)
 def cohort_users(t: Tables, p: Params, segment: str = V.TEST, home: bool = True) -> DataFrame:
     return segment_users(t, p, segment=segment, home=home).select("distinct_id")
 
 
-@lru_cache(maxsize=512)
 def experiment_users(t: Tables, p: Params, segment: str = V.TEST) -> DataFrame:
     """Users of one arm by latest tag only (no player/home-market restriction),
     as used by the channel-analytics funnels."""
@@ -96,8 +85,10 @@ def available_versions(t: Tables, p: Params) -> DataFrame:
 
 def available_countries(t: Tables, p: Params) -> DataFrame:
     """A2: distinct non-empty countries seen in the last 90 days."""
-    c = t.with_country(t.client.where(F.col("date") >= F.lit(p.days_before(90))))
-    return (c.where(P.nonempty("country"))
+    seen = t.client.where(F.col("date") >= F.lit(p.days_before(90)))
+    # with the country in its own table, only the users of the window are joined to it
+    seen = seen.select("country" if "country" in seen.columns else "distinct_id").distinct()
+    return (t.with_country(seen).where(P.nonempty("country"))
             .select(F.col("country")).distinct().orderBy("country"))
 
 
@@ -109,7 +100,7 @@ def _active_filters(p: Params):
 def segment_stats(t: Tables, p: Params) -> DataFrame:
     """A4: active users per segment in the effective range, mean days since install."""
     elig = segment_users(t, p)
-    active = t.client.where(_active_filters(p)).select("distinct_id")
+    active = t.client.where(_active_filters(p)).select("distinct_id").distinct()
     return (elig.join(active, "distinct_id", "left_semi")
             .groupBy("segment")
             .agg(F.count_distinct("distinct_id").alias("users"),

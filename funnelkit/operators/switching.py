@@ -5,19 +5,19 @@ counts relative to the first store date.  Purchases are first reduced to one
 row per (user, day, channel) with a partially aggregated ``groupBy`` (a heavy
 purchaser collapses map-side), the per-user firsts are a second aggregate of
 that, and the "after the switch" counts join the two small aggregates back on
-the user key.  Top-200 lists are ``orderBy(..).limit`` (per-partition top-k,
+the user key.  Ordered lists are whole; a limit is the caller's (per-partition top-k,
 then a bounded merge) with ``distinct_id`` as the final tie-break.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions import predicates as P
 from funnelkit.functions import vocab as V
 from funnelkit.operators.segments import cohort_users
-from funnelkit.plans.params import Params
+from funnelkit.plans.params import Params, limited
 from funnelkit.sources.binding import Tables
 
 CATEGORIES = ("direct_only", "store_only", "direct_then_store", "store_then_direct")  # fixed labels
@@ -61,7 +61,7 @@ def switchers(t: Tables, p: Params) -> DataFrame:
                      "store_purchase_count", "direct_revenue", "store_revenue",
                      F.date_diff("first_store_date", "first_direct_date").cast("bigint").alias("days_between"))
             .orderBy(F.col("first_direct_date").desc(), F.col("distinct_id").asc())
-            .limit(p.switcher_limit))
+            .transform(limited(p.switcher_limit)))
 
 
 def switch_categories(t: Tables, p: Params) -> DataFrame:
@@ -111,13 +111,13 @@ def switch_return(t: Tables, p: Params) -> DataFrame:
 
 def switch_return_share(ret: DataFrame) -> DataFrame:
     """Share of direct->store users per behaviour."""
-    total = ret.agg(F.sum("users").alias("total_users"))
-    return ret.crossJoin(total).select("behavior", "users", P.safe_pct("users", "total_users").alias("pct"))
+    total = F.sum("users").over(Window.partitionBy())  # over two rows
+    return ret.withColumn("total_users", total).select("behavior", "users", P.safe_pct("users", "total_users").alias("pct"))
 
 
 def switcher_details(t: Tables, p: Params) -> DataFrame:
     """Per direct->store user: purchases before / after the switch,
-    revenue by channel, returned flag; top 200."""
+    revenue by channel, returned flag."""
     a = _after_switch(t, p)
     return (a.select("distinct_id", "first_direct_date", "first_store_date", "direct_before_store",
                      "direct_after_store", "total_store", F.round("direct_revenue", 2).alias("direct_revenue"),
@@ -125,4 +125,4 @@ def switcher_details(t: Tables, p: Params) -> DataFrame:
                      F.when(F.col("direct_after_store") > 0, F.lit("Yes")).otherwise(F.lit("No"))
                      .alias("returned_to_direct"))
             .orderBy(F.col("direct_after_store").desc(), F.col("first_direct_date").asc(), F.col("distinct_id").asc())
-            .limit(p.switcher_limit))
+            .transform(limited(p.switcher_limit)))

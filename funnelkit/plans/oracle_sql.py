@@ -449,7 +449,7 @@ def sql_time_to_first_purchase(p: Params) -> str:
 def sql_time_to_first_stats(p: Params) -> str:
     return with_binding(_ttf_cte(p.replace(test_start=None))) + f"""
 SELECT CAST(COALESCE(SUM(users), 0) AS BIGINT) AS total_users,
-  round(COALESCE(SUM(avg_days * users) / SUM(users), 0.0), 6) AS avg_days,
+  round(COALESCE((SELECT AVG(days) FROM ttp), 0.0), 6) AS avg_days,
   {pct('COALESCE(SUM(CASE WHEN bucket_order = 1 THEN users END), 0)', 'SUM(users)')} AS day_0_pct,
   {pct('COALESCE(SUM(CASE WHEN bucket_order <= 4 THEN users END), 0)', 'SUM(users)')} AS week_1_pct
 FROM buckets"""
@@ -529,7 +529,7 @@ SELECT distinct_id, first_direct_date, first_store_date, direct_purchase_count,
   direct_revenue, store_revenue, CAST(date_diff('day', first_direct_date, first_store_date) AS BIGINT) AS days_between
 FROM hist
 WHERE first_direct_date IS NOT NULL AND first_store_date IS NOT NULL AND first_store_date >= first_direct_date
-ORDER BY first_direct_date DESC, distinct_id LIMIT {p.switcher_limit}"""
+ORDER BY first_direct_date DESC, distinct_id{_limit(p.switcher_limit)}"""
 
 
 def sql_switch_categories(p: Params) -> str:
@@ -573,11 +573,15 @@ def sql_switcher_details(p: Params) -> str:
 SELECT distinct_id, first_direct_date, first_store_date, direct_before_store, direct_after_store, total_store,
   round(direct_revenue, 2) AS direct_revenue, round(store_revenue, 2) AS store_revenue,
   CASE WHEN direct_after_store > 0 THEN 'Yes' ELSE 'No' END AS returned_to_direct
-FROM after ORDER BY direct_after_store DESC, first_direct_date, distinct_id LIMIT {p.switcher_limit}"""
+FROM after ORDER BY direct_after_store DESC, first_direct_date, distinct_id{_limit(p.switcher_limit)}"""
 
 
 # --- promo audit (A51-A54) -------------------------------------------------------
 
+def _limit(rows: int | None) -> str:
+    return "" if rows is None else f" LIMIT {rows}"
+
+
 def _promo_ctes(p: Params) -> str:
     since = p.test_start or p.days_before(p.promo_days_back)
     path = p.extra.get("promo_config_path", "$.config_id")
@@ -610,7 +614,7 @@ def sql_promo_user_details(p: Params) -> str:
 SELECT u.distinct_id, COALESCE(l.segment, 'Not in Test/Control') AS segment,
   u.first_impression_date, u.last_impression_date, u.impression_count
 FROM per_user u LEFT JOIN labels l ON u.distinct_id = l.distinct_id
-ORDER BY u.first_impression_date DESC, u.distinct_id LIMIT {p.detail_limit}"""
+ORDER BY u.first_impression_date DESC, u.distinct_id{_limit(p.detail_limit)}"""
 
 
 def sql_promo_outside_users(p: Params) -> str:
@@ -620,7 +624,7 @@ SELECT pr.distinct_id, 'Not in Test/Control' AS segment, pr.country, pr.os,
 FROM promo pr LEFT JOIN labels l ON pr.distinct_id = l.distinct_id
 WHERE l.segment IS NULL
 GROUP BY pr.distinct_id, pr.country, pr.os
-ORDER BY first_impression_date DESC, pr.distinct_id, pr.country, pr.os LIMIT {p.detail_limit}"""
+ORDER BY first_impression_date DESC, pr.distinct_id, pr.country, pr.os{_limit(p.detail_limit)}"""
 
 
 def sql_promo_verdict(p: Params) -> str:

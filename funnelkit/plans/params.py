@@ -41,8 +41,9 @@ class Params:
     store_fee: float = 0.30
     promo_config_id: int = 5
     promo_days_back: int = 7
-    detail_limit: int = 100
-    switcher_limit: int = 200
+    # rows of a detail table; None: all of them
+    detail_limit: int | None = None
+    switcher_limit: int | None = None
     switch_since: date | None = None
     # behaviour switches; defaults reproduce the original analyses exactly
     fix_units: bool = False
@@ -62,15 +63,6 @@ class Params:
 
     # --- derived dates ------------------------------------------------------
 
-    def clamped(self) -> "Params":
-        """UI clamp: start after end -> start = end; span over 61 days -> end - 60."""
-        start, end = self.start, self.end
-        if start > end:
-            start = end
-        if (end - start).days + 1 > 61:
-            start = end - timedelta(days=60)
-        return self.replace(start=start, end=end)
-
     @property
     def effective_start(self) -> date:
         """Later of start and test start, unless the test starts after the range."""
@@ -104,3 +96,8 @@ def default_params() -> Params:
         # the test binding keeps the promo config id at $.k of the snapshot
         extra={"promo_config_path": "$.k"},
     )
+
+
+def limited(rows: int | None):
+    """For ``DataFrame.transform``: the first ``rows`` rows, all without a limit."""
+    return lambda df: df if rows is None else df.limit(rows)

@@ -52,7 +52,7 @@ OPERATORS: dict[str, Op] = {
     # there (no test start) to populate the early buckets
     "time_to_first_purchase": lambda t, p: C.time_to_first_purchase(t, p.replace(test_start=None)),
     "time_to_first_stats": lambda t, p: C.time_to_first_stats(
-        C.time_to_first_purchase(t, p.replace(test_start=None))),
+        C.first_purchase_buckets(t, p.replace(test_start=None))),
     "experiment_funnel": C.experiment_funnel,
     "experiment_funnel_rates": lambda t, p: C.experiment_funnel_rates(C.experiment_funnel(t, p)),
     "platform_kpi": K.platform_kpi,
@@ -92,13 +92,6 @@ OPERATORS: dict[str, Op] = {
 }
 
 
-def register(name: str):
-    def deco(fn: Op) -> Op:
-        OPERATORS[name] = fn
-        return fn
-    return deco
-
-
 def run(name: str, spark: SparkSession, sf_dir: str, p: Params | None = None) -> DataFrame:
     return OPERATORS[name](load_tables(spark, sf_dir), p or default_params())
 

@@ -10,7 +10,6 @@ coalescing, skew-join splitting).  ``checkpoint_dir`` honours the cluster's
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,15 +33,3 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "funnel
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``
-    (Spark sets it on the context at start-up); a temporary folder only when
-    the session has none, as in local tests."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
-        sc.setCheckpointDir(d)
-    return d

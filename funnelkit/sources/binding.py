@@ -63,13 +63,17 @@ class Tables:
         as plain Parquet.  The country is resolved into the client log."""
         client = self.with_country(self.client)
         for name, df in (("client_events", client), ("server_events", self.server)):
-            (df.repartition("date").sortWithinPartitions("distinct_id")
+            (df.repartition("date", F.pmod(F.xxhash64("distinct_id"), F.lit(DAY_SPLIT)))
+             .sortWithinPartitions("date", "distinct_id")
              .write.mode("overwrite").partitionBy("date").parquet(f"{base}/{name}"))
         for name, df in (("dim_player", self.players), ("dim_country", self.countries),
                          ("tester_list", self.testers)):
             df.write.mode("overwrite").parquet(f"{base}/{name}")
 
 
+# tasks, and so files, that a day of the event log is spread over
+DAY_SPLIT = 8
+
 # --- fixed values of the test binding (FIXTURES.md §2) -------------------------
 EPOCH_DAY0 = "2024-01-01"
 VIEW_NAMES = (V.OFFER_IMPRESSION, V.NATIVE_POPUP, V.PROMO_IMPRESSION)          # by k % 3
@@ -101,7 +105,7 @@ def _derived(events: DataFrame) -> DataFrame:
 def user_country(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """One row per user: country name (nation is a fixed 25-row table)."""
     return (customer.select(F.col("c_custkey").alias("distinct_id"), "c_nationkey")
-            .join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"),
+            .join((nation.select(F.col("n_nationkey").alias("c_nationkey"),
                                             F.col("n_name").alias("country"))),
                   "c_nationkey")
             .select("distinct_id", "country"))
@@ -167,8 +171,8 @@ def bind_server(events: DataFrame) -> DataFrame:
 def bind_players(events: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     first = events.groupBy(F.col("user_id").alias("distinct_id")).agg(F.min("ts").alias("first_event_time"))
     geo = (customer.select(F.col("c_custkey").alias("distinct_id"), F.col("c_nationkey").alias("n_nationkey"))
-           .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")), "n_nationkey")
-           .join(F.broadcast(region.select(F.col("r_regionkey").alias("n_regionkey"),
+           .join((nation.select("n_nationkey", "n_regionkey")), "n_nationkey")
+           .join((region.select(F.col("r_regionkey").alias("n_regionkey"),
                                            F.col("r_name").alias("first_country"))), "n_regionkey")
            .select("distinct_id", "first_country"))
     # one row per player; the first-event time is a unique-keyed left join, so
@@ -186,22 +190,9 @@ def bind_testers(customer: DataFrame) -> DataFrame:
     return customer.where(F.col("c_custkey") % 10 == 0).select(F.col("c_custkey").alias("distinct_id"))
 
 
-_BOUND: dict[tuple[str, str], Tables] = {}
-
-
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Canonical tables derived from the Parquet tables in ``sf_dir``.
-
-    The result is a set of lazy plans (no data is cached); it is memoised per
-    Spark application and directory so that repeated analyses do not list the
-    files and re-analyse the binding every time."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BOUND:
-        _BOUND[key] = _load_tables(spark, sf_dir)
-    return _BOUND[key]
-
-
-def _load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Canonical tables derived from the Parquet tables in ``sf_dir``: lazy plans
+    over the files that are there now."""
     ev = read_table(spark, sf_dir, "events")
     cu = read_table(spark, sf_dir, "customer")
     na = read_table(spark, sf_dir, "nation")

@@ -17,11 +17,10 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """CSV export of a final (small) result, header included.
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV export of a result, header included, written in parallel.
 
-    Results of the operators are aggregates, so one output file is the useful
-    default; pass ``single_file=False`` for a large detail table.
+    ``single_file`` draws a small result together into one file.
     """
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)

@@ -1 +1 @@
-"""Streaming entry points (the original refreshes results on a timer; see refresh.py)."""
+"""The analyses have no streaming operator; batch plans read whatever files are there."""

@@ -6,10 +6,11 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from funnelkit.plans import registry
 from tools.oracle_compare import SPARK_TO_DUCK, duck, rows_of
 
 SF_DIR = os.environ.get("FUNNELKIT_ORACLE_DIR", "/root/testdata/sf0.001")
-QUERIES = E.queries()
+QUERIES = registry.queries()
 SQL = E.oracle_sql()
 
 
@@ -19,7 +20,7 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
@@ -36,4 +37,4 @@ def test_matches_oracle(spark, con, key):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and "event_date" in df.columns
+    assert df.count() > 0 and "event_date" in df.columns

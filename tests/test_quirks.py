@@ -85,13 +85,6 @@ def test_k13_effective_start():
     assert P0.replace(test_start=None).effective_start == date(2024, 1, 1)
 
 
-def test_k28_span_clamp():
-    p = Params(start=date(2024, 3, 1), end=date(2024, 2, 1), as_of=date(2024, 3, 1)).clamped()
-    assert p.start == p.end == date(2024, 2, 1)
-    p = Params(start=date(2023, 1, 1), end=date(2024, 3, 1), as_of=date(2024, 3, 1)).clamped()
-    assert (p.end - p.start).days == 60
-
-
 def test_k11_symmetric_window():
     lo, ts, hi = P0.experiment_window
     assert (ts, hi) == (date(2024, 1, 15), date(2024, 1, 30))

@@ -1,11 +1,10 @@
-"""CSV sink and the streaming refresh trigger."""
+"""CSV sink, and analyses over a table that grows between two calls."""
 
 import os
 import tempfile
 
 import __spark_entry__ as E
 from funnelkit.sources.readers import write_csv
-from funnelkit.streaming.refresh import start_refresh
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,13 +17,13 @@ def test_csv_sink_roundtrip(spark):
     assert back.count() == df.count() and set(back.columns) == set(df.columns)
 
 
-def test_refresh_runs_analysis_on_new_data(spark):
-    base = tempfile.mkdtemp(prefix="fk-stream-")
-    landing = os.path.join(base, "landing")
-    spark.read.parquet(f"{SF}/events.parquet").write.parquet(landing)
-    result = os.path.join(base, "result")
-    q = start_refresh(spark, landing, lambda: E.queries()["segment_stats"](spark, SF), result,
-                      trigger={"availableNow": True}, name="t_refresh",
-                      checkpoint=os.path.join(base, "ckpt"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(result).count() == E.queries()["segment_stats"](spark, SF).count()
+def test_appended_file_is_seen_by_the_next_call(spark):
+    base = tempfile.mkdtemp(prefix="fk-grow-")
+    for name in ("customer", "nation", "region"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{base}/{name}.parquet")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.where("event_id % 2 = 0").write.parquet(f"{base}/events.parquet")
+    query = E.queries()["server_event_enrichment"]
+    before = query(spark, base).count()
+    events.where("event_id % 2 = 1").write.mode("append").parquet(f"{base}/events.parquet")
+    assert query(spark, base).count() == query(spark, SF).count() > before
