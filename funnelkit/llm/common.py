@@ -58,11 +58,11 @@ def spans(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int,
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str, chars: int = 1 << 20) -> Iterator[list[list]]:
-    """The named columns of Arrow batches as Python lists, in runs of about ``chars`` characters of the last one."""
+    """The named columns of Arrow batches as Python lists, in runs of about ``chars`` bytes of the last one."""
     for batch in batches:
         held = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         texts = held[-1]
-        if texts.type in (pa.string(), pa.large_string()):
+        if texts.type in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary()):
             import pyarrow.compute as pc
 
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

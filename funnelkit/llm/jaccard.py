@@ -85,9 +85,9 @@ def common_levels(sets: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
-        for batch in batches:
-            items = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]])
-            counts += np.bincount((items >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
+        for (data,) in rows_of(batches, "items", chars=1 << 22):
+            items = np.frombuffer(b"".join(data), np.uint64) >> np.uint64(40)
+            counts += np.bincount(items.astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
         slices = counts.reshape(-1, SLICE)
         at = np.flatnonzero(slices.any(1))
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
