@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle() -> None:
+    """At a task's start: frees what earlier tasks left in this Python worker, as code sent by value holds cycles.
+
+    Later collections are rare: operators make millions of small objects, hardly any in cycles.
+    """
+    gc.collect()
+    gc.set_threshold(500_000, 20, 20)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes.
 
@@ -86,6 +96,7 @@ def with_columns(docs: DataFrame, added: str, run) -> DataFrame:
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], added])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         function = run()
         for batch in batches:
             at = 0

@@ -22,7 +22,6 @@ input are ignored. 64-bit hashes of distinct shingles are taken to differ.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, table, words, written
+from .common import rows_of, settle, table, words, written
 
 SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
 BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 300_000
@@ -60,7 +59,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        gc.disable()
+        settle()
         for doc_ids, texts in rows_of(batches, "doc_id", "text"):
             cut = [words(t) for t in texts]
             if len(seen) > CACHE:

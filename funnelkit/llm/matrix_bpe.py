@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, table
+from .common import rows_of, settle, table
 from .tokens import StretchEncoder
 
 WIDEST, ROWS = 256, 1 << 15
@@ -168,6 +168,7 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
 
 def _run(docs: DataFrame, ranks: str, columns, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         bpe = MatrixBPE(ranks)
         encode = StretchEncoder(lambda pieces: bpe.encode([p.encode() for p in pieces]))
         for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=1 << 21):

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, table
+from .common import rows_of, settle, table
 from .tokens import library_encoder
 
 LENGTH, END_ID = 1024, 0
@@ -101,6 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     """One row per piece of a document in a sequence; ``ids`` holds the piece's ids (little-endian uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         encode, closing = library_encoder(tokenizer), _closing(tokenizer)
         closing[end_id] = False
         sequence = TaskContext.get().partitionId() << 40

@@ -15,7 +15,6 @@ beside doc_id and text play no part.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, rows_of, table, with_columns
+from .common import labelled, rows_of, settle, table, with_columns
 
 LABELS, PRIOR, CACHE = 20_000, 8.0, 300_000
 WORDS, SHAPES, FLAGS = 1 << 15, 1 << 13, 1 << 8
@@ -102,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ImportanceModel:
     def counts(of: DataFrame) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features, total = Featurizer(), np.zeros(BUCKETS, np.int64)
-            gc.disable()
+            settle()
             for (texts,) in rows_of(batches, "text"):
                 total += np.bincount(np.concatenate([np.zeros(0, np.int64), *features(texts)]), minlength=BUCKETS)
             at = np.flatnonzero(total)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, rows_of, table, with_columns
+from .common import labelled, rows_of, settle, table, with_columns
 
 LABELS, LEXICON, LEAST_Z, CACHE = 20_000, 512, 5.0, 300_000
 #: Signs and the letters they may stand for (fixed values).
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "pmod(crc32(cast(doc_id
     sample = labelled(docs, labels, "toxic", LABELS, where)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         restore = Restorer(characters)
         for ys, texts in rows_of(batches, "y", "text"):
             pairs = [(w, y) for y, tokens in zip(ys, restore(texts), strict=True) for w in set(tokens[0])]
@@ -216,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "pmod(crc32(cast(doc_id
     model = ToxicityModel(characters, lexicon, None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         restore = Restorer(characters, lexicon)
         for ys, texts in rows_of(batches, "y", "text"):
             x = model.features(restore(texts))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, shared_dir, table
+from .common import rows_of, settle, shared_dir, table
 from .tokens import library_encoder
 
 MAGIC, SHARD_TOKENS, END_ID, BLOCK = b"WVM1", 1 << 20, 2, 512
@@ -143,6 +143,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
     """Writes the shards of ``docs`` in ascending doc_id order: ``part``, then ``before`` (ids of the part before the shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         encode, part, before = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         ids, sizes = [], []
