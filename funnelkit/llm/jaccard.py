@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, settle, table, words, written
+from .common import rows_of, settle, small_batches, table, words, written
 
 SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
-BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 300_000
+BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -83,6 +83,7 @@ def common_levels(sets: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         counts = np.zeros(BUCKETS, np.uint32)
         for (data,) in rows_of(batches, "items", chars=1 << 22):
             items = np.frombuffer(b"".join(data), np.uint64) >> np.uint64(40)
@@ -101,7 +102,9 @@ def common_levels(sets: DataFrame) -> np.ndarray:
 
     rows = sets.select("items").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
     counts = np.zeros((BUCKETS // SLICE, SLICE))
-    for i, x in rows.collect():
+    with small_batches(sets.sparkSession):
+        found = rows.collect()
+    for i, x in found:
         counts[i] = np.frombuffer(x, np.uint64)
     usual = np.median(counts)
     return np.round(4 * np.log2(1 + np.maximum(0, counts.ravel() - usual - 6 * np.sqrt(usual + 1)))).astype(np.uint8)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, rows_of, settle, table, with_columns
+from .common import labelled, rows_of, settle, small_batches, table, with_columns
 
 LABELS, PRIOR, CACHE = 20_000, 8.0, 300_000
 WORDS, SHAPES, FLAGS = 1 << 15, 1 << 13, 1 << 8
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ImportanceModel:
             yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["b", "c"])
 
         out = np.zeros(BUCKETS)
-        for b, c in of.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+        with small_batches(of.sparkSession):
+            rows = of.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect()
+        for b, c in rows:
             out[b] = c
         return out
 
