@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +83,13 @@ def common_levels(sets: DataFrame) -> np.ndarray:
     the driver and out again is bounded.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         counts = np.zeros(BUCKETS, np.uint32)
         for (data,) in rows_of(batches, "items", chars=1 << 22):
             items = np.frombuffer(b"".join(data), np.uint64) >> np.uint64(40)
-            counts += np.bincount(items.astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
+            at, more = np.unique(items & np.uint64(BUCKETS - 1), return_counts=True)
+            counts[at] += more.astype(np.uint32)
         slices = counts.reshape(-1, SLICE)
         at = np.flatnonzero(slices.any(1))
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
@@ -100,7 +102,7 @@ def common_levels(sets: DataFrame) -> np.ndarray:
                 total[i] = total[i] + new if i in total else new.astype(np.uint64)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
-    rows = sets.select("items").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    rows = sets.select("items").mapInArrow(tally, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
     counts = np.zeros((BUCKETS // SLICE, SLICE))
     with small_batches(sets.sparkSession):
         found = rows.collect()
@@ -114,24 +116,20 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size that has the hashes of all ids, and may have others'."""
-    words_ = ids.select(_bit(column).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
-    rows = words_.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[rows.w] = rows.m
-    return out
+def _bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of fixed size that has the hashes of all ids, and may have others': w, m (its words of 64 bits that aren't 0)."""
+    bits = ids.select(_bit(column).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+    return written(bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")), "bitmap")
 
 
-def _marked(sets: DataFrame, bitmap: np.ndarray, want: bool) -> DataFrame:
-    """Rows of ``sets`` whose doc_id's bit is set, or isn't."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = batch.column("b").to_numpy()
-            yield batch.filter(pa.array((bitmap[b >> 6] >> (b & 63) & 1 == 1) == want)).drop_columns(["b"])
-
-    return sets.withColumn("b", _bit("doc_id")).mapInArrow(run, sets.schema)
+def _marked(sets: DataFrame, bitmap: DataFrame, want: bool) -> DataFrame:
+    """Rows of ``sets`` whose doc_id's bit is set, or isn't; the bitmap that goes to tasks has at most BITS / 64 rows."""
+    taken = {c.lower() for c in sets.columns}
+    w, m = (next(n for i in count() if (n := f"{x}{i}") not in taken) for x in "wm")
+    rows = sets.withColumn(w, F.shiftright(_bit("doc_id"), 6).cast("int"))
+    rows = rows.join(F.broadcast(bitmap.toDF(w, m)), w, "left")
+    is_set = F.expr(f"coalesce(shiftright({m}, cast(pmod(xxhash64(doc_id), {BITS}) & 63 as int)) & 1, 0) = 1")
+    return rows.filter(is_set if want else ~is_set).select(*sets.columns)
 
 
 def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
@@ -378,11 +376,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     bits = _bitmap(gone.unionByName(twice), "doc_id")
-    name = "b" if "b" not in docs.columns else "b_"
-    rest = docs.withColumnRenamed("b", name)
-    doubtful = _marked(rest.filter("doc_id is not null"), bits, True).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    out = _marked(rest.filter("doc_id is not null"), bits, False).unionByName(doubtful).unionByName(rest.filter("doc_id is null"))
-    return out.withColumnRenamed("b_", "b").select(*docs.columns)
+    known = docs.filter("doc_id is not null")
+    doubtful = _marked(known, bits, True).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    out = _marked(known, bits, False).unionByName(doubtful.select(*docs.columns))
+    return out.unionByName(docs.filter("doc_id is null"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
