@@ -32,15 +32,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of fewer rows for the jobs inside, as rows here are whole texts or sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for the jobs inside, as rows here are whole texts or sets."""
+    want = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": size}
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in want}
     try:
+        for k, v in want.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

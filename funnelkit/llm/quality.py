@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ImportanceModel:
         expected = raw[a:b] * (target[a:b].sum() / max(1.0, raw[a:b].sum()))
         ratio[a:b] = np.log((target[a:b] + PRIOR) / (expected + PRIOR))
     model = ImportanceModel(ratio.astype(np.float32), float("-inf"))
-    rows = scored(known, model).select("y", F.col("log_importance") + gumbel()).toPandas()
+    with small_batches(docs.sparkSession):
+        rows = scored(known, model).select("y", F.col("log_importance") + gumbel()).toPandas()
     y, key = rows.iloc[:, 0].to_numpy(), rows.iloc[:, 1].to_numpy()
     if not target.any() or not (y == 0).any():
         return model

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, rows_of, settle, table, with_columns
+from .common import labelled, rows_of, settle, small_batches, table, with_columns
 
 LABELS, LEXICON, LEAST_Z, CACHE = 20_000, 512, 5.0, 300_000
 #: Signs and the letters they may stand for (fixed values).
@@ -192,6 +192,11 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, where: str = "pmod(crc32(cast(doc_id as string)), 5) != 0") -> ToxicityModel:
     """A model from the documents and labels whose doc_id meets ``where``."""
+    with small_batches(docs.sparkSession):
+        return _fitted(docs, labels, where)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, where: str) -> ToxicityModel:
     characters = character_model(docs.filter(where))
     sample = labelled(docs, labels, "toxic", LABELS, where)
 
