@@ -3,155 +3,105 @@ emitting the pairs.
 
 A18 asks, per day of an offer impression, for the mean and the median of
 ``t_continue - t_impression`` over *all* pairs of an impression and a later
-continue click of the same funnel.  Enumerating the pairs is quadratic in the
-size of a funnel.  Everything here is built from one primitive instead:
-
-    cum_le(key, t) = number (and time sum) of later-side events of the same
-                     key at or before time t
-
-computed with running sums over (key, hour bucket) windows plus per-bucket
-totals carried over earlier buckets, so a window partition never holds more
-than one key-hour and the carried totals hold one row per key-hour.
-
-Keys are usually small (a funnel is one purchase attempt), so ``pair_stats``
-joins the pairs out when every key has at most ``PAIR_LIMIT`` candidate pairs
-and falls back to the counting method otherwise (a hot key of any size).
-
-* mean:   sum over impressions of (sum_after - n_after * t1) / sum n_after
-* median: the smallest x with F(x) >= ceil(N / 2), where
-          F(x) = sum over impressions of cum_le(t1 + x) - cum_le(t1),
-          found by a k-ary search per group (63 probes per round, about six
-          rounds for millisecond resolution over 60 days).  Each round is one
-          distributed job; the driver only keeps the per-group search bracket
-          (a few numbers per day).  The result equals ``percentile_disc(0.5)``
-          over the pairs exactly.
+continue click of the same funnel.  Enumerating them is quadratic in the size
+of a funnel.  Here both sides are counted per time bucket first, in four
+nested sizes (hour, minute, second, millisecond), and only buckets meet:
+
+* count and mean: a pair is taken up at the coarsest size that puts its events
+  in different buckets, so buckets join within one bucket of the next coarser
+  size.  Numbers and sums of a bucket are enough for an exact mean.
+* median: pairs are counted by the distance ``k`` of their buckets.  Events
+  ``k`` buckets of size h apart differ by more than (k - 1)h and less than
+  (k + 1)h, so the median's pair is among the distances k - 1 to k + 1 around
+  the one where the running count reaches its rank; only those pairs are
+  counted at the next finer size.  At one millisecond k is the median itself.
+
+A bucket meets as many others as three buckets of the next coarser size hold
+(180, at the last size 3,000; hours: those of the date span), however many
+rows a funnel has, and every count is combined map-side.  The plan is lazy and
+the same for inputs of every size; the result is exact, as ``percentile_disc``
+over the pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_MS = 3_600_000  # one hour
-PROBES = 63
-# candidate pairs (impressions x later events) a single key may produce before
-# the pair-free method takes over
-PAIR_LIMIT = 4096
+SIZES_MS = (3_600_000, 60_000, 1_000, 1)
 D38 = "decimal(38,0)"
 
 
-def cum_le(points: DataFrame, events: DataFrame, key: str = "funnel_id") -> DataFrame:
-    """``points``: distinct (``key``, ``t``).  Returns ``key, t, n_le, s_le``:
-    count and sum of event times of the same key with time <= t."""
-    b = F.expr(f"t div {BUCKET_MS}")
-    ev = events.select(key, "t").withColumn("b", b)
-    pts = points.select(key, "t").withColumn("b", b)
-    # within the point's hour bucket: events sort before points at equal time
-    u = (ev.select(key, "b", "t", F.lit(0).alias("kind"))
-         .unionByName(pts.select(key, "b", "t", F.lit(1).alias("kind"))))
-    w = Window.partitionBy(key, "b").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    is_ev = F.col("kind") == 0
-    within = (u.select(key, "b", "t", "kind",
-                       F.sum(is_ev.cast("bigint")).over(w).alias("n_in"),
-                       F.sum(F.when(is_ev, F.col("t")).otherwise(0).cast(D38)).over(w).alias("s_in"))
-              .where(F.col("kind") == 1).drop("kind"))
-    # totals of strictly earlier buckets of the same key (one row per key-bucket)
-    totals = ev.groupBy(key, "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast(D38)).alias("s"))
-    asked = pts.select(key, "b").distinct()
-    v = (asked.select(key, "b", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("n"),
-                      F.lit(None).cast(D38).alias("s"))
-         .unionByName(totals.select(key, "b", F.lit(1).alias("kind"), "n", "s")))
-    wb = Window.partitionBy(key).orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = (v.select(key, "b", "kind", F.coalesce(F.sum("n").over(wb), F.lit(0)).alias("n_prev"),
-                        F.coalesce(F.sum("s").over(wb), F.lit(0).cast(D38)).alias("s_prev"))
-               .where(F.col("kind") == 0).drop("kind"))
-    return (within.join(earlier, [key, "b"])
-            .select(key, "t", (F.col("n_in") + F.col("n_prev")).alias("n_le"),
-                    (F.col("s_in") + F.col("s_prev")).alias("s_le")))
-
-
-def pair_stats(imp: DataFrame, later: DataFrame, group: str = "event_date", key: str = "funnel_id",
-               median_fn=None, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Per ``group``: number of (impression, later event) pairs, mean and
-    median of the time difference in seconds (``key, t, group`` /
-    ``key, t`` inputs; null keys never pair; only groups with pairs).
-
-    When every key has at most ``pair_limit`` candidate pairs, the pairs are
-    joined out (bounded work per key) and aggregated in one pass, the median
-    with ``median_fn`` (a sketch by default).  If any key exceeds the bound,
-    all statistics come from the pair-free counting method instead, whose
-    median is exact.
-    """
-    imp = imp.where(F.col(key).isNotNull()).select(key, "t", group)
-    later = later.where(F.col(key).isNotNull()).select(key, "t")
-    sizes = (imp.groupBy(key).agg(F.count(F.lit(1)).alias("n_i"))
-             .join(later.groupBy(key).agg(F.count(F.lit(1)).alias("n_c")), key))
-    if sizes.where(F.col("n_i") * F.col("n_c") > pair_limit).isEmpty():
-        d = (imp.join(later.withColumnRenamed("t", "t2"), key).where(F.col("t2") > F.col("t"))
-             .select(group, ((F.col("t2") - F.col("t")).cast("double") / 1000.0).alias("d")))
-        med = median_fn("d") if median_fn else F.percentile_approx("d", 0.5, 10000)
-        return d.groupBy(group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("avg_s"),
-                                    med.alias("median_s"))
-    return counting_pair_stats(imp, later, group, key)
-
-
-def counting_pair_stats(imp: DataFrame, later: DataFrame, group: str = "event_date", key: str = "funnel_id",
-                        median: bool = True) -> DataFrame:
-    """Pair statistics without materialising pairs (see module docstring)."""
-    spark = imp.sparkSession
-    # equal impressions (same key, time, group) contribute identically: weight them
-    imp = (imp.where(F.col(key).isNotNull()).groupBy(key, "t", group)
-           .agg(F.count(F.lit(1)).alias("m")))
-    later = later.where(F.col(key).isNotNull()).select(key, "t")
-    ftot = later.groupBy(key).agg(F.count(F.lit(1)).alias("n_f"), F.sum(F.col("t").cast(D38)).alias("s_f"),
-                                  F.max("t").alias("t_max"))
-    # both sides are reused by every search round; cached blocks are rebuilt
-    # from lineage if an executor is lost
-    imp, later = imp.persist(), later.persist()
-    le = cum_le(imp.select(key, "t").distinct(), later, key)
-    m = F.col("m")
-    base = (imp.join(le, [key, "t"]).join(ftot, key)
-            .select(group, "t", "m", "n_le",
-                    (F.col("n_f") - F.col("n_le")).alias("n_after"),
-                    (F.col("s_f") - F.col("s_le")).alias("s_after"),
-                    (F.col("t_max") - F.col("t")).alias("max_gap")))
-    per_group = (base.groupBy(group)
-                 .agg(F.sum(m * F.col("n_after")).alias("n_pairs"),
-                      F.sum(m.cast(D38) * (F.col("s_after") - F.col("n_after").cast(D38) * F.col("t"))).alias("sum_ms"),
-                      F.sum(m * F.col("n_le")).alias("base_le"),
-                      F.max(F.when(F.col("n_after") > 0, F.col("max_gap"))).alias("hi"))
-                 .where(F.col("n_pairs") > 0))
-    out = per_group.select(group, "n_pairs",
-                           (F.col("sum_ms").cast("double") / F.col("n_pairs") / 1000.0).alias("avg_s"))
-    if not median:
-        return out
-
-    # per group: [lo, hi, target, base]; invariant F(lo) < target <= F(hi)
-    state = {r[group]: [0, int(r["hi"]), -(-int(r["n_pairs"]) // 2), int(r["base_le"])]
-             for r in per_group.select(group, "n_pairs", "hi", "base_le").collect()}
-    gtype = per_group.schema[group].dataType.simpleString()
-    while any(hi - lo > 1 for lo, hi, _, _ in state.values()):
-        probes = []
-        for g, (lo, hi, _, _) in state.items():
-            if hi - lo > 1:
-                step = max(1, (hi - lo) // (PROBES + 1))
-                probes += [(g, x) for x in sorted({min(hi - 1, lo + step * j) for j in range(1, PROBES + 1)})]
-        # probe table: at most (#groups x PROBES) rows, broadcast by construction
-        th = F.broadcast(spark.createDataFrame(probes, f"{group} {gtype}, x bigint"))
-        pts = imp.join(th, group).select(key, group, "x", "m", (F.col("t") + F.col("x")).alias("t"))
-        q = cum_le(pts.select(key, "t").distinct(), later, key)
-        res = (pts.join(q, [key, "t"]).groupBy(group, "x")
-               .agg(F.sum(F.col("m") * F.col("n_le")).alias("le")).collect())
-        for r in res:
-            st = state[r[group]]
-            if r["le"] - st[3] >= st[2]:
-                st[1] = min(st[1], r["x"])
-            else:
-                st[0] = max(st[0], r["x"])
-    stats = {r[group]: (r["n_pairs"], r["avg_s"]) for r in out.collect()}
-    imp.unpersist()
-    later.unpersist()
-    # one row per group that has pairs (a few hundred rows at most per year of days)
-    return spark.createDataFrame(
-        [(g, int(n), float(a), state[g][1] / 1000.0) for g, (n, a) in stats.items()],
-        f"{group} {gtype}, n_pairs bigint, avg_s double, median_s double")
+def _div(c: str, size: int) -> Column:
+    """``c`` divided by ``size``, rounded down."""
+    return F.expr(f"(({c}) - pmod({c}, {size}L)) div {size}L")
+
+
+def _buckets(rows: DataFrame, n: str, key: str, by: list[str], prefix: str) -> DataFrame:
+    """Per size, key and bucket: the next coarser bucket, number of events and sum of their times in the bucket."""
+    levels = [F.struct(F.lit(i).alias("level"), (_div("t", SIZES_MS[i - 1]) if i else F.lit(0).cast("bigint")).alias("outer"),
+                       _div("t", h).alias(f"{prefix}b"), F.expr(f"pmod(t, {h}L)").alias("rest"))
+              for i, h in enumerate(SIZES_MS)]
+    x = rows.select(key, *by, n, F.explode(F.array(*levels)).alias("x")).select(key, *by, n, "x.*")
+    return x.groupBy("level", key, "outer", *by, f"{prefix}b").agg(
+        F.sum(n).cast(D38).alias(f"{prefix}n"), F.sum(F.col("rest").cast(D38) * F.col(n)).alias(f"{prefix}s"))
+
+
+def _totals(imp: DataFrame, later: DataFrame, group: str, key: str) -> DataFrame:
+    """group, n_pairs, sum_ms over pairs with a later second event."""
+    size = F.element_at(F.array(*[F.lit(h) for h in SIZES_MS]), F.col("level") + 1).cast(D38)
+    c = F.col
+    pairs = (_buckets(imp, "m", key, [group], "i").join(_buckets(later, "n", key, [], "l"), ["level", key, "outer"])
+             .where(c("lb") > c("ib")))
+    gap = c("in") * c("ln") * ((c("lb") - c("ib")).cast(D38) * size) + c("in") * c("ls") - c("ln") * c("is")
+    return pairs.groupBy(group).agg(F.sum(c("in") * c("ln")).cast(D38).alias("n_pairs"), F.sum(gap).cast(D38).alias("sum_ms"))
+
+
+def _nearest(counts: DataFrame, group: str, carried: list[str], name: str) -> DataFrame:
+    """The distance ``name`` at which each group's running count reaches ``rank``; ``rank`` less what lies further below."""
+    up_to = Window.partitionBy(group).orderBy("k")
+    c = F.col
+    run = counts.withColumn("cum", F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
+    # all pairs at distances of k - 2 or less; distances without pairs have no row
+    run = run.withColumn("below", F.coalesce(F.sum("n").over(up_to.rangeBetween(Window.unboundedPreceding, -2)), F.lit(0)))
+    found = run.where((c("cum") >= c("rank")) & (c("cum") - c("n") < c("rank")))
+    return found.select(group, *carried, (c("rank") - c("below")).cast(D38).alias("rank"), c("k").alias(name))
+
+
+def pair_stats(imp: DataFrame, later: DataFrame, group: str = "event_date", key: str = "funnel_id") -> DataFrame:
+    """Per ``group``: number of (impression, later event) pairs, mean and lower
+    median of the time difference in seconds (``key, t, group`` / ``key, t``
+    inputs; rows with a null never pair; only groups with pairs)."""
+    c = F.col
+    imp = imp.select(key, "t", group).dropna().groupBy(key, "t", group).agg(F.count(F.lit(1)).alias("m"))
+    later = later.select(key, "t").dropna().groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
+    totals = _totals(imp, later, group, key)
+    carried = ["n_pairs", "sum_ms"]
+    state = None
+    for i, h in enumerate(SIZES_MS):
+        a = imp.groupBy(key, group, _div("t", h).alias("ib")).agg(F.sum("m").cast(D38).alias("in"))
+        b = later.groupBy(key, _div("t", h).alias("lb")).agg(F.sum("n").cast(D38).alias("ln"))
+        k = c("lb") - c("ib")
+        if state is None:
+            counts = a.join(b, key).where(k >= 0).groupBy(group, k.alias("k")).agg(F.sum(c("in") * c("ln")).cast(D38).alias("n"))
+            # pairs of one hour whose second event is not later come first in the order of differences
+            everything = F.sum("n").over(Window.partitionBy(group))
+            counts = counts.withColumn("all", everything).join(totals, group).withColumn(
+                "rank", c("all") - c("n_pairs") + F.ceil(c("n_pairs") / 2))
+        else:
+            kept = [f"k{j}" for j in range(i)]
+            outer = SIZES_MS[i - 1] // h
+            a = a.join(state, group).withColumn(
+                "outer", F.explode(F.expr("sequence(-1L, 1L)"))).withColumn("outer", c("outer") + _div("ib", outer) + c(kept[-1]))
+            pairs = a.join(b.withColumn("outer", _div("lb", outer)), [key, "outer"])
+            for j, at in enumerate(kept[:-1]):
+                f = SIZES_MS[j] // h
+                pairs = pairs.where((_div("lb", f) - _div("ib", f)).between(c(at) - 1, c(at) + 1))
+            hour = SIZES_MS[0] // h
+            pairs = pairs.where(_div("lb", hour) >= _div("ib", hour))  # distances of hours start at 0
+            carried = ["n_pairs", "sum_ms", *kept]
+            counts = pairs.groupBy(group, "rank", *carried, k.alias("k")).agg(F.sum(c("in") * c("ln")).cast(D38).alias("n"))
+        state = _nearest(counts, group, carried, f"k{i}")
+    return state.select(group, c("n_pairs").cast("bigint").alias("n_pairs"),
+                        (c("sum_ms").cast("double") / c("n_pairs").cast("double") / 1000.0).alias("avg_s"),
+                        (c(f"k{len(SIZES_MS) - 1}") / 1000.0).alias("median_s"))

@@ -95,16 +95,14 @@ def median(c: str, p: Params) -> Column:
     return F.percentile_approx(F.col(c), 0.5, 10000)
 
 
-def time_to_continue(rows: DataFrame, p: Params) -> DataFrame:
+def time_to_continue(rows: DataFrame) -> DataFrame:
     """Seconds from each offer impression to every later continue click
-    of the same funnel, mean and (lower) median per impression day.  The
-    statistics are taken over all such pairs; a funnel with more candidate
-    pairs than a fixed bound switches the whole computation to the pair-free
-    counting method (``functions.pairs``)."""
+    of the same funnel, mean and (lower) median per impression day, over all
+    such pairs, counted without emitting them (``functions.pairs``)."""
     imp = rows.where(F.col("event_name") == V.OFFER_IMPRESSION).select(
         "funnel_id", F.col("res_timestamp").alias("t"), "event_date")
     cont = rows.where(P.is_continue()).select("funnel_id", F.col("res_timestamp").alias("t"))
-    return pair_stats(imp, cont, "event_date", median_fn=lambda c: median(c, p)).select(
+    return pair_stats(imp, cont, "event_date").select(
         "event_date", "avg_s", "median_s")
 
 
@@ -117,15 +115,11 @@ def adoption_daily(t: Tables, p: Params) -> DataFrame:
     fc = FlagCounts(
         keys=["event_date"],
         by_funnel={"purchase_clicks": P.is_click(), "direct_purchases": direct_ok, "total_purchases": ok,
-                   "direct_continues": P.is_continue() & P.on(V.DIRECT),
-                   "changed_to_direct": (F.col("event_name") == V.PRE_PURCHASE_CLICK)
-                   & (F.col("cta_name") == V.CTA_SELECT_DIRECT),
-                   "total_changes": (F.col("event_name") == V.PRE_PURCHASE_CLICK)
-                   & F.col("cta_name").isin(V.CTA_SELECT_DIRECT, V.CTA_SELECT_STORE)},
-        by_user={"active_users": F.lit(True), "direct_payers": direct_ok, "total_payers": ok},
+                   "direct_continues": P.is_continue() & P.on(V.DIRECT)},
+        by_user={"direct_payers": direct_ok, "total_payers": ok},
         sums={"direct_revenue": direct_ok, "total_revenue": ok})
     dm = fc(rows)
-    tm = time_to_continue(rows, p)
+    tm = time_to_continue(rows)
     c = F.col
     return (dm.join(tm, "event_date", "left")
             .select("event_date",
@@ -142,7 +136,7 @@ def adoption_daily(t: Tables, p: Params) -> DataFrame:
 def time_to_continue_daily(t: Tables, p: Params) -> DataFrame:
     """A18 as a table over the panel rows."""
     rows = panel_rows(t, p).withColumn("event_date", event_day())
-    return (time_to_continue(rows, p)
+    return (time_to_continue(rows)
             .select("event_date", P.r6_stable("avg_s").alias("avg_time_offer_to_continue"),
                     F.col("median_s").alias("median_time_offer_to_continue"))
             .orderBy("event_date"))

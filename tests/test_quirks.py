@@ -236,23 +236,44 @@ def test_did_missing_cell_counts_zero(spark):
     assert a["test_change_pct"] == 0.0 and a["diff_in_diff"] == 1.0 and a["diff_in_diff_pct"] == 0.0
 
 
-def test_pair_stats_counting_path_matches_brute_force(spark):
-    """A hot funnel (many impressions and continues) forces the pair-free
-    counting method; mean and lower median equal the brute-force values."""
+def test_pair_stats_match_brute_force(spark):
+    """Hot and small funnels, equal times, hour borders and repeated rows: count, mean and lower median of all pairs."""
+    import random
     import statistics
     from funnelkit.functions.pairs import pair_stats
-    imp_t = [1000 * i + 7 * (i % 5) for i in range(0, 60)]
-    cont_t = [1500 * i + 3 for i in range(0, 45)] + [86_400_000 + 250 * i for i in range(10)]
-    imp = spark.createDataFrame([(1, t, "d") for t in imp_t] + [(2, 5, "d"), (None, 1, "d")],
-                                "funnel_id bigint, t bigint, g string")
-    later = spark.createDataFrame([(1, t) for t in cont_t] + [(2, 9), (3, 1)], "funnel_id bigint, t bigint")
-    deltas = sorted([(c - i) / 1000.0 for i in imp_t for c in cont_t if c > i] + [0.004])
-    got = pair_stats(imp, later, "g", pair_limit=10).collect()[0]
-    assert got["n_pairs"] == len(deltas)
-    assert abs(got["avg_s"] - statistics.fmean(deltas)) < 1e-9
-    assert got["median_s"] == deltas[(len(deltas) + 1) // 2 - 1]
-    small = pair_stats(imp, later, "g").collect()[0]       # bounded join path
-    assert small["n_pairs"] == got["n_pairs"] and small["median_s"] == got["median_s"]
+    rng = random.Random(3)
+    base = 1_700_000_000_000
+    imp = [(1, base + 1000 * i + 7 * (i % 5), "d") for i in range(60)] * 2 + [(2, 5, "d"), (None, 1, "d")]
+    later = [(1, base + 1500 * i + 3) for i in range(45)] + [(1, base + 86_400_000 + 250 * i) for i in range(10)] + [(2, 9), (3, 1)]
+    for g in "efghi":  # wide and narrow spreads, so that the median falls in buckets of every size
+        spread = {"e": 40, "f": 3_000, "g": 200_000, "h": 9_000_000, "i": 400_000_000}[g]
+        for f in range(10, 14):
+            imp += [(f * ord(g), base + rng.randrange(spread), g) for _ in range(rng.randrange(1, 30))]
+            later += [(f * ord(g), base + rng.randrange(spread)) for _ in range(rng.randrange(1, 30))]
+    got = {r["g"]: r for r in pair_stats(spark.createDataFrame(imp, "funnel_id bigint, t bigint, g string"),
+                                         spark.createDataFrame(later, "funnel_id bigint, t bigint"), "g").collect()}
+    for g in "defghi":
+        deltas = sorted(c - i for k, i, h in imp if h == g for f, c in later if f == k and c > i)
+        assert got[g]["n_pairs"] == len(deltas)
+        assert abs(got[g]["avg_s"] - statistics.fmean(deltas) / 1000) < 1e-9
+        assert got[g]["median_s"] == deltas[(len(deltas) + 1) // 2 - 1] / 1000
+    assert len(got) == 6
+
+
+def test_pair_stats_of_a_hot_funnel(spark):
+    """One funnel of 10^5 events: 1.25 * 10^9 later pairs, known in closed form."""
+    from funnelkit.functions.pairs import pair_stats
+    n = 50_000
+    imp = spark.range(n).selectExpr("1L as funnel_id", "id * 100 as t", "'d' as g")
+    later = spark.range(n).selectExpr("1L as funnel_id", "id * 100 + 50 as t")
+    r = pair_stats(imp, later, "g").first()  # n - j pairs of difference 100 * j + 50
+    assert r["n_pairs"] == n * (n + 1) // 2
+    assert abs(r["avg_s"] - sum((n - j) * (100 * j + 50) for j in range(n)) / r["n_pairs"] / 1000) < 1e-6
+    seen, j = n, 0
+    while seen < (r["n_pairs"] + 1) // 2:
+        j += 1
+        seen += n - j
+    assert r["median_s"] == (100 * j + 50) / 1000
 
 
 def test_low_payer_filter_semi_join(spark):
