@@ -68,13 +68,16 @@ def _nearest(counts: DataFrame, group: str, carried: list[str], name: str) -> Da
     return found.select(group, *carried, (c("rank") - c("below")).cast(D38).alias("rank"), c("k").alias(name))
 
 
-def pair_stats(imp: DataFrame, later: DataFrame, group: str = "event_date", key: str = "funnel_id") -> DataFrame:
-    """Per ``group``: number of (impression, later event) pairs, mean and lower
-    median of the time difference in seconds (``key, t, group`` / ``key, t``
-    inputs; rows with a null never pair; only groups with pairs)."""
+def pair_stats(rows: DataFrame, group: str = "event_date", key: str = "funnel_id") -> DataFrame:
+    """Per ``group`` of the first event: number of (first, later) pairs of a key,
+    mean and lower median of the time difference in seconds.  ``rows`` has
+    ``key, t, group`` and booleans ``first`` and ``later``; rows with a null
+    never pair; only groups with pairs.  Both sides come from one aggregate,
+    so the rows are read and shuffled once."""
     c = F.col
-    imp = imp.select(key, "t", group).dropna().groupBy(key, "t", group).agg(F.count(F.lit(1)).alias("m"))
-    later = later.select(key, "t").dropna().groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
+    events = rows.select(key, "t", group, "first", "later").where(c("first") | c("later")).dropna()
+    events = events.groupBy(key, "t", group).agg(F.sum(c("first").cast("bigint")).alias("m"), F.sum(c("later").cast("bigint")).alias("n"))
+    imp, later = events.where(c("m") > 0).drop("n"), events.where(c("n") > 0).select(key, "t", "n")
     totals = _totals(imp, later, group, key)
     carried = ["n_pairs", "sum_ms"]
     state = None

@@ -99,11 +99,10 @@ def time_to_continue(rows: DataFrame) -> DataFrame:
     """Seconds from each offer impression to every later continue click
     of the same funnel, mean and (lower) median per impression day, over all
     such pairs, counted without emitting them (``functions.pairs``)."""
-    imp = rows.where(F.col("event_name") == V.OFFER_IMPRESSION).select(
-        "funnel_id", F.col("res_timestamp").alias("t"), "event_date")
-    cont = rows.where(P.is_continue()).select("funnel_id", F.col("res_timestamp").alias("t"))
-    return pair_stats(imp, cont, "event_date").select(
-        "event_date", "avg_s", "median_s")
+    events = rows.select("funnel_id", F.col("res_timestamp").alias("t"), "event_date",
+                         F.coalesce(F.col("event_name") == V.OFFER_IMPRESSION, F.lit(False)).alias("first"),
+                         F.coalesce(P.is_continue(), F.lit(False)).alias("later"))
+    return pair_stats(events).select("event_date", "avg_s", "median_s")
 
 
 def adoption_daily(t: Tables, p: Params) -> DataFrame:

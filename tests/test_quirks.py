@@ -250,8 +250,9 @@ def test_pair_stats_match_brute_force(spark):
         for f in range(10, 14):
             imp += [(f * ord(g), base + rng.randrange(spread), g) for _ in range(rng.randrange(1, 30))]
             later += [(f * ord(g), base + rng.randrange(spread)) for _ in range(rng.randrange(1, 30))]
-    got = {r["g"]: r for r in pair_stats(spark.createDataFrame(imp, "funnel_id bigint, t bigint, g string"),
-                                         spark.createDataFrame(later, "funnel_id bigint, t bigint"), "g").collect()}
+    rows = [(*r, True, False) for r in imp] + [(f, t, "z", False, True) for f, t in later]
+    schema = "funnel_id bigint, t bigint, g string, first boolean, later boolean"
+    got = {r["g"]: r for r in pair_stats(spark.createDataFrame(rows, schema), "g").collect()}
     for g in "defghi":
         deltas = sorted(c - i for k, i, h in imp if h == g for f, c in later if f == k and c > i)
         assert got[g]["n_pairs"] == len(deltas)
@@ -264,9 +265,8 @@ def test_pair_stats_of_a_hot_funnel(spark):
     """One funnel of 10^5 events: 1.25 * 10^9 later pairs, known in closed form."""
     from funnelkit.functions.pairs import pair_stats
     n = 50_000
-    imp = spark.range(n).selectExpr("1L as funnel_id", "id * 100 as t", "'d' as g")
-    later = spark.range(n).selectExpr("1L as funnel_id", "id * 100 + 50 as t")
-    r = pair_stats(imp, later, "g").first()  # n - j pairs of difference 100 * j + 50
+    rows = spark.range(2 * n).selectExpr("1L as funnel_id", "id * 50 as t", "'d' as g", "id % 2 = 0 as first", "id % 2 = 1 as later")
+    r = pair_stats(rows, "g").first()  # n - j pairs of difference 100 * j + 50
     assert r["n_pairs"] == n * (n + 1) // 2
     assert abs(r["avg_s"] - sum((n - j) * (100 * j + 50) for j in range(n)) / r["n_pairs"] / 1000) < 1e-6
     seen, j = n, 0
