@@ -12,7 +12,9 @@ Only links matter, not all pairs of a group. A column of up to ``SMALL`` classes
 pairs. A larger one gives each class with the next few and with the first; then rounds over ever
 larger distances take up the columns whose classes are not yet in one component, and end when none
 is left or every pair of such a column was looked at. Columns that a counting sketch knows as very
-common are dealt out in blocks; the rounds join what the blocks keep apart. Nothing is capped.
+common are dealt out in blocks, and every row of them stays; the rounds join what the blocks keep
+apart, also pairs that the first round's count, short of what other blocks hold, discarded. Nothing
+is capped.
 
 Edge cases: a null or empty text, or one without words, has an empty set and no links; with fewer
 than five words its whole sequence is the one shingle; repeated doc_ids are one node; a null doc_id
@@ -77,9 +79,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def common_levels(sets: DataFrame) -> np.ndarray:
-    """Per bucket of hashes, 4 * log2(1 + estimate of how many documents have its most common one); 0: none stands out.
+    """Per bucket of hashes, 4 * log2(1 + estimate of how many sets have its most common one); 0: none stands out.
 
-    A fixed number of buckets is counted over all documents, as compressed slices, so what is sent to
+    A fixed number of buckets is counted over all sets, as compressed slices, so what is sent to
     the driver and out again is bounded.
     """
 
@@ -133,12 +135,12 @@ def _marked(sets: DataFrame, bitmap: DataFrame, want: bool) -> DataFrame:
 
 
 def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
-    """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here)."""
+    """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here), dealt (the column has several blocks)."""
     blocks = 1 + np.exp2(np.minimum(np.arange(256), 160) / 4).astype(np.int64) // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items"):
-            cols, docs, ns, near, block = [], [], [], [], []
+            cols, docs, ns, near, block, dealt = [], [], [], [], [], []
             for d, n, x in zip(doc_ids, sizes, data, strict=True):
                 items = np.frombuffer(x, np.uint64)
                 bucket = (items >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
@@ -148,18 +150,20 @@ def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
                 docs.append(np.full(first, d))
                 ns.append(np.full(first, n, np.int32))
                 near.append(np.arange(first) < n - -(-6 * n // 7) + 1)
-                block.append((items[at] * np.uint64(2 * d + 1 & (2**64 - 1)) >> np.uint64(33)).astype(np.int64) % blocks[level[bucket[at]]])
+                parts = blocks[level[bucket[at]]]
+                dealt.append(parts > 1)
+                block.append((items[at] * np.uint64(2 * d + 1 & (2**64 - 1)) >> np.uint64(33)).astype(np.int64) % parts)
             if cols:
-                out = [np.concatenate(c) for c in (cols, block, docs, ns, near)]
-                yield pa.record_batch([pa.array(out[0].view(np.int64)), pa.array(out[1].astype(np.int32)), *map(pa.array, out[2:])], ["col", "block", "doc", "n", "near"])
+                out = [np.concatenate(c) for c in (cols, block, docs, ns, near, dealt)]
+                yield pa.record_batch([pa.array(out[0].view(np.int64)), pa.array(out[1].astype(np.int32)), *map(pa.array, out[2:])], ["col", "block", "doc", "n", "near", "dealt"])
 
-    return sets.select("doc_id", "n", "items").mapInArrow(run, "col long, block int, doc long, n int, near boolean")
+    return sets.select("doc_id", "n", "items").mapInArrow(run, "col long, block int, doc long, n int, near boolean, dealt boolean")
 
 
 #: c: counted shared columns; near: the smaller set has one of them in its own first part; big: one is of a large
 #: column, not all of whose pairs come at once, so that the count decides nothing.
 _PAIRS = "a long, b long, na int, nb int, c int, near int, big int"
-_SHARED = "col long, block int, doc long, n int, near boolean, size int"
+_SHARED = "col long, block int, doc long, n int, near boolean, dealt boolean, size int"
 
 
 def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -314,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = _bitmap(copies, "doc_id")
     usable = sets.filter("n > 0 and doc_id is not null").select("doc_id", "n", "items")
     rows = _marked(usable, bits, False).unionByName(_marked(usable, bits, True).join(copies, "doc_id", "left_anti"))
-    level = common_levels(usable)
+    level = common_levels(rows)
     dealt = incidence(rows, level).repartition("col", "block").sortWithinPartitions("col", "block", "n", "doc")
     shared = written(dealt.mapInArrow(_keep_shared, _SHARED), "incidence")
     own = links(product(_sorted(shared)), rows)
@@ -328,13 +332,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of columns with two classes or more in a block, with that number; blocks of a dealt column all stay."""
+    """Rows of columns with two classes or more in a block, with that number; rows of a dealt column all stay, as others may be in its other blocks."""
     for a in _groups(batches):
         start = _starts(a)
         size = np.bincount(start, minlength=len(start))[start]
-        at = np.flatnonzero((size > 1) | (a["block"] > 0))
+        at = np.flatnonzero((size > 1) | a["dealt"])
         if len(at):
-            yield pa.record_batch([a[c][at] for c in ("col", "block", "doc", "n", "near")] + [size[at].astype(np.int32)], ["col", "block", "doc", "n", "near", "size"])
+            names = ["col", "block", "doc", "n", "near", "dealt"]
+            yield pa.record_batch([*(a[c][at] for c in names), size[at].astype(np.int32)], [*names, "size"])
 
 
 def _sorted(shared: DataFrame) -> DataFrame:
@@ -343,12 +348,12 @@ def _sorted(shared: DataFrame) -> DataFrame:
 
 def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: DataFrame) -> DataFrame:
     """Rounds over columns too large for the first one until their classes are in one component or all were compared."""
-    wide = shared.groupBy("col").agg(F.count("*").alias("m"), F.max("block").alias("last"), F.max("size").alias("size"))
-    wide = written(wide.filter((F.col("size") > SMALL) | ((F.col("last") > 0) & (F.col("m") > 1))).select("col", "m"), "columns")
+    wide = shared.groupBy("col").agg(F.count("*").alias("m"), F.max("dealt").alias("dealt"), F.max("size").alias("size"))
+    wide = written(wide.filter((F.col("size") > SMALL) | (F.col("dealt") & (F.col("m") > 1))).select("col", "m"), "columns")
     most = wide.agg(F.max("m")).first()[0]
     if not most:
         return comps
-    big = written(shared.join(wide, "col").drop("size"), "wide")
+    big = written(shared.join(wide, "col").drop("size", "dealt"), "wide")
     after = 0
     while after < most - 1:
         to = max(8, after * 8)

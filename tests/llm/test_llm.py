@@ -167,6 +167,18 @@ def test_jaccard_components(spark, docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_jaccard_links_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 1)  # every column is dealt to two blocks or more
+    texts = []
+    for i in range(60):
+        w = [f"d{i}w{k}" for k in range(11)]
+        texts += [" ".join(w[:10]), " ".join(w)]
+    texts += [texts[0]] * 40
+    many = frame(spark, texts)
+    want = linked({d: shingles(t) for d, t in texts_of(many).items()})
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(many).collect()} == want
+
+
 def test_jaccard_empty(spark, docs):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
