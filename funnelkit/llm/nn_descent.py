@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Equal vectors are one node. The first graph comes from ``TREES`` random hyperplane codes: nodes are
-sorted by code and cut into blocks of ``BLOCK``, and a block is compared as a whole. NN-descent then
-joins neighbours of neighbours: every node brings its best forward and backward neighbours together,
-and each keeps what is better than it had. A query starts at its own node and greedily expands the
-best of its list, round after round. Every list has a fixed length, so no step sees an unbounded
-group; hubs keep their best backward neighbours.
+sorted by code and cut into blocks of ``BLOCK``, and a block is compared as a whole. NN-descent
+then joins neighbours of neighbours: every node brings its best forward and backward neighbours
+together, but for pairs that met there in the round before, and each keeps what is better than it
+had. Rounds end when less than ``STOP`` of all list entries are new. A query starts at its own node
+and greedily expands the best of its list until the list stays as it is. Every list has a fixed
+length, so no step sees an unbounded group; hubs keep their best backward neighbours.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 equal vectors rank by id; repeated vec_ids count once; fewer candidates than asked for are all
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-TREES, BLOCK, LIST, JOIN, DESCENTS = 16, 4096, 32, 12, 1
-ROUNDS, EXPAND = 2, 24
+TREES, BLOCK, LIST, JOIN, STOP = 16, 4096, 32, 12, 0.001
+EXPAND = 24
 NODES, LISTS = "node long, vec binary", "node long, ids binary, scores binary"
 
 
@@ -139,7 +141,7 @@ def first_graph(nodes: DataFrame, count: int) -> DataFrame:
             yield block(rest)
 
     coded = nodes.mapInArrow(code, "tree int, code long, line float, node long, vec binary")
-    parts = max(TREES, TREES * count // (4 * BLOCK))
+    parts = max(TREES, TREES * count // (1 << 14))
     blocks = coded.repartitionByRange(parts, "tree", "code", "line").sortWithinPartitions("tree", "code", "line", "node")
     return merged(blocks.mapInArrow(compare, LISTS), LIST)
 
@@ -158,17 +160,25 @@ def edges(graph: DataFrame, k: int) -> DataFrame:
     return graph.mapInArrow(run, "node long, other long, score double")
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: the best forward and backward neighbours of every node are compared with each other."""
+def meetings(graph: DataFrame) -> DataFrame:
+    """node, other: the best forward and backward neighbours that each node brings together."""
     forward = edges(graph, JOIN)
     best = Window.partitionBy("other").orderBy(F.desc("score"), "node")
     backward = forward.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= JOIN)
-    pairs = forward.select("node", "other").unionByName(backward.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    met = pairs.join(nodes.select(F.col("node").alias("other"), "vec"), "other").select("node", "other", "vec")
+    return forward.select("node", "other").unionByName(backward.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+
+
+def descend(graph: DataFrame, nodes: DataFrame, pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+    """One round: neighbours that meet at a node (``pairs``) are compared, unless both were there in the round before."""
+    flagged = pairs.withColumn("old", F.lit(False))
+    if before is not None:
+        flagged = pairs.join(before.withColumn("old", F.lit(True)), ["node", "other"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        flagged = flagged.join(flagged.filter(~F.col("old")).select("node").distinct(), "node", "left_semi")
+    met = flagged.join(nodes.select(F.col("node").alias("other"), "vec"), "other").select("node", "other", "vec", "old")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_group(batches, "node"):
-            x, other, node = _matrix(t.column("vec")), t.column("other").to_numpy(), t.column("node").to_numpy()
+            x, other, node, old = _matrix(t.column("vec")), t.column("other").to_numpy(), t.column("node").to_numpy(), t.column("old").to_numpy()
             bounds = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), len(node))
             out = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -176,9 +186,12 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
                     continue
                 s = x[a:b] @ x[a:b].T
                 np.fill_diagonal(s, -np.inf)
+                s[np.outer(old[a:b], old[a:b])] = -np.inf
                 k = min(JOIN, b - a - 1)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                out.append((np.repeat(other[a:b], k), other[a:b][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+                scores = np.take_along_axis(s, top, 1).ravel()
+                ok = scores > -np.inf
+                out.append((np.repeat(other[a:b], k)[ok], other[a:b][top].ravel()[ok], scores[ok]))
             if out:
                 who, ids, scores = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield _best(who, ids, scores.astype(np.float64), LIST)
@@ -187,12 +200,32 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return merged(graph.unionByName(found), LIST)
 
 
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of list entries of ``after`` that ``before`` doesn't have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = total = 0
+            for ids, was in zip(b.column("ids").to_pylist(), b.column("was").to_pylist(), strict=True):
+                ids = np.frombuffer(ids, "<i8")
+                new += len(np.setdiff1d(ids, np.frombuffer(was or b"", "<i8")))
+                total += len(ids)
+            yield pa.record_batch([pa.array([new], pa.int64()), pa.array([total], pa.int64())], ["new", "total"])
+
+    rows = after.select("node", "ids").join(before.select("node", F.col("ids").alias("was")), "node", "left")
+    new, total = rows.select("ids", "was").mapInArrow(run, "new long, total long").agg(F.sum("new"), F.sum("total")).first()
+    return new / total if total else 0.0
+
+
 def build(nodes: DataFrame) -> DataFrame:
     """The neighbour graph (``LISTS``) over nodes (``NODES``)."""
-    graph = written(first_graph(nodes, nodes.count()), "graph")
-    for _ in range(DESCENTS):
-        graph = written(descend(graph, nodes), "graph")
-    return graph
+    graph, before = written(first_graph(nodes, nodes.count()), "graph"), None
+    while True:
+        pairs = written(meetings(graph), "pairs")
+        last, graph = graph, written(descend(graph, nodes, pairs, before), "graph")
+        before = pairs
+        if changed(last, graph) < STOP:
+            return graph
 
 
 def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, k: int) -> DataFrame:
@@ -200,7 +233,8 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, k: int) -> Dat
     vec = starts.join(nodes, "node").select("node", "vec")
     now = starts.join(graph, "node").select("node", "ids", "scores")
     known = edges(now, LIST).select("node", "other")
-    for _ in range(ROUNDS):
+    ended = []
+    while True:
         steps = edges(now, EXPAND).select(F.col("node").alias("q"), F.col("other").alias("node"))
         reached = steps.join(graph, "node").select("q", "ids")
 
@@ -223,9 +257,15 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, k: int) -> Dat
                 yield _best(node[at], other[at], scores, max(k, LIST))
 
         ranked = rows.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(rank, LISTS)
-        now = written(ranked, "found")
+        last, now = now.select("node", F.col("ids").alias("was")), written(ranked, "found")
+        both = written(now.join(last, "node").withColumn("same", F.col("ids") == F.col("was")).drop("was"), "rounds")
+        ended.append(both.filter("same").drop("same"))
+        now = both.filter("not same").drop("same")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        starts = now.select("node")
+        vec = starts.join(nodes, "node").select("node", "vec")
         known = edges(now, max(k, LIST)).select("node", "other")
-    return now
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -227,6 +227,22 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest(vectors.limit(0), vectors.limit(0), 10).count() == 0
 
 
+def test_nearest_neighbours_from_a_poor_graph(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "TREES", 2)
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)  # far below the table
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((100, 24))[np.arange(4000) % 100] + 0.7 * rng.standard_normal((4000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect():
+        got[r.query_id].add(r.vec_id)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    hits = [len(got[q] & set(np.argsort(-s[q])[:20].tolist())) for q in range(0, 4000, 20)]
+    assert sum(hits) >= 0.95 * 20 * len(hits), sum(hits) / 20 / len(hits)
+
+
 def test_rules(spark, docs):
     for r in rules.described(docs).collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
