@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, matrix_bpe, maxent, nn_descent, packing, quality, rules, secrets_scan, toxicity, wavelet
+from . import collocations, jaccard, matrix_bpe, maxent, nn_descent, packing, quality, rules, secrets_scan, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_secrets": secrets_scan.op8_secrets,
     "op9_importance": quality.op9_importance,
     "op10_maxent": maxent.op10_maxent,
+    "op11_collocations": collocations.op11_collocations,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": collocations.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
