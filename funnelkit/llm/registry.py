@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, jaccard, matrix_bpe, maxent, nn_descent, packing, quality, rules, secrets_scan, toxicity, wavelet
+from . import collocations, hard_negatives, jaccard, matrix_bpe, maxent, nn_descent, packing, quality, rules, secrets_scan, suffix_dedup, toxicity, wavelet
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,7 +16,10 @@ QUERIES = {
     "op9_importance": quality.op9_importance,
     "op10_maxent": maxent.op10_maxent,
     "op11_collocations": collocations.op11_collocations,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_suffixes": suffix_dedup.op13_suffixes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }

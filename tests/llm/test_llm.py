@@ -323,5 +323,5 @@ def test_pipeline_keeps_columns_and_handles_odd_rows(spark, docs, tmp_path):
 
 
 def test_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES] == list(range(1, 14))
     assert isinstance(tokens.library_encoder(JSON)(["a b"])[0], np.ndarray)
