@@ -6,8 +6,7 @@ input row once per distinct expression before the shuffle.  ``FlagCounts``
 instead aggregates once to one row per (keys, user, funnel) with 0/1 flags and
 exact money sums (partial aggregation runs map-side, so a hot user or funnel
 collapses before the shuffle), then derives the funnel counts, user counts and
-sums from that small table.  The three derivations share the first exchange
-(Spark reuses the identical sub-plan), so the event table is scanned once.
+sums from that small table in one chain, so the event table is scanned once.
 """
 
 from __future__ import annotations
@@ -57,54 +56,37 @@ class FlagCounts:
         return df.groupBy(*self._grain()).agg(*aggs)
 
     def derive(self, fine: DataFrame) -> DataFrame:
-        """Counts and sums per ``keys`` from the fine table.  Sums ride along
-        with the first count branch, so there is at most one join per
-        id kind.  (Expressions are given as SQL text: same plan, fewer
-        round trips while building it.)"""
+        """Counts and sums per ``keys`` from the fine table, in one chain of
+        aggregates without branches, so the events are read once: where both
+        funnels and users are counted, each fine row becomes one row of its
+        funnel (with the sums) and one of its user.  (Expressions are given as
+        SQL text: same plan, fewer round trips while building it.)"""
         E = F.expr
-        parts = []
-        sums = [E(f"sum(s__{n})").alias(f"s__{n}") for n in self.sums]
-        if self.by_funnel or self.funnel_all:
-            flags = [E(f"CASE WHEN {self.funnel} IS NOT NULL THEN f__{n} ELSE 0 END") for n in self.by_funnel]
-            if self.by_user:
-                per = fine.groupBy(*self.keys, self.funnel).agg(
-                    *[F.max(f).alias(n) for f, n in zip(flags, self.by_funnel)], *sums)
-            else:
-                per = fine.select(*self.keys, *[f.alias(n) for f, n in zip(flags, self.by_funnel)],
-                                  *[f"s__{n}" for n in self.sums])
-            parts.append(per.groupBy(*self.keys).agg(
-                *[E(f"CAST(sum({n}) AS BIGINT)").alias(n) for n in self.by_funnel],
-                *[E(f"CAST(sum({a} * {b}) AS BIGINT)").alias(n) for n, (a, b) in self.funnel_all.items()],
-                *[E(f"sum(s__{n})").alias(n) for n in self.sums]))
-            sums = []
-        if self.by_user:
-            if self.by_funnel or self.funnel_all:
-                per = fine.groupBy(*self.keys, self.user).agg(
-                    *[E(f"max(u__{n})").alias(f"u__{n}") for n in self.by_user], *sums)
-            else:
-                per = fine
-            parts.append(per.groupBy(*self.keys).agg(
-                *[E(f"CAST(sum(CASE WHEN {self.user} IS NOT NULL THEN u__{n} ELSE 0 END) AS BIGINT)").alias(n) for n in self.by_user],
-                *[E(f"sum(s__{n})").alias(n) for n in (self.sums if sums else [])]))
-            sums = []
-        if sums:
-            parts.append(fine.groupBy(*self.keys).agg(*[E(f"sum(s__{n})").alias(n) for n in self.sums]))
-        out = parts[0]
-        for part in parts[1:]:
-            out = self._side_by_side(out, part)
+        funnels, users = bool(self.by_funnel or self.funnel_all), bool(self.by_user)
+        f = [f"f__{n}" for n in self.by_funnel]
+        u = [f"u__{n}" for n in self.by_user]
+        s = [f"s__{n}" for n in self.sums]
+        if funnels and users:
+            kind = {x.name: x.dataType.simpleString() for x in fine.schema.fields}
+            none = lambda c: f"CAST(NULL AS {kind[c]}) AS {c}"
+            zero = lambda cs: [f"CAST(0 AS {kind[c]}) AS {c}" for c in cs]
+            of_funnel = ", ".join([self.funnel, none(self.user), *f, *zero(u), *s])
+            of_user = ", ".join([none(self.funnel), self.user, *zero(f), *u, *zero(s)])
+            ids = fine.selectExpr(*self.keys, f"explode(array(struct(0 AS __kind, {of_funnel}), struct(1 AS __kind, {of_user}))) AS __id")
+            ids = ids.selectExpr(*self.keys, "__id.*").groupBy(*self.keys, "__kind", self.funnel, self.user)
+            fine = ids.agg(*[E(f"max({c})").alias(c) for c in f + u], *[E(f"sum({c})").alias(c) for c in s])
+        flag = lambda c, i: f"CASE WHEN {i} IS NOT NULL THEN {c} ELSE 0 END"
+        both = [(n, f"{flag(f'f__{a}', self.funnel)} * f__{b}") for n, (a, b) in self.funnel_all.items()]
+        out = fine.groupBy(*self.keys).agg(
+            *[E(f"sum({flag(f'f__{n}', self.funnel)})").alias(n) for n in self.by_funnel],
+            *[E(f"sum({x})").alias(n) for n, x in both],
+            *[E(f"sum({flag(f'u__{n}', self.user)})").alias(n) for n in self.by_user],
+            *[E(f"sum(s__{n})").alias(n) for n in self.sums])
         # empty input: a global aggregate still yields one row of zeros
         fills = [f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}"
                  for n in list(self.by_funnel) + list(self.funnel_all) + list(self.by_user)]
         fills += [f"CAST(coalesce({n}, CAST(0 AS DECIMAL(18,2))) AS DOUBLE) AS {n}" for n in self.sums]
         return out.selectExpr(*self.keys, *fills)
 
-    def _side_by_side(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """Joined on ``keys``, null keys too; one-row results without keys."""
-        if not self.keys:
-            return a.crossJoin(b)
-        other = b.withColumnsRenamed({k: f"__{k}" for k in self.keys})
-        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
-        return a.join(other, same).drop(*[f"__{k}" for k in self.keys])
-
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.derive(self.fine(df))

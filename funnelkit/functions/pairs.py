@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 SIZES_MS = (3_600_000, 60_000, 1_000, 1)
 D38 = "decimal(38,0)"
+BOTH = 10**18
 
 
 def _div(c: str, size: int) -> Column:
-    """``c`` divided by ``size``, rounded down."""
-    return F.expr(f"(({c}) - pmod({c}, {size}L)) div {size}L")
+    """``c`` divided by ``size``, rounded down.  Never null, so that a join on it adds no null test to the
+    reader's filters: all readers of the counts keep the same plan."""
+    return F.expr(f"coalesce((({c}) - pmod({c}, {size}L)) div {size}L, 0L)")
 
 
 def _buckets(rows: DataFrame, n: str, key: str, by: list[str], prefix: str) -> DataFrame:
@@ -72,12 +74,17 @@ def pair_stats(rows: DataFrame, group: str = "event_date", key: str = "funnel_id
     """Per ``group`` of the first event: number of (first, later) pairs of a key,
     mean and lower median of the time difference in seconds.  ``rows`` has
     ``key, t, group`` and booleans ``first`` and ``later``; rows with a null
-    never pair; only groups with pairs.  Both sides come from one aggregate,
-    so the rows are read and shuffled once."""
+    never pair; only groups with pairs.  Both numbers of an event are one sum
+    (``m * BOTH + n``): whatever a reader needs of them it asks for the same
+    aggregate, so all readers share one exchange and the rows are read once."""
     c = F.col
-    events = rows.select(key, "t", group, "first", "later").where(c("first") | c("later")).dropna()
-    events = events.groupBy(key, "t", group).agg(F.sum(c("first").cast("bigint")).alias("m"), F.sum(c("later").cast("bigint")).alias("n"))
-    imp, later = events.where(c("m") > 0).drop("n"), events.where(c("n") > 0).select(key, "t", "n")
+    # the null tests stand here, as those that the optimiser would add differ by reader
+    events = rows.select(key, "t", group, "first", "later").where(
+        (c("first") | c("later")) & c(key).isNotNull() & c("t").isNotNull() & c(group).isNotNull())
+    both = F.when(c("first"), F.lit(BOTH).cast(D38)).otherwise(0) + c("later").cast("int").cast(D38)
+    events = events.groupBy(key, "t", group).agg(F.sum(both.cast(D38)).cast(D38).alias("mn"))
+    events = events.withColumns({"m": F.expr(f"mn div cast({BOTH} as {D38})"), "n": F.expr(f"cast(mn % cast({BOTH} as {D38}) as bigint)")})
+    imp, later = events.where(c("m") > 0).select(key, "t", group, "m"), events.where(c("n") > 0).select(key, "t", "n")
     totals = _totals(imp, later, group, key)
     carried = ["n_pairs", "sum_ms"]
     state = None

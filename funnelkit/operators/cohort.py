@@ -22,6 +22,11 @@ from funnelkit.operators.segments import cohort_users, segment_users
 from funnelkit.plans.params import Params
 from funnelkit.sources.binding import Tables
 
+
+# keys that rows without a funnel are spread over in the gate's join
+SPREAD = 1024
+
+
 def cohort_events(t: Tables, p: Params, names=(V.PURCHASE_CLICK, V.PRE_PURCHASE_CLICK, V.PURCHASE_SUCCESSFUL),
                   start=None, segment: str = V.TEST) -> DataFrame:
     """Cohort rows in the effective range with the OS / version filters."""
@@ -58,8 +63,13 @@ def cohort_funnel(t: Tables, p: Params) -> DataFrame:
         })
     fine = counts.fine(cohort_events(t, p))
     # gate: the funnel had a store continue anywhere in the cohort rows
-    gate = fine.where(F.col("funnel_id").isNotNull()).groupBy("funnel_id").agg(F.max("f__store_continue_any").alias("gate"))
-    gated = fine.join(gate, "funnel_id", "left").select(*fine.columns, F.coalesce("gate", F.lit(0)).alias("gate"))
+    gate = fine.where(F.col("funnel_id").isNotNull()).groupBy("funnel_id").agg(
+        F.max("f__store_continue_any").alias("gate"), F.min(F.col("f__store_continue_any").cast("bigint") * 0).alias("spread"))
+    # rows without a funnel never meet a gate: a second key spreads them over all tasks of the join (the gate's is an
+    # aggregate, always 0, since a constant would be folded out of the join's keys)
+    spread = F.when(F.col("funnel_id").isNull(), F.pmod(F.xxhash64("distinct_id"), F.lit(SPREAD - 1)) + 1).otherwise(F.lit(0)).alias("spread")
+    gated = (fine.select(*fine.columns, spread).join(gate, ["funnel_id", "spread"], "left")
+             .select(*fine.columns, F.coalesce("gate", F.lit(0)).alias("gate")))
     g = F.col("gate")
     replaced = {}
     for store in ("apple", "google"):

@@ -87,7 +87,11 @@ def event_day(c: str = "res_timestamp"):
 
 
 def first_purchase_date(t: Tables, users: DataFrame | None = None) -> DataFrame:
-    """First day of a valid purchase per user (history since 2020)."""
+    """First day of a valid purchase per user (history since 2020), from the
+    maintained table where there is one."""
+    if t.first_purchases is not None:
+        known = t.first_purchases.select("distinct_id", "first_purchase_date")
+        return known if users is None else known.join(users, "distinct_id", "left_semi")
     rows = t.client.where(P.is_success() & (F.col("date") >= F.lit(HISTORY_START)) & P.valid_purchase())
     if users is not None:
         rows = rows.join(users, "distinct_id", "left_semi")

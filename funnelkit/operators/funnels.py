@@ -2,9 +2,10 @@
 
 Each funnel is a strip of step counts: distinct users (A10), distinct funnel /
 transaction ids (A12, A42) or distinct request ids (A14).  The original built
-one scalar sub-query per step; here each source (client rows, enriched server
-rows) is aggregated once with ``FlagCounts`` and the two one-row results are
-cross-joined (1 x 1).  The percentage views unpivot the strip with ``inline``
+one scalar sub-query per step; here all steps of a source come from one
+aggregate, and the log is read once per role rather than per step: server steps
+and the users' latest server times share one aggregate, and arm, metadata (and,
+by user, client steps) another.  The percentage views unpivot the strip with ``inline``
 and divide by the first step; a zero base gives no rows.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions import predicates as P
 from funnelkit.functions import vocab as V
 from funnelkit.functions.aggregates import FlagCounts
-from funnelkit.operators.enrich import client_metadata, enrich, server_filters
+from funnelkit.operators.enrich import client_metadata, enrich, server_filters, test_arm
 from funnelkit.operators.segments import cohort_users, experiment_users
 from funnelkit.plans.params import Params
 from funnelkit.sources.binding import Tables
@@ -97,38 +98,92 @@ def _strip(client: DataFrame, server: DataFrame, client_steps: dict, server_step
         else:
             fc = FlagCounts(by_funnel=steps, funnel=id_col)
         return fc(df)
-    c = counts(client, client_steps, client_id)
-    s = counts(server, server_steps, server_id)
+    return _row(counts(client, client_steps, client_id), counts(server, server_steps, server_id),
+                client_steps, server_steps, prefix, suffix)
+
+
+def _row(c: DataFrame, s: DataFrame, client_steps: dict, server_steps: dict, prefix: str, suffix: str) -> DataFrame:
     row = c.crossJoin(s)
     return row.select(*[F.col(k).alias(f"{prefix}{k}{suffix}") for k in list(client_steps) + list(server_steps)])
 
 
+def packed_server(t: Tables, p: Params, steps: dict[str, Column], id_col: str | None = None) -> DataFrame:
+    """Server rows of the window per user (and ``id_col``, not null): the latest time and a bit per step
+    in one long.  As it is one column, every reader asks for the same aggregate and they share its exchange."""
+    rows = t.server.where(P.server_window(p) if id_col is None else P.server_window(p) & F.col(id_col).isNotNull())
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(steps.values())), F.lit(0).cast("bigint"))
+    keys = ["distinct_id"] if id_col is None else ["distinct_id", id_col]
+    packed = F.shiftleft(F.max("request_timestamp"), len(steps)).bitwiseOR(F.bit_or(bits))
+    return rows.groupBy(*keys).agg(packed.alias("packed"))
+
+
+def _bit(i: int) -> Column:
+    return F.expr(f"CAST(shiftright(packed, {i}) & 1 AS INT)")
+
+
+def _panel(p: Params) -> Column:
+    """The panel's row predicates, those on the country included (``low`` countries joined by the caller)."""
+    cond = P.attribute_filters(p, countries=False, floor=True) & P.country_filters(p, exclusions=p.apply_exclusions_everywhere)
+    return cond & F.col("__low") if p.low_payers_only else cond
+
+
 def user_funnel(t: Tables, p: Params) -> DataFrame:
-    """A10: distinct users reaching each of the 12 steps (test users)."""
-    users = experiment_users(t, p)
-    out = _strip(panel_client_rows(t, p, users), panel_server_rows(t, p, users),
-                 _client_steps(), _server_steps(), "distinct_id", "distinct_id", "", "_users")
+    """A10: distinct users reaching each of the 12 steps (test users).
+
+    One read of each log: server steps by user are joined to the client rows, and one aggregate by user
+    gives arm, client steps and metadata."""
+    client_steps, server_steps = _client_steps(), _server_steps()
+    if p.enrich_mode != "user":
+        users = experiment_users(t, p)
+        out = _strip(panel_client_rows(t, p, users), panel_server_rows(t, p, users),
+                     client_steps, server_steps, "distinct_id", "distinct_id", "", "_users")
+        return out.select(*[f"{s}_users" for s in USER_FUNNEL_ORDER])
+    server = packed_server(t, p, server_steps)
+    users = test_arm(t, p, server, F.shiftright("packed", len(server_steps)), {"packed": F.col("packed")},
+                     _panel(p), client_steps)
+    passed = metadata_ok(t, p)
+    counts = [F.sum(n) for n in client_steps] + [F.sum(F.when(passed, _bit(i)).otherwise(F.lit(0))) for i in range(len(server_steps))]
+    names = [f"{s}_users" for s in [*client_steps, *server_steps]]
+    out = users.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in zip(counts, names, strict=True)])
     return out.select(*[f"{s}_users" for s in USER_FUNNEL_ORDER])
 
 
-def execution_funnel(t: Tables, p: Params) -> DataFrame:
-    """Distinct funnels (client) / transactions (server) per step."""
+def metadata_ok(t: Tables, p: Params, exclusions: bool | None = None) -> Column:
+    """``server_filters`` as a flag of a ``test_arm`` row; ``low_ok`` there says the country has low payers."""
+    exclusions = p.apply_exclusions_everywhere if exclusions is None else exclusions
+    cond = P.attribute_filters(p, os=False, floor=True, exclusions=exclusions,
+                               version_col="client_version_float", country_col="client_country_code")
+    return cond & F.col("client_low") if p.low_payers_only else cond
+
+
+def _execution(t: Tables, p: Params, server_steps: dict[str, Column], server_id: str, order: list[str]) -> DataFrame:
+    """Client steps by funnel, server steps by ``server_id``; server rows are read once, for the
+    users' latest times and for the strip."""
     users = experiment_users(t, p)
     client = panel_client_rows(t, p, users).where(F.col("funnel_id").isNotNull())
-    server = panel_server_rows(t, p, users, "transaction_id")
-    out = _strip(client, server, _client_steps(), _server_steps((V.WH_SUCCESS,)),
-                 "funnel_id", "transaction_id", "funnels_", "")
-    return out.select(*[f"funnels_{s}" for s in EXECUTION_ORDER])
+    if p.enrich_mode != "user":
+        out = _strip(client, panel_server_rows(t, p, users, server_id), _client_steps(), server_steps,
+                     "funnel_id", server_id, "funnels_", "")
+        return out.select(*[f"funnels_{s}" for s in order])
+    server = packed_server(t, p, server_steps, server_id)
+    k = len(server_steps)
+    latest = server.groupBy("distinct_id").agg(F.max(F.shiftright("packed", k)).alias("latest"))
+    arm = test_arm(t, p, latest, F.col("latest")).where(metadata_ok(t, p)).select("distinct_id")
+    per_id = server.join(arm, "distinct_id").groupBy(server_id).agg(F.bit_or("packed").alias("packed"))
+    s = per_id.agg(*[F.coalesce(F.sum(_bit(i)), F.lit(0)).cast("bigint").alias(n) for i, n in enumerate(server_steps)])
+    c = FlagCounts(by_funnel=_client_steps(), funnel="funnel_id")(client)
+    out = _row(c, s, _client_steps(), server_steps, "funnels_", "")
+    return out.select(*[f"funnels_{s}" for s in order])
+
+
+def execution_funnel(t: Tables, p: Params) -> DataFrame:
+    """Distinct funnels (client) / transactions (server) per step."""
+    return _execution(t, p, _server_steps((V.WH_SUCCESS,)), "transaction_id", EXECUTION_ORDER)
 
 
 def execution_funnel_by_request(t: Tables, p: Params) -> DataFrame:
     """The older 11-step variant counting server steps by request id."""
-    users = experiment_users(t, p)
-    client = panel_client_rows(t, p, users).where(F.col("funnel_id").isNotNull())
-    server = panel_server_rows(t, p, users, "request_id")
-    out = _strip(client, server, _client_steps(), _server_steps(add_card=False),
-                 "funnel_id", "request_id", "funnels_", "")
-    return out.select(*[f"funnels_{s}" for s in BY_REQUEST_ORDER])
+    return _execution(t, p, _server_steps(add_card=False), "request_id", BY_REQUEST_ORDER)
 
 
 def cohort_execution_funnel(t: Tables, p: Params) -> DataFrame:

@@ -85,16 +85,6 @@ def platform_kpi(t: Tables, p: Params) -> DataFrame:
     ).orderBy("payment_platform")
 
 
-def median(c: str, p: Params) -> Column:
-    """Median as an element of the data (lower middle on even counts).
-    ``approx_percentile`` keeps a bounded sketch per group with map-side
-    partial aggregation; on groups smaller than its accuracy it returns the
-    exact element.  ``exact_median=True`` uses ``percentile_disc``."""
-    if p.exact_median:
-        return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")
-    return F.percentile_approx(F.col(c), 0.5, 10000)
-
-
 def time_to_continue(rows: DataFrame) -> DataFrame:
     """Seconds from each offer impression to every later continue click
     of the same funnel, mean and (lower) median per impression day, over all

@@ -1,20 +1,17 @@
 """Experiment segment assignment.
 
 A user's segment is the tag on their *latest* configuration event in the
-look-back window; ``test`` wins when both tags are in one tag string.  The
-latest row per user is taken with ``max_by`` over a (date, time, event_id)
-struct: a hash aggregate with map-side partial aggregation, so a user with a
-third of all config events still reduces to one row per map task before the
-shuffle.
-
-The segment helpers are memoised on (tables, params): they return lazy plans,
-so sharing them only saves re-building the same plan in Python, never data.
+look-back window; ``test`` wins when both tags are in one tag string.  Date,
+time, event id and segment are packed into one decimal whose ``max`` (or
+``min``) is the latest (first) tagged row: a fixed-width buffer, so Spark plans
+a hash aggregate with map-side partial aggregation, and a user with a third of
+all config events still reduces to one row per map task before the shuffle.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import vocab as V
@@ -23,14 +20,28 @@ from funnelkit.plans.params import Params
 from funnelkit.sources.binding import Tables
 
 
-def _tagged_config_events(client: DataFrame, since) -> DataFrame:
+# a packed tag: days since DAY0 (5 digits), time in ms (13), event id (19), segment (1); times and ids are not negative
+DAY0 = "1900-01-01"
+SEGMENT_CODES = {V.CONTROL: 1, V.TEST: 2}
+
+
+def tagged_config(p: Params, lookback_days: int = 30) -> Column:
+    """Configuration events of the look-back that carry a tag."""
     seg = F.col("segments")
-    return (client
-            .where((F.col("event_name") == V.CONFIG_LOADED) & (F.col("date") >= F.lit(since))
-                   & (seg.like(V.TEST_TAG) | seg.like(V.CONTROL_TAG)))
-            .select("distinct_id", "date", "time", "event_id",
-                    F.when(seg.like(V.TEST_TAG), F.lit(V.TEST))
-                     .when(seg.like(V.CONTROL_TAG), F.lit(V.CONTROL)).alias("segment")))
+    return ((F.col("event_name") == V.CONFIG_LOADED) & (F.col("date") >= F.lit(p.days_before(lookback_days)))
+            & (seg.like(V.TEST_TAG) | seg.like(V.CONTROL_TAG)))
+
+
+def packed_tag() -> Column:
+    """(date, time, event_id, segment) of a tagged event as one decimal(38,0) that sorts like them."""
+    code = f"CASE WHEN segments LIKE '{V.TEST_TAG}' THEN {SEGMENT_CODES[V.TEST]} ELSE {SEGMENT_CODES[V.CONTROL]} END"
+    when = f"CAST(datediff(date, DATE'{DAY0}') * 10000000000000L + coalesce(time, 0L) AS DECIMAL(18,0))"
+    rest = f"CAST(coalesce(event_id, 0L) AS DECIMAL(19,0)) * CAST(10 AS DECIMAL(2,0)) + {code}"
+    return F.expr(f"CAST({when} * CAST(100000000000000000000BD AS DECIMAL(21,0)) + {rest} AS DECIMAL(38,0))")
+
+
+def is_arm(segment: str, tag: str = "tag") -> Column:
+    return F.expr(f"{tag} % 10") == SEGMENT_CODES[segment]
 
 
 def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest: bool = True) -> DataFrame:
@@ -38,12 +49,13 @@ def user_segments(client: DataFrame, p: Params, lookback_days: int = 30, latest:
 
     ``latest=False`` gives the *first* assignment instead (daily new users).
     """
-    ev = _tagged_config_events(client, p.days_before(lookback_days))
-    order = F.struct("date", "time", "event_id")
-    pick = F.max_by if latest else F.min_by
-    return (ev.groupBy("distinct_id")
-            .agg(pick(F.struct("segment", "date"), order).alias("s"))
-            .select("distinct_id", F.col("s.segment").alias("segment"), F.col("s.date").alias("segment_date")))
+    ev = client.where(tagged_config(p, lookback_days)).select("distinct_id", packed_tag().alias("tag"))
+    pick = F.max if latest else F.min
+    per_user = ev.groupBy("distinct_id").agg(pick("tag").alias("tag"))
+    segment = F.when(is_arm(V.TEST), F.lit(V.TEST)).otherwise(F.lit(V.CONTROL))
+    days = "CAST((tag div CAST(100000000000000000000BD AS DECIMAL(21,0))) div 10000000000000L AS INT)"
+    return per_user.select("distinct_id", segment.alias("segment"),
+                           F.expr(f"date_add(DATE'{DAY0}', {days})").alias("segment_date"))
 
 
 def segment_users(t: Tables, p: Params, segment: str | None = None, home: bool = True,
@@ -72,7 +84,8 @@ def cohort_users(t: Tables, p: Params, segment: str = V.TEST, home: bool = True)
 def experiment_users(t: Tables, p: Params, segment: str = V.TEST) -> DataFrame:
     """Users of one arm by latest tag only (no player/home-market restriction),
     as used by the channel-analytics funnels."""
-    return user_segments(t.client, p).where(F.col("segment") == segment).select("distinct_id")
+    ev = t.client.where(tagged_config(p)).select("distinct_id", packed_tag().alias("tag"))
+    return ev.groupBy("distinct_id").agg(F.max("tag").alias("tag")).where(is_arm(segment)).select("distinct_id")
 
 
 def available_versions(t: Tables, p: Params) -> DataFrame:

@@ -10,7 +10,7 @@ DECIMAL(18,2) and returned as double, counts are BIGINT.
 from __future__ import annotations
 
 from funnelkit.functions.predicates import epoch_ms_range, epoch_s_range
-from funnelkit.plans.params import Params, default_params
+from funnelkit.plans.params import FILTERED, LOW_PAYERS, ONE_VERSION, Params, default_params
 from funnelkit.sources.binding import BINDING_SQL
 
 
@@ -846,12 +846,13 @@ def _panel_ctes(p: Params, server_id: str | None = None, client_funnel: bool = F
     LEFT JOIN on the user and a LAST_VALUE(... IGNORE NULLS) window per user."""
     extra = f" AND se.{server_id} IS NOT NULL" if server_id else ""
     cf = " AND funnel_id IS NOT NULL" if client_funnel else ""
-    srv_filter = attr_filters(p, os=False, floor=True, version_col="client_version_float",
+    ex = p.apply_exclusions_everywhere
+    srv_filter = attr_filters(p, os=False, floor=True, exclusions=ex, version_col="client_version_float",
                               country_col="client_country_code")
     return _exp_users_cte(p) + f""",
 panel_client AS (
   SELECT * FROM client_events
-  WHERE {client_window(p)} AND {attr_filters(p, floor=True)}{cf}
+  WHERE {client_window(p)} AND {attr_filters(p, floor=True, exclusions=ex)}{cf}
     AND distinct_id IN (SELECT distinct_id FROM exp_users)
 ),
 meta AS (
@@ -1224,3 +1225,51 @@ def sql_funnel_latency_excl_first(p: Params) -> str:
 
 def sql_experiment_timeline_test_only(p: Params) -> str:
     return with_binding(_timeline_cte(p)) + "\nSELECT * FROM timeline WHERE segment = 'Test' ORDER BY event_date"
+
+
+def sql_user_funnel_filtered(p: Params) -> str:
+    return sql_user_funnel(p.replace(**FILTERED))
+
+
+def sql_execution_funnel_filtered(p: Params) -> str:
+    return sql_execution_funnel(p.replace(**FILTERED))
+
+
+def sql_platform_kpi_filtered(p: Params) -> str:
+    return sql_platform_kpi(p.replace(**FILTERED))
+
+
+def sql_execution_funnel_one_version(p: Params) -> str:
+    return sql_execution_funnel(p.replace(**ONE_VERSION))
+
+
+def sql_user_funnel_low_payers(p: Params) -> str:
+    return sql_user_funnel(p.replace(**LOW_PAYERS))
+
+
+def sql_funnel_latency_fixed_units(p: Params) -> str:
+    return sql_funnel_latency(p.replace(fix_units=True))
+
+
+def sql_execution_funnel_asof(p: Params) -> str:
+    """The execution funnel with each server row's own last metadata."""
+    from funnelkit.operators.funnels import EXECUTION_ORDER
+    last = lambda v: (f"(SELECT m.{v} FROM meta m WHERE m.distinct_id = se.distinct_id AND m.ts_s <= se.request_timestamp "
+                      f"AND m.{v} IS NOT NULL ORDER BY m.ts_s DESC LIMIT 1)")
+    srv_filter = attr_filters(p, os=False, floor=True, version_col="client_version_float", country_col="client_country_code")
+    return with_binding(_panel_ctes(p, "transaction_id", True) + f""",
+asof_server AS (
+  SELECT * FROM (
+    SELECT se.*, {last('version')} AS client_version_float, {last('country')} AS client_country_code
+    FROM server_events se WHERE {server_window(p, alias='se')} AND se.transaction_id IS NOT NULL
+      AND se.distinct_id IN (SELECT distinct_id FROM exp_users))
+  WHERE {srv_filter}
+),
+strip AS ({_strip_sql(EXECUTION_ORDER, 'funnel_id', 'transaction_id', _server_steps_sql(('wh_success',)), 'funnels_', '',
+                      server_src='asof_server')})""") + "\nSELECT * FROM strip"
+
+
+def sql_diff_in_diff(p: Params) -> str:
+    from funnelkit.operators.experiment import DID_KPIS
+    cte, sel = _did_sql(DID_KPIS, with_flags=True)
+    return with_binding(_timeline_cte(p, exact=True), cte) + sel

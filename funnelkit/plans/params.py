@@ -48,7 +48,6 @@ class Params:
     # behaviour switches; defaults reproduce the original analyses exactly
     fix_units: bool = False
     enrich_mode: str = "user"
-    exact_median: bool = False
     # apply the testing-country exclusion in every channel panel (originally
     # only the KPI, adoption and latency panels apply it)
     apply_exclusions_everywhere: bool = False
@@ -98,6 +97,12 @@ def default_params() -> Params:
     )
 
 
+#: Values of the filter panel under which some keys run once more: lists, a single version, low-payer countries.
+FILTERED = {"os": ("Apple",), "versions": (0.3776, 0.3779, 0.3781), "countries": tuple(f"NATION_{i}" for i in range(0, 25, 2))}
+ONE_VERSION = {"versions": (0.3778,)}
+LOW_PAYERS = {"low_payers_only": True, "apply_exclusions_everywhere": True}
+
+
 def limited(rows: int | None):
     """For ``DataFrame.transform``: the first ``rows`` rows, all without a limit."""
     return lambda df: df if rows is None else df.limit(rows)

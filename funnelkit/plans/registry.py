@@ -21,7 +21,7 @@ from funnelkit.operators import latency as L
 from funnelkit.operators import promo as PR
 from funnelkit.operators import segments as S
 from funnelkit.operators import switching as SW
-from funnelkit.plans.params import Params, default_params
+from funnelkit.plans.params import FILTERED, LOW_PAYERS, ONE_VERSION, Params, default_params
 from funnelkit.sources.binding import Tables, load_tables
 
 Op = Callable[[Tables, Params], DataFrame]
@@ -70,6 +70,15 @@ OPERATORS: dict[str, Op] = {
         FN.execution_funnel_by_request(t, p), FN.BY_REQUEST_ORDER, "funnels_"),
     "server_event_enrichment": lambda t, p: FN.server_event_enrichment(t, p, "user"),
     "server_event_enrichment_asof": lambda t, p: FN.server_event_enrichment(t, p, "event"),
+    # the filter panel with values: lists, one version, low-payer countries
+    "user_funnel_filtered": lambda t, p: FN.user_funnel(t, p.replace(**FILTERED)),
+    "execution_funnel_filtered": lambda t, p: FN.execution_funnel(t, p.replace(**FILTERED)),
+    "platform_kpi_filtered": lambda t, p: K.platform_kpi(t, p.replace(**FILTERED)),
+    "execution_funnel_one_version": lambda t, p: FN.execution_funnel(t, p.replace(**ONE_VERSION)),
+    "user_funnel_low_payers": lambda t, p: FN.user_funnel(t, p.replace(**LOW_PAYERS)),
+    "execution_funnel_asof": lambda t, p: FN.execution_funnel(t, p.replace(enrich_mode="event")),
+    "funnel_latency_fixed_units": lambda t, p: L.funnel_latency(t, p.replace(fix_units=True), exclude_first=False),
+    "diff_in_diff": lambda t, p: X.diff_in_diff(X.experiment_timeline(t, p, exact=True), X.DID_KPIS),
     "cohort_execution_funnel": FN.cohort_execution_funnel,
     "cohort_execution_rates": lambda t, p: FN.cohort_execution_rates(FN.cohort_execution_funnel(t, p)),
     "first_purchase_date": lambda t, p: X.first_purchase_date(t),

@@ -24,6 +24,10 @@ from funnelkit.functions import vocab as V
 from funnelkit.sources.readers import read_table
 
 
+# rows of a day that go into one file of the event logs
+ROWS_PER_FILE = 2_000_000
+
+
 @dataclass(frozen=True)
 class Tables:
     client: DataFrame
@@ -33,6 +37,8 @@ class Tables:
     testers: DataFrame
     # user -> country, when the client log does not carry a country column
     user_country: DataFrame | None = None
+    # user -> day of the first valid purchase, kept up to date (``operators.first_purchases``)
+    first_purchases: DataFrame | None = None
 
     def with_country(self, df: DataFrame) -> DataFrame:
         """``df`` with a ``country`` column.  Join it (on the user key, after
@@ -57,22 +63,39 @@ class Tables:
         return Tables(r(f"{base}/client_events"), r(f"{base}/server_events"), r(f"{base}/dim_player"),
                       r(f"{base}/dim_country"), r(f"{base}/tester_list"))
 
-    def materialize(self, base: str) -> None:
+    def _logs(self) -> list[tuple[str, DataFrame]]:
+        """The event logs, the country resolved into the client's."""
+        return [("client_events", self.with_country(self.client)), ("server_events", self.server)]
+
+    def _dimensions(self) -> list[tuple[str, DataFrame]]:
+        return [("dim_player", self.players), ("dim_country", self.countries), ("tester_list", self.testers)]
+
+    def materialize(self, base: str, rows_per_file: int = ROWS_PER_FILE) -> None:
         """Write the canonical tables in the production layout: event logs
-        partitioned by ``date`` and clustered by user within a day, dimensions
-        as plain Parquet.  The country is resolved into the client log."""
-        client = self.with_country(self.client)
-        for name, df in (("client_events", client), ("server_events", self.server)):
-            (df.repartition("date", F.pmod(F.xxhash64("distinct_id"), F.lit(DAY_SPLIT)))
-             .sortWithinPartitions("date", "distinct_id")
+        partitioned by ``date`` and clustered by user within a file, a day in as
+        many files as its number of rows asks for; dimensions as plain Parquet."""
+        for name, df in self._logs():
+            days = df.groupBy("date").agg(F.expr(f"CAST(ceil(count(*) / {rows_per_file}) AS BIGINT)").alias("__files"))
+            # one row a day: the calendar bounds what goes to every task
+            dealt = df.join(F.broadcast(days), "date").withColumn("__file", F.pmod(F.xxhash64("distinct_id"), "__files"))
+            total = days.agg(F.sum("__files")).first()[0] or 1
+            (dealt.repartition(total, "date", "__file").sortWithinPartitions("date", "__file", "distinct_id").drop("__file", "__files")
              .write.mode("overwrite").partitionBy("date").parquet(f"{base}/{name}"))
-        for name, df in (("dim_player", self.players), ("dim_country", self.countries),
-                         ("tester_list", self.testers)):
+        for name, df in self._dimensions():
             df.write.mode("overwrite").parquet(f"{base}/{name}")
 
+    def materialize_bucketed(self, prefix: str, buckets: int, path: str | None = None) -> None:
+        """Catalog tables bucketed by user, the logs also partitioned by ``date``: what joins or groups by the
+        user reads its buckets as they lie, without an exchange.  Bind them with ``from_tables``."""
+        for name, df in [*self._logs(), ("dim_player", self.players)]:
+            out = df.repartition(buckets, "distinct_id").write.mode("overwrite").bucketBy(buckets, "distinct_id").sortBy("distinct_id")
+            if name != "dim_player":
+                out = out.partitionBy("date")
+            (out.option("path", f"{path}/{name}") if path else out).saveAsTable(f"{prefix}{name}")
+        for name, df in self._dimensions()[1:]:
+            out = df.write.mode("overwrite")
+            (out.option("path", f"{path}/{name}") if path else out).saveAsTable(f"{prefix}{name}")
 
-# tasks, and so files, that a day of the event log is spread over
-DAY_SPLIT = 8
 
 # --- fixed values of the test binding (FIXTURES.md §2) -------------------------
 EPOCH_DAY0 = "2024-01-01"
