@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table, written
 
-SHARD, MAX_BITS, HOT = 12_000_000, 1 << 27, 10_000
+SHARD, MAX_BITS, HOT = 4_000_000, 1 << 27, 10_000
 _FIXED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _SHARDS = "shard long, lang string, n long, words binary, codes binary"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -168,10 +168,11 @@ def frequent(kept: DataFrame, size: int, sieves: list, support: int, lowered: bo
     mined = _mined(kept, size, sieves, True)
     if lowered:
         mined = written(mined, f"mined{size}")
-        union = mined.groupBy("h").agg(F.sum("c").alias("c"), F.max("slack").alias("slack")).filter(F.col("c") + F.col("slack") >= support)
+        union = mined.repartition("h").groupBy("h").agg(F.sum("c").alias("c"), F.max("slack").alias("slack")).filter(F.col("c") + F.col("slack") >= support)
         rest = _mined(kept.filter("lowered > 1"), size, sieves, False, sieve(written(union.select("h"), "union")))
         mined = mined.unionByName(rest)
-    return written(mined.groupBy("h").agg(*sums).filter(F.col("c") >= support), f"frequent{size}")
+    # a shard has each phrase once, so summing before the shuffle would only fill memory
+    return written(mined.repartition("h").groupBy("h").agg(*sums).filter(F.col("c") >= support), f"frequent{size}")
 
 
 def _described(kept: DataFrame, found: DataFrame, sieves: list) -> DataFrame:
