@@ -316,3 +316,18 @@ def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     gone = F.expr("aggregate(spans, 0L, (n, x) -> n + x.b - x.a)")
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+starts AS (SELECT rid, i, md5(t[i + 1:i + 400]) AS k FROM (SELECT rid, t, unnest(range(0, octet_length(t) - 399)) AS i FROM d WHERE octet_length(t) >= 400)),
+hits AS (SELECT rid, i FROM starts SEMI JOIN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1) USING (k)),
+fresh AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM fresh),
+gone AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY rid, run),
+gaps AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM gone),
+per AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(hex(t[before + 1:a]), '' ORDER BY a) AS kept FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN hex(t) ELSE kept || hex(t[last + 1:octet_length(t)]) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (rid)
+"""
