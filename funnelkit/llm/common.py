@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from itertools import count
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +38,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(c for i in count() if (c := n + "_" * i).lower() not in taken) for n in names]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
     """Smaller Arrow batches for the jobs inside, as rows here are whole texts or sets."""
@@ -61,9 +74,22 @@ def settle() -> None:
     """
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # the C library keeps freed memory unless it is asked for it
+        ctypes.CDLL(None).malloc_trim(0)
     gc.set_threshold(500_000, 20, 20)
 
 
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """One object per worker process, made at its first use.
+
+    Code sent by value is new in every task, so its modules can't hold what outlives one.
+    """
+    store = sys.__dict__.setdefault("_kept_between_tasks", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes.
 
@@ -131,3 +157,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, where:
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

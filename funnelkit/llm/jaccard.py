@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, settle, small_batches, table, words, written
+from .common import forget, fresh, rows_of, settle, small_batches, table, words, written
 
 SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
 BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 200_000
@@ -348,8 +348,10 @@ def _sorted(shared: DataFrame) -> DataFrame:
 
 def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: DataFrame) -> DataFrame:
     """Rounds over columns too large for the first one until their classes are in one component or all were compared."""
-    wide = shared.groupBy("col").agg(F.count("*").alias("m"), F.max("dealt").alias("dealt"), F.max("size").alias("size"))
-    wide = written(wide.filter((F.col("size") > SMALL) | (F.col("dealt") & (F.col("m") > 1))).select("col", "m"), "columns")
+    wide = shared.groupBy("col").agg(F.count("*").alias("m"), F.max("dealt").alias("dealt"), F.max("size").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"))
+    wide = wide.filter((F.col("size") > SMALL) | (F.col("dealt") & (F.col("m") > 1)))
+    # columns with the same classes have the same pairs: one of them stands for all
+    wide = written(wide.groupBy("m", "who").agg(F.min("col").alias("col")).select("col", "m"), "columns")
     most = wide.agg(F.max("m")).first()[0]
     if not most:
         return comps
@@ -360,32 +362,54 @@ def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: Dat
         named = big.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         open_ = named.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("m").alias("m"))
         open_ = open_.filter((F.col("x") != F.col("y")) & (F.col("m") > after + 1)).select("col")
-        left = named.join(open_, "col", "left_semi").withColumn("block", F.lit(0)).drop("m")
-        pairs = apart(left.repartition("col").sortWithinPartitions("col", "n", "doc"), after, to)
+        left = written(named.join(open_, "col", "left_semi").withColumn("block", F.lit(0)), "open")
+        forget(big)
+        if left.isEmpty():
+            break
+        pairs = apart(left.drop("m").repartition("col").sortWithinPartitions("col", "n", "doc"), after, to)
         more = written(links(pairs, rows), "links")
         if not more.isEmpty():
             own = own.unionByName(more)
             comps = written(components(own), "components")
-        if open_.isEmpty():
-            break
-        after = to
+        big, after = left.drop("comp"), to  # closed columns never open again
     return comps
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id; rows without a doc_id stay.
+    """One document of each group of near duplicates, the one of smallest doc_id (a null one last).
 
-    Most rows are told apart by a bitmap of fixed size and never shuffled.
+    A row's node is its doc_id and text together: of rows that repeat both one stays, and rows of one doc_id with unlike
+    texts are two. Most rows are told apart by a bitmap of fixed size and never shuffled.
     """
-    found = written(near_duplicates(docs), "groups").filter("doc_id is not null")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    bits = _bitmap(gone.unionByName(twice), "doc_id")
-    known = docs.filter("doc_id is not null")
-    doubtful = _marked(known, bits, True).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    out = _marked(known, bits, False).unionByName(doubtful.select(*docs.columns))
-    return out.unionByName(docs.filter("doc_id is null"))
+    (name,) = fresh(docs, "own_id")
+    rows = docs.withColumnRenamed("doc_id", name).withColumn("doc_id", F.xxhash64(name, "text"))
+    found = written(near_duplicates(rows).select("doc_id", "component_id"), "groups")
+    ids = rows.groupBy("doc_id").agg(F.min(name).alias("id"), F.count("*").alias("times"))
+    nodes = written(found.distinct().join(ids, "doc_id"), "nodes")
+    first = nodes.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("m"))
+    gone = written(nodes.select("doc_id").join(first.select("m.doc_id"), "doc_id", "left_anti"), "gone")
+    bits = _bitmap(gone.unionByName(nodes.filter("times > 1").select("doc_id")), "doc_id")
+    doubtful = _marked(rows, bits, True).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    out = _marked(rows, bits, False).unionByName(doubtful.select(*rows.columns))
+    return out.drop("doc_id").withColumnRenamed(name, "doc_id").select(*docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (na + nb - c)),
+reached AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reached JOIN links ON r = a),
+least AS (SELECT d, min(r) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN least ON d = doc_id
+"""

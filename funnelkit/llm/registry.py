@@ -20,6 +20,8 @@ QUERIES = {
     "op13_suffixes": suffix_dedup.op13_suffixes,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": jaccard.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_suffixes": suffix_dedup.ORACLE_SQL,
 }
