@@ -231,7 +231,9 @@ def build(nodes: DataFrame) -> DataFrame:
 def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """Lists of the k best of each node in ``starts``, by greedy rounds from its own; scores are exact."""
     vec = starts.join(nodes, "node").select("node", "vec")
-    now = starts.join(graph, "node").select("node", "ids", "scores")
+    # a node without a list, as where all vectors are equal, still starts at itself
+    none = F.lit(b"").cast("binary")
+    now = starts.join(graph, "node", "left").select("node", F.coalesce("ids", none).alias("ids"), F.coalesce("scores", none).alias("scores"))
     known = edges(now, LIST).select("node", "other")
     ended = []
     while True:
