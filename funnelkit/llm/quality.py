@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled, rows_of, settle, small_batches, table, with_columns
 
-LABELS, PRIOR, CACHE = 20_000, 8.0, 300_000
+LABELS, PRIOR, CACHE = 20_000, 8.0, 200_000
 WORDS, SHAPES, FLAGS = 1 << 15, 1 << 13, 1 << 8
 BUCKETS = 2 * WORDS + SHAPES + FLAGS
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,8 +35,8 @@ _RUN = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """Kinds of a word's characters, runs of one kind drawn together."""
-    kinds = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]])
-    return _RUN.sub(r"\1\1", kinds)[:12]
+    kinds = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
+    return _RUN.sub(r"\1\1", kinds)
 
 
 class Featurizer:
@@ -134,20 +134,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> ImportanceModel:
     return model
 
 
-def scored(docs: DataFrame, model: ImportanceModel) -> DataFrame:
-    """``docs`` with log_importance."""
+NAMES = ("log_importance", "sample_key", "kept")
+
+
+def scored(docs: DataFrame, model: ImportanceModel, name: str = NAMES[0]) -> DataFrame:
+    """``docs`` with the log importance as a column ``name``, in place of one of that name."""
 
     def run():
         features, ratio = Featurizer(), model.ratio
         return lambda texts: [pa.array([float(ratio[f].sum(dtype=np.float64)) for f in features(texts)], pa.float64())]
 
-    return with_columns(docs, "log_importance double", run)
+    return with_columns(docs, f"{name} double", run)
 
 
-def resampled(docs: DataFrame, model: ImportanceModel) -> DataFrame:
-    """``docs`` with log_importance, sample_key and kept (among the k largest keys)."""
-    out = scored(docs, model).withColumn("sample_key", F.col("log_importance") + F.coalesce(gumbel(), F.lit(0.0)))
-    return out.withColumn("kept", F.col("sample_key") >= F.lit(model.level))
+def resampled(docs: DataFrame, model: ImportanceModel, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with log importance, sample key and kept (among the k largest keys) as columns of these names."""
+    score, key, kept = names
+    out = scored(docs, model, score).withColumn(key, F.col(score) + F.coalesce(gumbel(), F.lit(0.0)))
+    return out.withColumn(kept, F.col(key) >= F.lit(model.level))
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ change choose the path. Plain words stand for themselves. The restored words of
 rows give a lexicon (log odds of toxic against clean documents, those beyond chance), and a logistic
 model of a document's lexicon hits gives the score.
 
-Bounds: at most ``LABELS`` labelled rows are fitted on, the lexicon has at most ``LEXICON`` words; the
+Bounds: at most ``LABELS`` labelled rows are fitted on, and the lexicon holds words of theirs alone; the
 character model counts all training documents. Edge cases: a null or empty text has no hits and gets
 the score of a text without any; repeated rows score alike; without labels every score is 0; an
 empty table gives no rows; columns beside doc_id and text play no part.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled, rows_of, settle, small_batches, table, with_columns
 
-LABELS, LEXICON, LEAST_Z, CACHE = 20_000, 512, 5.0, 300_000
+LABELS, LEAST_Z, CACHE = 20_000, 5.0, 200_000
 #: Signs and the letters they may stand for (fixed values).
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -55,7 +55,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_SIZE**3, np.int64)
         for (texts,) in rows_of(batches, "text"):
-            s = _symbols(" ".join([t for t in texts if t]).encode())
+            # two borders around each text, so that no trigram spans two and the counts don't depend on batches
+            s = _symbols("  ".join(["", *[t for t in texts if t], ""]).encode())
             if len(s) > 2:
                 counts += np.bincount((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:], minlength=_SIZE**3)
         at = np.flatnonzero(counts)
@@ -138,8 +139,9 @@ class Restorer(dict):
             return ()
         if bare.isalpha() and not _THRICE.search(bare):
             return (bare,)
-        if not any("a" <= c <= "z" for c in bare):
-            return (bare,)
+        number = bare.strip("$#+%*")
+        if not any("a" <= c <= "z" for c in bare) and (len(number) < 2 or not any(c in SIGNS and not c.isdigit() for c in number)):
+            return (bare,)  # digits, a price, a share
         marks = token.strip(_EDGE.replace("!", "").replace("|", "").replace("(", "").replace("<", ""))
         return tuple(dict.fromkeys([*decode(bare, self._model).split(), *(decode(marks, self._model).split() if marks != bare and any(c in SIGNS for c in marks.rstrip("!|")) else ())]))
 
@@ -150,20 +152,20 @@ class Restorer(dict):
         out = []
         for text in texts:
             tokens = text.lower().split() if text else []
-            if list(map(len, tokens)).count(1) > 3:
+            if list(map(len, tokens)).count(1) > 2:
                 tokens = self._unspaced(tokens)
             out.append(([w for found in map(self.__getitem__, tokens) if found for w in found], len(tokens)))
         return out
 
     @staticmethod
     def _unspaced(tokens: list[str]) -> list[str]:
-        """Runs of four or more single characters as one token, spaces kept as readings."""
+        """Runs of three or more single characters as one token, spaces kept as readings."""
         out, run = [], []
         for t in [*tokens, ""]:
             if len(t) == 1:
                 run.append(t)
                 continue
-            out += [" ".join(run)] if len(run) > 3 and len(set(run)) > 2 else run
+            out += [" ".join(run)] if len(run) > 2 and len(set(run)) > 1 else run
             run = []
             if t:
                 out.append(t)
@@ -218,7 +220,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, where: str) -> ToxicityModel:
     cells = [("a", "n", bad), ("(n - a)", "n", good), (f"({bad} - a)", f"({bad + good} - n)", bad), (f"({good} - n + a)", f"({bad + good} - n)", good)]
     z = F.expr("sqrt(2 * greatest(0D, " + " + ".join([part.format(c, n, t, bad + good) for c, n, t in cells]) + "))")
     chosen = counts.filter("a > 2").select("w", odds.alias("odds"), z.alias("z")).filter(f"z >= {LEAST_Z} and odds >= 2")
-    lexicon = {w: float(o) for w, o, _ in chosen.orderBy(F.desc("z"), "w").limit(LEXICON).collect()}
+    lexicon = {w: float(o) for w, o, _ in chosen.orderBy(F.desc("z"), "w").collect()}
     model = ToxicityModel(characters, lexicon, None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +240,14 @@ def _fitted(docs: DataFrame, labels: DataFrame, where: str) -> ToxicityModel:
     return model
 
 
-def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with toxicity (0 to 1)."""
+def scored(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score (0 to 1) as a column ``name``, in place of one of that name."""
 
     def run():
         restore = Restorer(model.characters, model.lexicon)
         return lambda texts: [pa.array(model.scores(restore(texts)))]
 
-    return with_columns(docs, "toxicity double", run)
+    return with_columns(docs, f"{name} double", run)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
