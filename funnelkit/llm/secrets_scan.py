@@ -4,8 +4,9 @@ Fixed kinds are found by their patterns, leftmost and non-overlapping. Beside th
 token characters is a candidate. Its encoding is inferred from its characters, which gives the
 alphabet of size k. Chi-squared of its symbol counts against a uniform alphabet says how random it
 looks; a token whose halves of the alphabet alternate too rarely or too often (runs test), or whose
-neighbours correlate (serial correlation), isn't random. The chance that a text-like token looks as
-uniform falls with length, and within each stratum of encoding and length (powers of two) the
+neighbours correlate (serial correlation), isn't random. Text repeats its symbols more: the number of
+equal pairs in a text-like token of that length has a known mean and variance, and the chance that it is
+as low as the token's falls with length, and within each stratum of encoding and length (powers of two) the
 Benjamini-Hochberg rule over all documents' candidates fixes the level, so that about ``RATE`` of the
 added spans are false. Levels are counted in steps of a tenth of a decade: a table of fixed size.
 
@@ -25,6 +26,8 @@ from .common import table, written
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, CANDIDATE = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}", r"[A-Za-z0-9+/_=-]{20,}"
 RATE, LARGEST = 0.01, 200
+#: Sum of cubed shares of text's symbols, over the square of the sum of squared shares.
+CUBES = 1.3
 #: Encodings in order of trial: name, what it may hold, alphabet, and how far text in it is from uniform (sum of squared shares).
 ENCODINGS = [
     ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.14),
@@ -70,7 +73,10 @@ def battery(tokens: DataFrame) -> DataFrame:
     squares = F.expr("aggregate(array_distinct(split(t, '')), 0D, (a, c) -> a + if(c = '', 0D, power(length(t) - length(replace(t, c, '')), 2)))")
     out = out.withColumn("chi", F.col("kk") / F.col("n") * squares - F.col("n"))
     text_like = F.expr("(kk - 1) + (n - 1) * (kk * share - 1)")
-    spread = F.expr("sqrt(2 * (kk - 1)) * (kk * share)")
+    # of chi = kk / n * (2 * pairs of equal symbols + n) - n, whose pairs vary by themselves and through shared symbols
+    pairs = "(n * (n - 1) / 2) * (share - share * share)"
+    triples = f"n * (n - 1) * (n - 2) * {CUBES - 1} * share * share"
+    spread = F.expr(f"2 * kk / n * sqrt({pairs} + {triples})")
     out = out.withColumn("z", (F.col("chi") - text_like) / spread)
     out = out.withColumn("mean", F.expr("aggregate(v, 0D, (a, x) -> a + x) / n"))
     out = out.withColumn("high", F.expr("transform(v, x -> if(x > mean, 1, 0))"))
