@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, one Parquet table after each stage.
 
 Edge cases are those of the operators: null and empty texts pass the filters, an empty table passes
-through, further columns are carried along.
+through, further columns are carried along whatever their names. Rows are told apart by doc_id and text
+together: of rows that repeat both one stays, rows of one doc_id with unlike texts are two documents, and
+a null doc_id is like any other.
 """
 
 from __future__ import annotations
@@ -11,19 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm import jaccard, packing, quality, secrets_scan, toxicity
-from funnelkit.llm.common import table, written
+from funnelkit.llm.common import fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the importance sample."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.resampled(docs, model).filter("kept").select(*docs.columns)
+    names = fresh(docs, *quality.NAMES)
+    return quality.resampled(docs, model, tuple(names)).filter(F.col(names[-1])).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
