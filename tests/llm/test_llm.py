@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -19,7 +20,7 @@ from funnelkit.llm.common import shared_dir
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
-    None, "", " ", "  two  spaces \n\n and\ttabs ", "a\x00 \x00b \x00", "x" * 3000, "é" * 400 + "  ö", "<|endoftext|> is text", "don't 's 12 !!  ",
+    None, "", " ", "  two  spaces \n\n and\ttabs ", "a\x00 \x00b \x00", "x" * 3000, "é" * 400 + "  ö", "<|endoftext|> is text", "a <|endoftext|> b", " <|endoftext|><|endoftext|>  <|endof", "end\n<|endoftext|>", "don't 's 12 !!  ",
     "one two three four", "word " * 700, "The same line.\nThe same line.\n", "\x85 \x1c 　 z",
 ]
 PROSE = "It was a bright cold day in April, and the clocks were striking thirteen. " * 3
@@ -42,7 +43,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -107,6 +107,13 @@ def test_wavelet_rank_and_select():
         at = np.flatnonzero(x == v)
         assert w.count(v) == len(at) and w.count(v, 100, 900) == ((at >= 100) & (at < 900)).sum()
         assert [w.select(v, k) for k in range(len(at))] == at.tolist()
+    x = np.random.default_rng(1).integers(0, 40_000, 300_000).astype(np.uint32)
+    w, _, _ = wavelet.load(wavelet.dump(x, [1], np.array([len(x)])))
+    place = int(np.flatnonzero(x == x[77_777])[0])
+    assert (w.access(77_777), w.select(int(x[77_777]), 0)) == (x[77_777], place)
+    opened = [len(p.opened) for p in w.planes]
+    assert max(opened) <= 4 < len(w.planes[0]._offsets) - 1  # a look-up unpacks the chunks it passes
+    assert w.count(int(x[77_777])) == (x == x[77_777]).sum() and (w.all() == x).all()
 
 
 def test_matrix_bpe(spark, docs):
@@ -164,7 +171,16 @@ def test_jaccard_components(spark, docs):
         assert (r.n_shingles, r.component_id) == ((len(sets[r.doc_id]), want[r.doc_id]) if r.doc_id is not None else (1, None))
     kept = jaccard.deduplicated(all_docs)
     assert kept.columns == all_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(set(want.values()))
+    assert [r.text for r in rows if r.doc_id is None] == ["no id here"]
+
+
+def test_deduplicated_rows_differ_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = frame(spark, [a, b, b, a, c, None]).selectExpr("case doc_id when 1 then 7 when 2 then 7 when 3 then 7 when 4 then null when 5 then null else 6 end doc_id", "text", "base own_id", "row OWN_ID_")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(7, a), (7, b), (None, c), (6, None)], key=str)
 
 
 def test_jaccard_links_across_blocks(spark, monkeypatch):
@@ -197,14 +213,43 @@ def test_toxicity(spark):
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i + 1, m) for i, m in enumerate(marks)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    probe = frame(spark, ["you 1d10t river", "m o r o n of stone", "iiidiot garden", "i.d.i.o.t", "green window paper", None, "", "a " * 5000])
+    probe = frame(spark, ["you 1d10t river", "m o r o n of stone", "iiidiot garden", "i.d.i.o.t", "green window paper", None, "", "a " * 5000, "100% of $500, #1 1,000"])
     got = [r.toxicity >= 0.5 for r in toxicity.scored(probe, model).orderBy("doc_id").collect()]
-    assert got == [True] * 4 + [False] * 4
+    assert got == [True] * 4 + [False] * 5
     assert toxicity.scored(probe.limit(0), model).count() == 0
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.toxicity for r in toxicity.scored(probe, none).collect()} == {0.0}
 
 
+def test_decoder_against_all_readings():
+    rng = np.random.default_rng(7)
+    texts = ["the stone was green and the river was wide", "a moron and an idiot sat in the garden", "wind and winter"]
+    s = toxicity._symbols("  ".join(["", *texts, ""]).encode())
+    three = np.zeros((28, 28, 28))
+    np.add.at(three, (s[:-2], s[1:-1], s[2:]), 1)
+    model = np.log((three + 0.1) / (three + 0.1).sum(2, keepdims=True))
+    code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+    for token in ["1d10t", "m0r0n", "g@rd3n", "w!nd", "iiidiot", "a.n.d", "s a t", "$t0n3", *["".join(rng.choice(list("a1o0.t!"), 5)) for _ in range(15)]]:
+        best = -math.inf
+        for path in itertools.product(*toxicity.readings(token), [(" ", 0.0)]):
+            text = "".join(t for t, _ in path)
+            x, y, score = 0, 0, -sum(c for _, c in path)
+            for c in text:
+                score += model[x, y, code(c)]
+                x, y = y, code(c)
+            if score > best:
+                best, likeliest = score, {text.strip()}
+            elif score == best:
+                likeliest.add(text.strip())
+        assert toxicity.decode(token, model.ravel().tolist()) in likeliest
+
+
+def test_character_model_does_not_depend_on_layout(spark):
+    texts = [f"text number {i} of some {'long ' * (i % 5)}prose" for i in range(40)] + [None, "", "x"]
+    one, many = (toxicity.character_model(frame(spark, texts).repartition(n)) for n in (1, 8))
+    assert (one == many).all()
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -225,6 +270,11 @@ def test_nearest_neighbours(spark):
         assert len(found) == 10 and all(abs(s[i] - v) < 1e-9 for i, v in found)
     assert hit >= 0.9 * 200
     assert nn_descent.nearest(vectors.limit(0), vectors.limit(0), 10).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    equal = nn_descent.nearest(same, same.filter("vec_id % 20 = 0"), 20).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in equal) == sorted((q, k + 1, v) for q in (0, 20, 40) for k, v in enumerate([i for i in range(60) if i != q][:20]))
+    one = same.filter("vec_id = 0")
+    assert nn_descent.nearest(one, one, 20).count() == 0
 
 
 def test_nearest_neighbours_from_a_poor_graph(spark, monkeypatch):
@@ -281,6 +331,26 @@ def test_secrets(spark, docs):
     assert secrets_scan.scan(all_docs.limit(0), "doc_id").count() == 0
 
 
+def test_random_tokens_of_many_lengths(spark):
+    """Random tokens are added, words run together are not, among as many of either."""
+    rng = np.random.default_rng(9)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    words = "the quick brown fox jumps over a lazy dog while every morning people in this quiet village walk to their market and buy some bread".split()
+    rows, planted, plain = [], 0, 0
+    for i in range(400):
+        n = int(rng.integers(24, 65))
+        if i % 2:
+            rows.append("see " + "".join(rng.choice(alphabet, n)) + " there")
+            planted += 1
+        else:
+            rows.append("see " + "".join(w.title() if rng.random() < 0.3 else w for w in rng.choice(words, 20))[:n] + " there")
+            plain += 1
+    found = {r.doc_id: len(r.added) for r in secrets_scan.scan(frame(spark, rows), "doc_id").collect()}
+    hits = sum(found[i + 1] for i in range(400) if i % 2) / planted
+    false = sum(found[i + 1] for i in range(400) if not i % 2) / max(1, sum(found.values()))
+    assert hits >= 0.75 and false <= 0.05, (hits, false)  # 0.795 and 0.025
+
+
 def test_quality(spark):
     rng = np.random.default_rng(6)
     good = [" ".join(rng.choice([f"w{i}" for i in range(200)], 80)) for _ in range(150)]
@@ -313,15 +383,47 @@ def test_language_model(spark, docs):
 
 def test_pipeline_keeps_columns_and_handles_odd_rows(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    now = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    clash = {c: i for i, c in enumerate(["toxicity", "Kept", "log_importance", "sample_key", "y", "own_id", "lang", "n_chars"])}
+    now = docs.selectExpr("*", *[f"cast({v} as long) `{c}`" for c, v in clash.items()])
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
-        assert sorted(now.columns) == sorted(docs.columns)
+        assert now.columns == columns
+        assert name == "secret scans" or {r.Kept: r.toxicity for r in now.select("Kept", "toxicity").distinct().collect()} == {1: 0}
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
     assert packed.count() >= now.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "secret scans", "packing"]
 
 
+def test_pipeline_end_to_end(spark, tmp_path, library):
+    """``run`` over whole tables: toxic and bad documents go, one of each group stays, secrets are replaced, the rest is packed whole."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(420):
+        w = list(rng.choice(vocabulary, 70))
+        if i % 6 == 0:
+            w[5] = w[20] = "idiot"
+        text = " | ".join(["BUY!!"] * 60) + f" {i}" if i % 7 == 3 else " ".join(w)
+        rows.append((i, text))
+        labels.append((i, int(i % 7 != 3), int(i % 6 == 0 and i % 7 != 3)))
+    clean = [i for i, (_, q, x) in enumerate(labels) if q and not x]
+    rows[clean[0]] = (clean[0], rows[clean[0]][1] + " token=abcdefghij0123456789 end")
+    rows += [(1000, rows[clean[1]][1]), (1001, rows[clean[2]][1] + " tail"), (1002, "you 1d10t " + " ".join(rng.choice(vocabulary, 60)) + " m0ron")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = collections.defaultdict(dict)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id][r.start] = bytes(r.ids)
+    assert not {1000, 1001, 1002} & pieces.keys() and not [i for i, _, x in labels if x and i in pieces]
+    kept = set(pieces) & set(clean)
+    assert len(kept) >= 0.95 * len(clean) and len(set(pieces) - kept) <= 0.05 * len(rows)
+    texts = dict(rows)
+    for d in kept:
+        text = texts[d].replace("token=abcdefghij0123456789", "[secret]")
+        assert b"".join(pieces[d][s] for s in sorted(pieces[d])) == little([*library(text), 0])
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES] == list(range(1, 14))
     assert isinstance(tokens.library_encoder(JSON)(["a b"])[0], np.ndarray)
