@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, settle, table
+from .common import kept, rows_of, settle, table
 from .tokens import library_encoder
 
 LENGTH, END_ID = 1024, 0
@@ -91,7 +91,7 @@ def _closing(path: str) -> np.ndarray:
     """Which ids close a sentence: they end in one of ``. ! ?`` or a line break."""
     from tokenizers import Tokenizer
 
-    vocabulary = Tokenizer.from_file(path).get_vocab()
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
     closing = np.zeros(max(vocabulary.values()) + 1, bool)
     closing[[i for t, i in vocabulary.items() if t[-1:] in ".!?Ċ"]] = True
     return closing
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        encode, closing = library_encoder(tokenizer), _closing(tokenizer)
+        encode, closing = library_encoder(tokenizer), kept(("closing", tokenizer), lambda: _closing(tokenizer)).copy()
         closing[end_id] = False
         sequence = TaskContext.get().partitionId() << 40
         # Of the open stream: document ids, their token counts, how many of their ids were emitted, and ids.

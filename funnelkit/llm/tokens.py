@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Stretches in a worker's cache before it starts anew; a longer stretch is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 #: Texts that can't be cut at each space: a space before white space or at either end, or a NUL.
 _LOOSE = r"^ | $|\x00| [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SIGNS = frozenset(".,;:!?|")
@@ -45,6 +47,21 @@ class StretchEncoder:
         self._slot: dict[str, int] = {}
         self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
         self._at, self._n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._again = np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        """Keeps the stretches that came again since the last time; the others go."""
+        kept_, ids, n, again = [s for s, i in self._slot.items() if self._again[i]], self._ids, self._n, self._again
+        at = np.array([self._slot[s] for s in kept_], np.int64)
+        if 2 * len(at) > CACHE_ENTRIES:
+            return self._clear()
+        n, start = n[at], self._at[at]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(start - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._clear()
+        self._slot = dict(zip(kept_, range(len(kept_)), strict=True))
+        self._ids, self._used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), len(flat)
+        self._at, self._n, self._again = ends - n, n, np.zeros(len(n), bool)
 
     def _learn(self, new: list[str]) -> None:
         """Adds stretches in the cache's form: a tail without its space, a head behind a NUL."""
@@ -71,6 +88,7 @@ class StretchEncoder:
         self._ids[self._used : self._used + len(flat)] = flat
         self._at = np.concatenate([self._at, self._used + np.cumsum(n) - n])
         self._n = np.concatenate([self._n, n])
+        self._again = np.concatenate([self._again, np.zeros(len(n), bool)])
         self._slot.update(zip(new, range(len(self._n) - len(new), len(self._n)), strict=True))
         self._used += len(flat)
 
@@ -86,7 +104,7 @@ class StretchEncoder:
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._n) > CACHE_ENTRIES or self._used > 8 * CACHE_ENTRIES:
-            self._clear()
+            self._shrink()
         column = pc.fill_null(pa.array(texts, pa.large_string()), "")
         if pc.any(pc.match_substring_regex(column, _LOOSE)).as_py():
             cut = []
@@ -99,9 +117,12 @@ class StretchEncoder:
         coded = parts.values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [s for s in distinct if s not in self._slot]
+        before = len(self._n)
         if new:
             self._learn(new)
-        slots = np.fromiter(map(self._slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        places = np.fromiter(map(self._slot.__getitem__, distinct), np.int64, len(distinct))
+        self._again[places[places < before]] = True
+        slots = places[coded.indices.to_numpy()]
         n = self._n[slots]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -119,12 +140,44 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in same}, **{b: chr(256 + i) for i, b in enumerate(other)}}
 
 
-def library_encoder(path: str) -> StretchEncoder:
-    """Encoder by the tokenizers library from a byte-level BPE file; special tokens in a text are ordinary text."""
+class WithAddedTokens:
+    """Ids of texts in which a file's added tokens stand for themselves; what is between them goes to ``encode``."""
+
+    def __init__(self, encode: StretchEncoder, ids: dict[str, int]):
+        self._encode, self._ids = encode, ids
+        self._split = re.compile("(" + "|".join(sorted(map(re.escape, ids), key=len, reverse=True)) + ")").split
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(t and x in t for x in self._ids for t in texts):
+            return self._encode(texts)
+        cut = [self._split(t or "") for t in texts]  # plain, token, plain, token, ..., plain
+        ids, n = self._encode([p for c in cut for p in c[::2]])
+        tokens = [self._ids[p] for c in cut for p in c[1::2]]
+        size = np.array([len(c) // 2 + 1 for c in cut], np.int64)
+        last = np.cumsum(size) - 1
+        before_token = np.ones(len(n), bool)
+        before_token[last] = False
+        ids = np.insert(ids, np.cumsum(n)[before_token], np.array(tokens, np.uint32))
+        return ids, np.diff(np.cumsum(n)[last], prepend=0) + size - 1
+
+
+def library_encoder(path: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder by the tokenizers library from a byte-level BPE file, as its ``encode`` without special tokens added.
+
+    The file's added tokens are recognised in texts, as the library does. One encoder serves all tasks of a worker.
+    """
+    return kept(("encoder", path), lambda: _library_encoder(path))
+
+
+def _library_encoder(path: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
+    library = Tokenizer.from_file(path)
+    tokenize, letters = library.model.tokenize, byte_letters()
+    added = library.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError("added tokens that take in what stands beside them are not supported")
 
     def encode(pieces: list[str]) -> list[list[int]]:
         plain = [
@@ -133,4 +186,5 @@ def library_encoder(path: str) -> StretchEncoder:
         ]
         return [[t.id for t in tokenize(p)] for p in plain]
 
-    return StretchEncoder(encode)
+    plain = StretchEncoder(encode)
+    return WithAddedTokens(plain, {t.content: i for i, t in added.items()}) if added else plain
