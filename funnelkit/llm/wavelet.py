@@ -3,8 +3,9 @@
 A shard holds whole documents. Level ``l`` of its matrix is the plane of bit ``bits - 1 - l`` of all
 ids in that level's order; the next level has the ids with a 0 first, then those with a 1, in order.
 With counts of ones per block of 512 bits, a token, the count of an id in a range and its k-th place
-each take one step a level. A shard's bytes: magic, header (n, bits, documents), then zlib frames of
-document ids, token counts, and one frame a plane. Shards are rows of Parquet files, so that any
+each take one step a level. A shard's bytes: magic, header, frames of document ids and token counts,
+the counts of ones, and the planes in chunks of 8 KB, packed by themselves where that makes them
+smaller; a look-up unpacks only the chunks it passes. Shards are rows of Parquet files, so that any
 store that Spark writes to will do; a reader needs nothing but the one row.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first, repeated doc_ids in
@@ -19,28 +20,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import rows_of, settle, shared_dir, table
 from .tokens import library_encoder
 
-MAGIC, SHARD_TOKENS, END_ID, BLOCK = b"WVM1", 1 << 20, 2, 512
+MAGIC, SHARD_TOKENS, END_ID, BLOCK, CHUNK = b"WVM2", 1 << 20, 2, 512, 8192
 SHARDS = "part long, before long, tokens long, payload binary"
 
 
 class WaveletMatrix:
-    """Access, rank and select over ids by their bit-planes."""
+    """Access, rank and select over ids by their bit-planes.
 
-    def __init__(self, planes: list[np.ndarray], n: int):
+    ``planes`` are arrays of bytes or anything else that gives bytes [a, b) of a plane as ``part(a, b)``;
+    ``ones`` has per plane the number of ones before each block of ``BLOCK`` bits.
+    """
+
+    def __init__(self, planes: list, n: int, ones: list[np.ndarray] | None = None):
         self.planes, self.n, self.bits = planes, n, len(planes)
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in planes]
-        width = BLOCK // 8
-        self._ones = []
-        for p in planes:
-            padded = np.zeros(-(-len(p) // width) * width + width, np.uint8)
-            padded[: len(p)] = p
-            self._ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded.reshape(-1, width)).sum(1, dtype=np.int64))]))
+        self._ones = [_directory(p) for p in planes] if ones is None else ones
+        self.zeros = [n - int(o[-1]) for o in self._ones]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -53,11 +54,15 @@ class WaveletMatrix:
             now = np.concatenate([now[~one], now[one]])
         return cls(planes, len(ids))
 
+    def _part(self, level: int, a: int, b: int) -> np.ndarray:
+        plane = self.planes[level]
+        return plane[a:b] if isinstance(plane, np.ndarray) else plane.part(a, b)
+
     def all(self) -> np.ndarray:
         """Every id in order."""
         now = np.zeros(self.n, np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            one = np.unpackbits(self._part(level, 0, -(-self.n // 8)), count=self.n).view(bool)
             before = np.empty_like(now)
             before[~one] = now[: self.zeros[level]]
             before[one] = now[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
@@ -65,17 +70,18 @@ class WaveletMatrix:
         return now
 
     def _rank1(self, level: int, i: int) -> int:
-        block, plane = i // BLOCK, self.planes[level]
+        block = i // BLOCK
         a = block * BLOCK // 8
-        ones = int(self._ones[level][block]) + int(np.bitwise_count(plane[a : i // 8]).sum())
-        return ones + (int(plane[i // 8] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        here = self._part(level, a, i // 8 + 1)
+        ones = int(self._ones[level][block]) + int(np.bitwise_count(here[: i // 8 - a]).sum())
+        return ones + (int(here[i // 8 - a] >> (8 - i % 8)).bit_count() if i % 8 else 0)
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, plane in enumerate(self.planes):
-            bit = plane[i // 8] >> (7 - i % 8) & 1
+        for level in range(self.bits):
+            bit = self._part(level, i // 8, i // 8 + 1)[0] >> (7 - i % 8) & 1
             value = value << 1 | int(bit)
             i = self.zeros[level] + self._rank1(level, i) if bit else i - self._rank1(level, i)
         return value
@@ -102,7 +108,7 @@ class WaveletMatrix:
         lows = blocks if bit else np.arange(len(blocks)) * BLOCK - blocks
         block = int(np.searchsorted(lows, k, side="right")) - 1
         a = block * BLOCK
-        here = np.unpackbits(self.planes[level][a // 8 : a // 8 + BLOCK // 8])
+        here = np.unpackbits(self._part(level, a // 8, min(a // 8 + BLOCK // 8, -(-self.n // 8))))
         return a + int(np.flatnonzero(here == bit)[k - int(lows[block])])
 
     def select(self, value: int, k: int) -> int:
@@ -116,27 +122,64 @@ class WaveletMatrix:
         return i
 
 
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of a plane, and in all of it."""
+    width = BLOCK // 8
+    padded = np.zeros(-(-len(plane) // width) * width + width, np.uint8)
+    padded[: len(plane)] = plane
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(padded.reshape(-1, width)).sum(1, dtype=np.int64))]).astype("<u4")
+
+
+class PackedPlane:
+    """A plane in a shard's bytes, chunk by chunk; a chunk is unpacked when it is first asked for."""
+
+    def __init__(self, payload: memoryview, offsets: np.ndarray):
+        self._payload, self._offsets, self.opened = payload, offsets, {}
+
+    def _chunk(self, i: int) -> np.ndarray:
+        if i not in self.opened:
+            raw = self._payload[int(self._offsets[i]) : int(self._offsets[i + 1])]
+            self.opened[i] = np.frombuffer(raw[1:] if raw[0] == 0 else zstandard.decompress(raw[1:]), np.uint8)
+        return self.opened[i]
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        chunks = range(a // CHUNK, max(a // CHUNK + 1, -(-b // CHUNK)))
+        some = [self._chunk(i)[max(0, a - i * CHUNK) : b - i * CHUNK] for i in chunks if i + 1 < len(self._offsets)]
+        return some[0] if len(some) == 1 else np.concatenate([*some, np.zeros(0, np.uint8)])
+
+
 def dump(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
+    """A shard's bytes: magic, n, bits, documents; frames of known doc_ids, doc_ids and token counts; the ranks; the chunks."""
     matrix = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    frames = [known, np.array([d or 0 for d in doc_ids], "<i8"), sizes.astype("<i8"), *matrix.planes]
-    packed = [zlib.compress(f.tobytes(), 1) for f in frames]
-    head = MAGIC + struct.pack("<QII", matrix.n, matrix.bits, len(doc_ids)) + struct.pack(f"<{len(packed)}Q", *map(len, packed))
-    return head + b"".join(packed)
+    pack = zstandard.ZstdCompressor(1).compress
+    frames = [pack(f.tobytes()) for f in (known, np.array([d or 0 for d in doc_ids], "<i8"), sizes.astype("<i8"))]
+    frames.append(np.concatenate(matrix._ones).tobytes())
+    chunks = []
+    for plane in matrix.planes:
+        for a in range(0, len(plane), CHUNK):
+            raw = plane[a : a + CHUNK]
+            ones = np.bitwise_count(raw).sum() / (8 * len(raw))
+            # the lower planes are as good as random; packing them would only cost time
+            small = pack(raw.tobytes()) if not 0.25 < ones < 0.75 else raw.tobytes()
+            chunks.append(b"\1" + small if len(small) < len(raw) else b"\0" + raw.tobytes())
+    sizes_ = [len(x) for x in (*frames, *chunks)]
+    return b"".join([MAGIC, struct.pack("<QIII", matrix.n, matrix.bits, len(doc_ids), len(chunks)), np.array(sizes_, "<u4").tobytes(), *frames, *chunks])
 
 
 def load(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+    """The matrix over a shard's bytes, which it reads as far as it is asked, its doc_ids and token counts."""
     if payload[:4] != MAGIC:
         raise ValueError("not a wavelet matrix shard")
-    n, bits, _ = struct.unpack_from("<QII", payload, 4)
-    lengths = struct.unpack_from(f"<{bits + 3}Q", payload, 20)
-    frames, at = [], 20 + 8 * (bits + 3)
-    for x in lengths:
-        frames.append(zlib.decompress(payload[at : at + x]))
-        at += x
-    known, doc_ids = frames[0], np.frombuffer(frames[1], "<i8").tolist()
-    planes = [np.frombuffer(f, np.uint8) for f in frames[3:]]
-    return WaveletMatrix(planes, n), [d if k else None for d, k in zip(doc_ids, known, strict=True)], np.frombuffer(frames[2], "<i8")
+    n, bits, _, many = struct.unpack_from("<QIII", payload, 4)
+    at = 24 + np.concatenate([[0], np.cumsum(np.frombuffer(payload, "<u4", 4 + many, 24), dtype=np.int64)]) + 4 * (4 + many)
+    view = memoryview(payload)
+    known, ids, sizes = (zstandard.decompress(view[at[i] : at[i + 1]]) for i in range(3))
+    ones = np.frombuffer(view[at[3] : at[4]], "<u4").reshape(bits, -1)
+    each = many // bits
+    planes = [PackedPlane(view, at[4 + i * each : 5 + (i + 1) * each]) for i in range(bits)]
+    names = [d if k else None for d, k in zip(np.frombuffer(ids, "<i8").tolist(), known, strict=True)]
+    return WaveletMatrix(planes, n, list(ones)), names, np.frombuffer(sizes, "<i8")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> None:
