@@ -1,9 +1,11 @@
 """N-gram Jaccard join: blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the matrix are classes of documents with the same set of 5-word shingles; columns are
-64-bit shingle hashes. All shingles are put in one order (common ones last), and by the usual bound
-two sets with Jaccard >= 0.75 share a shingle among the first quarter of each, so only that part of
-the incidence is multiplied. It is dealt out by column: a task multiplies its block of columns, adds
+64-bit shingle hashes. All shingles are put in one order (common ones last, by exact counts of 42 bits
+of their hashes), and by the usual bound two sets with Jaccard >= 0.75 share a shingle among the first
+quarter of each, so only that part of the incidence is multiplied. For the counts, items go by their
+first bits to where they are counted, and those that other rows have too come back to their rows; a row
+whose own items fill its first quarter has no links and drops out. It is dealt out by column: a task multiplies its block of columns, adds
 up overlap counts per pair, and counts are summed over blocks. A pair whose count, with all that may
 follow the counted part, can't reach the overlap its sizes ask for is discarded; the whole rows of
 the others are multiplied, which decides exactly.
@@ -11,8 +13,8 @@ the others are multiplied, which decides exactly.
 Only links matter, not all pairs of a group. A column of up to ``SMALL`` classes gives all its
 pairs. A larger one gives each class with the next few and with the first; then rounds over ever
 larger distances take up the columns whose classes are not yet in one component, and end when none
-is left or every pair of such a column was looked at. Columns that a counting sketch knows as very
-common are dealt out in blocks, and every row of them stays; the rounds join what the blocks keep
+is left or every pair of such a column was looked at; a pair whose parity sketches differ in too many
+bits can't link and goes no further. Very common columns are dealt out in blocks, and every row of them stays; the rounds join what the blocks keep
 apart, also pairs that the first round's count, short of what other blocks hold, discarded. Nothing
 is capped.
 
@@ -25,20 +27,22 @@ input are ignored. 64-bit hashes of distinct shingles are taken to differ.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, fresh, rows_of, settle, small_batches, table, words, written
 
 SHINGLE, SMALL, NEAR, BLOCK = 5, 33, 3, 4096
-BUCKETS, SLICE, BITS, CACHE = 1 << 22, 1 << 14, 1 << 22, 200_000
+SPLIT, ROWS, SKETCH, BITS, CACHE = 10, 1 << 16, 1024, 1 << 22, 200_000
+_CHUNKS = "bucket int, chunk long, cols binary, at binary, more binary"
+_CHUNK_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -78,42 +82,6 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, k1 long, k2 long, items binary")
 
 
-def common_levels(sets: DataFrame) -> np.ndarray:
-    """Per bucket of hashes, 4 * log2(1 + estimate of how many sets have its most common one); 0: none stands out.
-
-    A fixed number of buckets is counted over all sets, as compressed slices, so what is sent to
-    the driver and out again is bounded.
-    """
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
-        counts = np.zeros(BUCKETS, np.uint32)
-        for (data,) in rows_of(batches, "items", chars=1 << 22):
-            items = np.frombuffer(b"".join(data), np.uint64) >> np.uint64(40)
-            at, more = np.unique(items & np.uint64(BUCKETS - 1), return_counts=True)
-            counts[at] += more.astype(np.uint32)
-        slices = counts.reshape(-1, SLICE)
-        at = np.flatnonzero(slices.any(1))
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for which, data in rows_of(batches, "slice", "counts"):
-            for i, x in zip(which, data, strict=True):
-                new = np.frombuffer(zlib.decompress(x), np.uint32)
-                total[i] = total[i] + new if i in total else new.astype(np.uint64)
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
-
-    rows = sets.select("items").mapInArrow(tally, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
-    counts = np.zeros((BUCKETS // SLICE, SLICE))
-    with small_batches(sets.sparkSession):
-        found = rows.collect()
-    for i, x in found:
-        counts[i] = np.frombuffer(x, np.uint64)
-    usual = np.median(counts)
-    return np.round(4 * np.log2(1 + np.maximum(0, counts.ravel() - usual - 6 * np.sqrt(usual + 1)))).astype(np.uint8)
-
-
 def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
@@ -134,30 +102,117 @@ def _marked(sets: DataFrame, bitmap: DataFrame, want: bool) -> DataFrame:
     return rows.filter(is_set if want else ~is_set).select(*sets.columns)
 
 
-def incidence(sets: DataFrame, level: np.ndarray) -> DataFrame:
-    """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here), dealt (the column has several blocks)."""
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Items of chunks of rows, dealt out by their first bits: 32 more bits of each, and its row as steps.
+
+    Each chunk also has a row without ``cols`` that holds its doc ids and set sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        chunk = TaskContext.get().partitionId() << 32
+        for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items", chars=1 << 22):
+            for k in range(0, len(data), ROWS):
+                n = np.array(sizes[k : k + ROWS], np.int32)
+                items = np.frombuffer(b"".join(data[k : k + ROWS]), np.uint64)
+                bucket = (items >> np.uint64(64 - SPLIT)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                cols = (items >> np.uint64(32 - SPLIT)).astype(np.uint32)[order]
+                row = np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
+                bounds = np.searchsorted(bucket[order], np.arange((1 << SPLIT) + 1)).tolist()
+                some = [(i, a, b) for i, (a, b) in enumerate(pairwise(bounds)) if a < b]
+                out = [
+                    pa.array([chunk & (1 << SPLIT) - 1, *(i for i, _, _ in some)], pa.int32()),
+                    pa.array([chunk] * (len(some) + 1), pa.int64()),
+                    pa.array([None, *(cols[a:b].tobytes() for _, a, b in some)], pa.binary()),
+                    pa.array([np.array(doc_ids[k : k + ROWS], np.int64).tobytes(), *(np.diff(row[a:b], prepend=np.uint16(0)).tobytes() for _, a, b in some)], pa.binary()),
+                    pa.array([n.tobytes(), *[None] * len(some)], pa.binary()),
+                ]
+                yield pa.record_batch(out, ["bucket", "chunk", "cols", "at", "more"])
+                chunk += 1
+
+    return sets.select("doc_id", "n", "items").mapInArrow(run, _CHUNKS)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket: each chunk's items that other rows have too, with 4 * log2 of the number of rows that have them."""
+    settle()
+    for held in _runs(batches, "bucket"):
+        cols = [np.frombuffer(x, np.uint32) for x in held["cols"] if x is not None]
+        flat = np.concatenate(cols) if cols else np.zeros(0, np.uint32)
+        order = np.argsort(flat)
+        new = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])) if len(flat) else np.zeros(0, np.int64)
+        times = np.diff(new, append=len(flat))
+        level = np.zeros(len(flat), np.uint8)
+        level[order] = np.repeat(np.round(4 * np.log2(times)).astype(np.uint8), times)
+        out, end = [], 0
+        for bucket, chunk, x, at, more in zip(*held.values(), strict=True):
+            if x is None:
+                out.append((bucket, chunk, None, at, more))
+                continue
+            begin, end = end, end + len(x) // 4
+            if len(take := np.flatnonzero(level[begin:end])):
+                row = np.cumsum(np.frombuffer(at, np.uint16), dtype=np.uint16)[take]
+                out.append((bucket, chunk, flat[begin:end][take].tobytes(), row.tobytes(), level[begin:end][take].tobytes()))
+        for i in range(0, len(out), 1000):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), _CHUNK_TYPES, strict=True)], ["bucket", "chunk", "cols", "at", "more"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
+    """Columns, as lists, of all rows of one key after the other, from batches sorted by it."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for a, b in pairwise(bounds):
+            part = batch.slice(a, b - a).to_pydict()
+            if held and held[key][0] == part[key][0]:
+                for c, x in part.items():
+                    held[c] += x
+            else:
+                if held:
+                    yield held
+                held = part
+    if held:
+        yield held
+
+
+def incidence(sets: DataFrame) -> DataFrame:
+    """The counted part of the matrix: col, block, doc, n, near (may meet a larger set here), dealt (the column has several blocks).
+
+    Items of one row only come first in a row's order, so a row whose first part holds no other has no link and no rows here.
+    """
     blocks = 1 + np.exp2(np.minimum(np.arange(256), 160) / 4).astype(np.int64) // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items"):
-            cols, docs, ns, near, block, dealt = [], [], [], [], [], []
-            for d, n, x in zip(doc_ids, sizes, data, strict=True):
-                items = np.frombuffer(x, np.uint64)
-                bucket = (items >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
-                first = n - -(-3 * n // 4) + 1
-                at = np.lexsort((items, level[bucket]))[:first]
-                cols.append(items[at])
-                docs.append(np.full(first, d))
-                ns.append(np.full(first, n, np.int32))
-                near.append(np.arange(first) < n - -(-6 * n // 7) + 1)
-                parts = blocks[level[bucket[at]]]
-                dealt.append(parts > 1)
-                block.append((items[at] * np.uint64(2 * d + 1 & (2**64 - 1)) >> np.uint64(33)).astype(np.int64) % parts)
-            if cols:
-                out = [np.concatenate(c) for c in (cols, block, docs, ns, near, dealt)]
-                yield pa.record_batch([pa.array(out[0].view(np.int64)), pa.array(out[1].astype(np.int32)), *map(pa.array, out[2:])], ["col", "block", "doc", "n", "near", "dealt"])
-
-    return sets.select("doc_id", "n", "items").mapInArrow(run, "col long, block int, doc long, n int, near boolean, dealt boolean")
+        settle()
+        for held in _runs(batches, "chunk"):
+            which = [i for i, x in enumerate(held["cols"]) if x is not None]
+            (own,) = (i for i, x in enumerate(held["cols"]) if x is None)
+            docs, sizes = np.frombuffer(held["at"][own], np.int64), np.frombuffer(held["more"][own], np.int32).astype(np.int64)
+            if not which:
+                continue
+            cols = np.concatenate([np.frombuffer(held["cols"][i], np.uint32).astype(np.int64) | held["bucket"][i] << 32 for i in which])
+            row = np.concatenate([np.frombuffer(held["at"][i], np.uint16) for i in which])
+            level = np.concatenate([np.frombuffer(held["more"][i], np.uint8) for i in which])
+            alone = sizes - np.bincount(row, minlength=len(sizes))
+            first = sizes - -(-3 * sizes // 4) + 1
+            take = np.flatnonzero((alone < first)[row])
+            order = take[np.lexsort((cols[take], level[take], row[take]))]
+            row, cols, level = row[order], cols[order], level[order]
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+            place = alone[row] + np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row)))
+            at = np.flatnonzero(place < first[row])
+            if not len(at):
+                continue
+            row, cols, parts = row[at], cols[at], blocks[level[at]]
+            doc, n = docs[row], sizes[row]
+            block = ((cols.view(np.uint64) * _MIX[0] ^ doc.view(np.uint64) * _MIX[1]) * _MIX[2] >> np.uint64(33)).astype(np.int64) % parts
+            out = [cols, block.astype(np.int32), doc, n.astype(np.int32), place[at] < n - -(-6 * n // 7) + 1, parts > 1]
+            yield pa.record_batch([pa.array(x) for x in out], ["col", "block", "doc", "n", "near", "dealt"])
+
+    counted = _dealt(sets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, _CHUNKS)
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "col long, block int, doc long, n int, near boolean, dealt boolean")
 
 
 #: c: counted shared columns; near: the smaller set has one of them in its own first part; big: one is of a large
@@ -191,7 +246,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 def _arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     t = pa.Table.from_batches([b for b in batches if b.num_rows] or batches[:1])
-    return {c: t.column(c).to_numpy() for c in t.column_names}
+    out = {c: t.column(c).to_numpy() for c in t.column_names if c != "sketch"}
+    if "sketch" in t.column_names:
+        data = t.column("sketch").to_pylist()
+        out["known"] = np.array([x is not None for x in data])
+        out["sketch"] = np.frombuffer(b"".join(x or bytes(SKETCH // 8) for x in data), np.uint64).reshape(-1, SKETCH // 64)
+    return out
 
 
 def _emit(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, big: int) -> pa.RecordBatch | None:
@@ -200,6 +260,10 @@ def _emit(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, big: int) -> p
     if "comp" in a:
         ok &= a["comp"][i] != a["comp"][j]
     i, j = i[ok], j[ok]
+    if "sketch" in a and len(i):
+        differ = np.bitwise_count(a["sketch"][i] ^ a["sketch"][j]).sum(1, dtype=np.int64)
+        ok = ~(a["known"][i] & a["known"][j]) | (7 * differ <= a["n"][i] + a["n"][j])
+        i, j = i[ok], j[ok]
     if not len(i):
         return None
     x, y = a["doc"][i], a["doc"][j]
@@ -213,6 +277,25 @@ def _emit(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, big: int) -> p
     return pa.record_batch(columns, ["a", "b", "na", "nb", "c", "near", "big"])
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """doc, n, sketch: per bit, whether an odd number of the set's items have it; null where a doc has several sets of that size.
+
+    Each bit that differs between two sets stands for an item at least that one of them has alone, so sets whose sketches
+    differ in more than a seventh of their sizes' sum can't link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for doc_ids, sizes, data in rows_of(batches, "doc_id", "n", "items"):
+            bit = (np.frombuffer(b"".join(data), np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + bit, minlength=len(sizes) * SKETCH) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1)
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "n", "sketch"])
+
+    rows = sets.select("doc_id", "n", "items").mapInArrow(run, "doc long, n int, sketch binary")
+    return rows.groupBy("doc", "n").agg(F.expr("if(count(*) = 1, first(sketch), null)").alias("sketch"))
+
+
 def _starts(a: dict[str, np.ndarray]) -> np.ndarray:
     """Per row, where its group starts."""
     new = np.concatenate([[True], (a["col"][1:] != a["col"][:-1]) | (a["block"][1:] != a["block"][:-1])])
@@ -318,13 +401,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = _bitmap(copies, "doc_id")
     usable = sets.filter("n > 0 and doc_id is not null").select("doc_id", "n", "items")
     rows = _marked(usable, bits, False).unionByName(_marked(usable, bits, True).join(copies, "doc_id", "left_anti"))
-    level = common_levels(rows)
-    dealt = incidence(rows, level).repartition("col", "block").sortWithinPartitions("col", "block", "n", "doc")
+    dealt = incidence(rows).repartition("col", "block").sortWithinPartitions("col", "block", "n", "doc")
     shared = written(dealt.mapInArrow(_keep_shared, _SHARED), "incidence")
     own = links(product(_sorted(shared)), rows)
     own = written(own.unionByName(joined), "links")
     comps = written(components(own), "components")
-    comps = _later_rounds(shared, rows, own, comps)
+    comps = _later_rounds(shared, rows, comps)
     found = members.select("doc_id", "rep").join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
     found = found.select("doc_id", F.coalesce("comp", "rep").alias("comp")).groupBy("doc_id").agg(F.min("comp").alias("comp"))
     out = small.join(found, "doc_id", "left")
@@ -346,7 +428,7 @@ def _sorted(shared: DataFrame) -> DataFrame:
     return shared.repartition("col", "block").sortWithinPartitions("col", "block", "n", "doc")
 
 
-def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: DataFrame) -> DataFrame:
+def _later_rounds(shared: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Rounds over columns too large for the first one until their classes are in one component or all were compared."""
     wide = shared.groupBy("col").agg(F.count("*").alias("m"), F.max("dealt").alias("dealt"), F.max("size").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"))
     wide = wide.filter((F.col("size") > SMALL) | (F.col("dealt") & (F.col("m") > 1)))
@@ -356,9 +438,10 @@ def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: Dat
     if not most:
         return comps
     big = written(shared.join(wide, "col").drop("size", "dealt"), "wide")
+    marks = written(sketches(_marked(rows, _bitmap(big.select("doc"), "doc"), True)), "sketches")
     after = 0
     while after < most - 1:
-        to = max(8, after * 8)
+        to = max(32, after * 32)
         named = big.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         open_ = named.groupBy("col").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("m").alias("m"))
         open_ = open_.filter((F.col("x") != F.col("y")) & (F.col("m") > after + 1)).select("col")
@@ -366,11 +449,11 @@ def _later_rounds(shared: DataFrame, rows: DataFrame, own: DataFrame, comps: Dat
         forget(big)
         if left.isEmpty():
             break
-        pairs = apart(left.drop("m").repartition("col").sortWithinPartitions("col", "n", "doc"), after, to)
+        pairs = apart(left.drop("m").join(marks, ["doc", "n"], "left").repartition("col").sortWithinPartitions("col", "n", "doc"), after, to)
         more = written(links(pairs, rows), "links")
         if not more.isEmpty():
-            own = own.unionByName(more)
-            comps = written(components(own), "components")
+            stars = comps.selectExpr("doc a", "comp b")
+            comps = written(components(stars.unionByName(more)), "components")
         big, after = left.drop("comp"), to  # closed columns never open again
     return comps
 

@@ -195,6 +195,40 @@ def test_jaccard_links_across_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(many).collect()} == want
 
 
+def test_jaccard_unlinked_classes_of_wide_columns(spark, monkeypatch):
+    """Classes that share much, but too little for a link, are told apart without reading their whole rows."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    verified, possible = [], jaccard._possible
+
+    def counted(pairs):
+        verified.append((out := possible(pairs)).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_possible", counted)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join([*base, *[f"v{k}x{i >> k & 1}w{j}" for k in range(5) for j in range(12)]]) for i in range(32)]
+    texts += [f"{texts[5]} more", " ".join(base), " ".join([*base[:20], *texts[9].split()])]
+    docs = frame(spark, texts)
+    want = linked({d: shingles(t) for d, t in texts_of(docs).items()})
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    assert sum(verified[1:]) < 30  # in the rounds; of 496 pairs
+
+
+def test_jaccard_incidence_orders_by_exact_counts(spark, monkeypatch):
+    """A row whose first part holds items of its own only has no rows; items that most rows have come last in the others."""
+    monkeypatch.setattr(jaccard, "ROWS", 3)  # chunks of three rows
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = [shared + " " + " ".join(f"u{k}x{i}" for i in range(16)) for k in range(12)] + [shared + " " + " ".join(f"t{i}" for i in range(10 + k)) for k in range(2)]
+    rows = jaccard.incidence(jaccard.shingle_sets(frame(spark, texts))).collect()
+    assert {r.doc for r in rows} == {13, 14}
+    docs = {d: [r for r in rows if r.doc == d] for d in (13, 14)}
+    for d, some in docs.items():
+        n = len(shingles(texts[d - 1]))
+        alone = d - 13  # the longer text has one shingle of its own
+        assert len(some) == n - math.ceil(0.75 * n) + 1 - alone and {r.n for r in some} == {n}
+    assert len({r.col for r in docs[13]} & {r.col for r in docs[14]}) >= 9
+
+
 def test_jaccard_empty(spark, docs):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
