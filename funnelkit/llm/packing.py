@@ -14,7 +14,6 @@ for itself; an empty table gives no rows; a document longer than a sequence is c
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +36,15 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def places(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut places of a stream (the last one is its end) and the penalty of each."""
-    sentence = np.flatnonzero(closing[ids]) + 1
-    at = np.union1d(sentence, ends)
+    kind = np.zeros(len(ids) + 1, np.uint8)
+    kind[1:] = closing[ids]
+    kind[ends] = 2
+    at = np.flatnonzero(kind != 0)
     gaps = np.diff(at, prepend=0)
-    extra = [np.arange(a - g + STEP, a, STEP) for a, g in zip(at[gaps > 2 * STEP], gaps[gaps > 2 * STEP], strict=True)]
-    if extra:
-        at = np.union1d(at, np.concatenate(extra))
-    penalty = np.full(len(at), TORN)
-    penalty[np.isin(at, sentence)] = SENTENCE
-    penalty[np.isin(at, ends)] = 0.0
-    return at, penalty
+    for a, g in zip(at[gaps > 2 * STEP].tolist(), gaps[gaps > 2 * STEP].tolist(), strict=True):
+        kind[a - g + STEP : a : STEP] = 3
+    at = np.flatnonzero(kind != 0)
+    return at, np.array([0.0, SENTENCE, 0.0, TORN])[kind[at]]
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
@@ -54,32 +52,41 @@ def cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     n = len(at)
     pos = [0, *at.tolist()]
     cost = [0.0, *penalty.tolist()]
-    whole: list[list[int]] = [[] for _ in range(n + 1)]  # starts of sequences that need no padding
+    number = np.full(pos[-1] + 1, -1)
+    number[at] = np.arange(1, n + 1)
+    number[0] = 0
+    whole: dict[int, list[int]] = {}  # starts of sequences that need no padding
     size = 1
     while size <= length:
-        j = np.searchsorted(at, at - size)
-        hit = np.flatnonzero((j < n) & (at[np.minimum(j, n - 1)] == at - size))
-        for k, i in zip((hit + 1).tolist(), (j[hit] + 1).tolist(), strict=True):
-            whole[k].append(i)
-        for k in np.flatnonzero(at == size).tolist():
-            whole[k + 1].append(0)
+        first = int(np.searchsorted(at, size))
+        start = number[at[first:] - size]
+        hit = np.flatnonzero(start >= 0)
+        for k, i in zip((hit + first + 1).tolist(), start[hit].tolist(), strict=True):
+            if k in whole:
+                whole[k].append(i)
+            else:
+                whole[k] = [i]
         size *= 2
-    best, back = [0.0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # best[i] + pos[i], ascending
+    best, back, keys = [0.0] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)  # keys: best[i] + pos[i]
+    queue, head, end = [0], 0, 1  # keys ascending from the head on
     for j in range(1, n + 1):
         p = pos[j]
-        while p - pos[queue[0][1]] > length:
-            queue.popleft()
-        key, i = queue[0]
-        value = key + length - p
-        for k in whole[j]:
-            if best[k] < value:
-                value, i = best[k], k
-        best[j], back[j] = value + cost[j], i
-        key = best[j] + p
-        while queue and queue[-1][0] >= key:
+        while p - pos[queue[head]] > length:
+            head += 1
+        i = queue[head]
+        value = keys[i] + length - p
+        if j in whole:
+            for k in whole[j]:
+                if best[k] < value:
+                    value, i = best[k], k
+        best[j] = value = value + cost[j]
+        back[j] = i
+        keys[j] = key = value + p
+        while end > head and keys[queue[-1]] >= key:
             queue.pop()
-        queue.append((key, j))
+            end -= 1
+        queue.append(j)
+        end += 1
     out, j = [], n
     while j:
         out.append(pos[j])

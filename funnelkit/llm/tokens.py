@@ -73,16 +73,15 @@ class StretchEncoder:
                 found.append((" " + s[:-1], s[-1]))
             else:
                 found.append(findall(s[1:] if s[:1] == "\x00" else " " + s))
-        pieces = list(set(chain.from_iterable(found)))
-        ids = dict(zip(pieces, self._pieces(pieces), strict=True))
-        flat: list[int] = []
-        n = []
-        for f in found:
-            before = len(flat)
-            for p in f:
-                flat += ids[p]
-            n.append(len(flat) - before)
-        n = np.array(n, np.int64)
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(p, len(number)) for p in chain.from_iterable(found)], np.int64)
+        ids = self._pieces(list(number))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        many, begin = size[which], (np.cumsum(size) - size)[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        flat = ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])]
+        n = np.diff(ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])])
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         self._ids[self._used : self._used + len(flat)] = flat

@@ -152,6 +152,26 @@ def linked(sets):
     return {d: find(d) for d in sets}
 
 
+@pytest.mark.parametrize("length", [64, 100])
+def test_packing_cuts_cost_least(length):
+    """Cut places against a plain dynamic programme over all pairs of places."""
+    rng = np.random.default_rng(length)
+    for _ in range(20):
+        ids, closing = rng.integers(0, 30, int(rng.integers(1, 900))), np.arange(30) < rng.integers(2, 8)
+        ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 5), len(ids)))
+        at, penalty = packing.places(ids, ends, closing)
+        assert {*ends.tolist(), *(np.flatnonzero(closing[ids]) + 1).tolist()} <= set(at.tolist()) and (penalty[np.isin(at, ends)] == 0).all()
+        at, penalty = np.arange(1, len(ids) + 1), np.where(np.isin(np.arange(1, len(ids) + 1), at), 1.0, 24.0)
+        padding = lambda n: 0 if n & (n - 1) == 0 else length - n
+        price = dict(zip([0, *at.tolist()], [0.0, *penalty.tolist()], strict=True))
+        best = {0: 0.0}
+        for j in at.tolist():
+            best[j] = price[j] + min(best[i] + padding(j - i) for i in range(max(0, j - length), j))
+        chosen = packing.cuts(at, penalty, length)
+        assert chosen[-1] == len(ids)
+        assert sum(price[b] + padding(b - a) for a, b in itertools.pairwise([0, *chosen])) == best[len(ids)]
+
+
 def test_jaccard_components(spark, docs):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(60)]
