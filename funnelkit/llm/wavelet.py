@@ -49,9 +49,9 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for b in range(bits - 1, -1, -1):
-            one = (now >> b) & 1 != 0
+            one = (now & now.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(one))
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([now[np.flatnonzero(~one)], now[np.flatnonzero(one)]])  # places cost less than masks
         return cls(planes, len(ids))
 
     def _part(self, level: int, a: int, b: int) -> np.ndarray:
@@ -60,14 +60,14 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id in order."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._part(level, 0, -(-self.n // 8)), count=self.n).view(bool)
             before = np.empty_like(now)
-            before[~one] = now[: self.zeros[level]]
-            before[one] = now[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~one)] = now[: self.zeros[level]]
+            before[np.flatnonzero(one)] = now[self.zeros[level] :] | now.dtype.type(1 << (self.bits - 1 - level))
             now = before
-        return now
+        return now.astype(np.uint32, copy=False)
 
     def _rank1(self, level: int, i: int) -> int:
         block = i // BLOCK
