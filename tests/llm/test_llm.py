@@ -469,6 +469,37 @@ def test_language_model(spark, docs):
     assert maxent.score(docs.limit(0)).count() == 0
 
 
+def test_language_model_words_and_histories():
+    index = maxent.Indexer(maxent.Lexicon({maxent.hashed(maxent.END): 0, maxent.hashed(b"the"): 1}, {maxent.hashed(b"the"): 5}))
+    for _ in range(2):  # the second time all words are known
+        texts = [*ODD, None, " \x0b\x0c\r the THE \u00c9\u2003x \x00\x1c", "the"]
+        at, begin = index(texts)
+        want = [[*(t or "").encode().lower().split(), maxent.END] for t in texts]
+        assert np.diff(begin, append=len(at)).tolist() == [len(w) for w in want]
+        flat = [w for x in want for w in x]
+        assert index.h[at].tolist() == [maxent.hashed(w) for w in flat]
+        classes = [0 if w == maxent.END else 1 if w == b"the" else maxent.spelling(w) for w in flat]
+        assert index.cls[at].tolist() == classes
+        assert [None if math.isnan(x) else x for x in index.log[at]] == [math.log10(5.1) if w == b"the" else None for w in flat]
+        past = []
+        for w, b in zip(want, begin, strict=True):
+            own = [maxent.START, maxent.START, *classes[b : b + len(w)]]
+            past += [x * (maxent.CLASSES + 1) + y for x, y in itertools.pairwise(own[:-1])]
+        assert maxent.histories(np.array(classes), begin).tolist() == past
+    assert [len(x) for x in index([])] == [0, 0]
+
+
+def test_language_model_meets_each_history_once(spark, monkeypatch):
+    rows = [(h, c, 1 + h * c % 7) for h in range(60) for c in range(128)]
+    triples = spark.createDataFrame(rows, "history long, class long, n long").repartition(4, "class")
+    seen, real = spark.sparkContext.accumulator(0), maxent.predict
+    monkeypatch.setattr(maxent, "predict", lambda weights, history: (seen.add(len(history)), real(weights, history))[1])
+    monkeypatch.setattr(maxent, "UPDATES", 1)
+    weights = maxent.train(triples)
+    # a batch may end within a history, so a few come twice
+    assert 60 <= seen.value <= 60 + 8 and np.isfinite(weights).all() and weights.any()
+
+
 def test_pipeline_keeps_columns_and_handles_odd_rows(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     clash = {c: i for i, c in enumerate(["toxicity", "Kept", "log_importance", "sample_key", "y", "own_id", "lang", "n_chars"])}
