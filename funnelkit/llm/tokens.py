@@ -12,8 +12,9 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import kept
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 #: Texts that can't be cut at each space: a space before white space or at either end, or a NUL.
 _LOOSE = r"^ | $|\x00| [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_SIGNS = frozenset(".,;:!?|")
+_SIGNS = string.punctuation
 _NUL, _NONE = pa.scalar("\x00", pa.large_string()), pa.scalar("", pa.large_string())
 _CUTS = re.compile(r"(?<!\s)(?= (?!\x00))")
 
@@ -36,11 +37,11 @@ class StretchEncoder:
     ``encode_pieces`` gives the ids of distinct matches of the pattern, each at most once a call.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], entries: int = CACHE_ENTRIES):
         import public_tokenizers
         import regex
 
-        self._pieces, self._findall = encode_pieces, regex.compile(public_tokenizers.PATTERN).findall
+        self._pieces, self._entries, self._findall = encode_pieces, entries, regex.compile(public_tokenizers.PATTERN).findall
         self._clear()
 
     def _clear(self) -> None:
@@ -53,7 +54,7 @@ class StretchEncoder:
         """Keeps the stretches that came again since the last time; the others go."""
         kept_, ids, n, again = [s for s, i in self._slot.items() if self._again[i]], self._ids, self._n, self._again
         at = np.array([self._slot[s] for s in kept_], np.int64)
-        if 2 * len(at) > CACHE_ENTRIES:
+        if 2 * len(at) > self._entries:
             return self._clear()
         n, start = n[at], self._at[at]
         ends = np.cumsum(n)
@@ -67,10 +68,9 @@ class StretchEncoder:
         """Adds stretches in the cache's form: a tail without its space, a head behind a NUL."""
         findall, found = self._findall, []
         for s in new:
-            if s.isalpha():  # a word is one match; so is a sign after it
-                found.append((" " + s,))
-            elif s[-1:] in _SIGNS and s[:-1].isalpha():
-                found.append((" " + s[:-1], s[-1]))
+            word = s.rstrip(_SIGNS)
+            if word.isalpha():  # a word is one match; so are the signs after it
+                found.append((" " + word, s[len(word) :]) if len(word) < len(s) else (" " + s,))
             else:
                 found.append(findall(s[1:] if s[:1] == "\x00" else " " + s))
         number: dict[str, int] = {}
@@ -102,7 +102,7 @@ class StretchEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._n) > CACHE_ENTRIES or self._used > 8 * CACHE_ENTRIES:
+        if len(self._n) > self._entries or self._used > 8 * self._entries:
             self._shrink()
         column = pc.fill_null(pa.array(texts, pa.large_string()), "")
         if pc.any(pc.match_substring_regex(column, _LOOSE)).as_py():
@@ -115,12 +115,13 @@ class StretchEncoder:
             parts = pc.split_pattern(pc.binary_join_element_wise(_NUL, column, _NONE), " ")
         coded = parts.values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [s for s in distinct if s not in self._slot]
-        before = len(self._n)
+        places = np.fromiter(map(self._slot.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(places < 0)
+        self._again[places[places >= 0]] = True
+        new = [distinct[i] for i in unknown.tolist()]
         if new:
+            places[unknown] = np.arange(len(self._n), len(self._n) + len(new))  # as _learn numbers them
             self._learn(new)
-        places = np.fromiter(map(self._slot.__getitem__, distinct), np.int64, len(distinct))
-        self._again[places[places < before]] = True
         slots = places[coded.indices.to_numpy()]
         n = self._n[slots]
         ends = np.cumsum(n)
@@ -160,30 +161,38 @@ class WithAddedTokens:
         return ids, np.diff(np.cumsum(n)[last], prepend=0) + size - 1
 
 
-def library_encoder(path: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def library_encoder(path: str, entries: int = CACHE_ENTRIES) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
     """Encoder by the tokenizers library from a byte-level BPE file, as its ``encode`` without special tokens added.
 
-    The file's added tokens are recognised in texts, as the library does. One encoder serves all tasks of a worker.
+    The file's added tokens are recognised in texts, as the library does. One encoder serves all tasks of a worker;
+    fewer ``entries`` of its cache save memory and cost time.
     """
-    return kept(("encoder", path), lambda: _library_encoder(path))
+    return kept(("encoder", path, entries), lambda: _library_encoder(path, entries))
 
 
-def _library_encoder(path: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def library_tokenizer(path: str):
+    """The library's tokenizer of a file, read once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    tokenize, letters = library.model.tokenize, byte_letters()
+    return kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
+
+
+def _library_encoder(path: str, entries: int) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+    library = library_tokenizer(path)
+    tokenize = library.model.tokenize
+    letters = np.array([ord(x) for _, x in sorted(byte_letters().items())], "<u2")
     added = library.get_added_tokens_decoder()
     if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
         raise ValueError("added tokens that take in what stands beside them are not supported")
 
     def encode(pieces: list[str]) -> list[list[int]]:
-        plain = [
-            "Ġ" + p[1:] if p.isascii() and p[:1] == " " and p[1:].isalpha() else p.encode().decode("latin-1").translate(letters)
-            for p in pieces
-        ]
-        return [[t.id for t in tokenize(p)] for p in plain]
-
-    plain = StretchEncoder(encode)
+        if not pieces:
+            return []
+        _, ends, data = pa.array(pieces, pa.large_string()).buffers()
+        at = np.frombuffer(ends, np.int64)[: len(pieces) + 1].tolist()
+        text = letters[np.frombuffer(data, np.uint8)[: at[-1]]].tobytes().decode("utf-16-le")  # a letter a byte
+        return [[t.id for t in tokenize(text[a:b])] for a, b in pairwise(at)]
+
+    plain = StretchEncoder(encode, entries)
     return WithAddedTokens(plain, {t.content: i for i, t in added.items()}) if added else plain

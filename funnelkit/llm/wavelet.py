@@ -200,7 +200,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
             return out
 
         held = 0
-        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=1 << 21):
+        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=1 << 22):
             new, n = encode(texts)
             ids.append(np.insert(new, np.cumsum(n), np.uint32(end_id)))
             sizes.append(n + 1)

@@ -150,6 +150,54 @@ def test_wavelet_costs_less_than_masks():
     assert min(seconds(lambda: wavelet.WaveletMatrix.build(x).all()) for _ in range(7)) < 0.85 * min(seconds(masks) for _ in range(7))
 
 
+def test_signs_after_words_need_no_pattern_and_stretches_one_look_up(library):
+    class Slots(dict):
+        looked = 0
+
+        def get(self, *key):
+            Slots.looked += 1
+            return dict.get(self, *key)
+
+        def __contains__(self, key):
+            Slots.looked += 1
+            return dict.__contains__(self, key)
+
+        def __getitem__(self, key):
+            Slots.looked += 1
+            return dict.__getitem__(self, key)
+
+    texts = ["a word### grün... it's 'tis rock''n'roll's. a'.'s b'?.s don't!!! x.'s y's,'t", "naïve— “quote”… 日本語。 5% .5 _a_ \x00?! ~", "", "é.\nB c...\n\nD"]
+    encode = tokens._library_encoder(JSON, 1000)
+    plain = getattr(encode, "_encode", encode)
+    ids, n = encode(texts)
+    assert n.tolist() == [len(library(t)) for t in texts] and ids.tolist() == [i for t in texts for i in library(t)]
+    calls, findall = [], plain._findall
+    plain._findall = lambda s: calls.append(s) or findall(s)
+    plain._slot = Slots(plain._slot)
+    ids, n = encode(["So wordy### mores... than (ever!!"])
+    assert ids.tolist() == library("So wordy### mores... than (ever!!")
+    assert calls == ["So", " (ever!!"] and Slots.looked == 5
+
+
+def test_packing_keeps_few_stretches(spark, library, monkeypatch):
+    texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{i}." for k in range(300)) for i in range(40)]
+    encode, most = tokens._library_encoder(JSON, 500), 0
+    plain = getattr(encode, "_encode", encode)
+    for t in texts:
+        assert encode([t])[0].tolist() == library(t)
+        most = max(most, len(plain._slot))
+    assert most <= 500 + 300
+    rows = [(i, t) for i, t in enumerate(texts)]
+    pieces = collections.defaultdict(dict)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), JSON, cache=500, chars=4000).collect():
+        pieces[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    assert {i: [x for s in sorted(p) for x in p[s]] for i, p in pieces.items()} == {i: [*library(t), 0] for i, t in rows}
+    given = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, path, **kw: given.update(kw))
+    corpus_pipeline.pack(spark, None, "")
+    assert given["cache"] < tokens.CACHE_ENTRIES and given["chars"] < packing.CHARS
+
+
 def test_matrix_bpe(spark, docs):
     import tiktoken
 
