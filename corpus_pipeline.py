@@ -42,8 +42,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of documents in sequences, with their ids; in workers that share an executor with what earlier stages left."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000, chars=1 << 19)
 
 
 STAGES = [

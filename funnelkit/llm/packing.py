@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import kept, rows_of, settle, table
-from .tokens import library_encoder
+from .tokens import CACHE_ENTRIES, library_encoder, library_tokenizer
 
 LENGTH, END_ID = 1024, 0
 #: Penalties in padded tokens for a cut at a sentence end within a document, and at any other place.
@@ -31,6 +31,7 @@ SENTENCE, TORN = 1.0, 24.0
 #: Where no sentence ends for so many tokens, places at this step are added.
 STEP = 128
 BLOCK = 1 << 19
+CHARS = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -96,20 +97,22 @@ def cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
 
 def _closing(path: str) -> np.ndarray:
     """Which ids close a sentence: they end in one of ``. ! ?`` or a line break."""
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    vocabulary = library_tokenizer(path).get_vocab(with_added_tokens=True)
     closing = np.zeros(max(vocabulary.values()) + 1, bool)
     closing[[i for t, i in vocabulary.items() if t[-1:] in ".!?Ċ"]] = True
     return closing
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of a document in a sequence; ``ids`` holds the piece's ids (little-endian uint32)."""
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, cache: int = CACHE_ENTRIES, chars: int = CHARS) -> DataFrame:
+    """One row per piece of a document in a sequence; ``ids`` holds the piece's ids (little-endian uint32).
+
+    A worker keeps about ``cache`` stretches of text with their ids and encodes about ``chars`` bytes of text at
+    once; less of both takes less memory and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        encode, closing = library_encoder(tokenizer), kept(("closing", tokenizer), lambda: _closing(tokenizer)).copy()
+        encode, closing = library_encoder(tokenizer, cache), kept(("closing", tokenizer), lambda: _closing(tokenizer)).copy()
         closing[end_id] = False
         sequence = TaskContext.get().partitionId() << 40
         # Of the open stream: document ids, their token counts, how many of their ids were emitted, and ids.
@@ -154,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
             names, sizes, ids = names[gone:], sizes[gone:], ids[chosen[-1] :]
             return out
 
-        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=1 << 21):
+        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=chars):
             new, n = encode(texts)
             sizes = np.concatenate([sizes, n + 1])
             names += doc_ids
