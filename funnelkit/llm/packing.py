@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kept, rows_of, settle, table
+from .common import kept, rows_of, settle, spans, table
 from .tokens import CACHE_ENTRIES, library_encoder, library_tokenizer
 
 LENGTH, END_ID = 1024, 0
@@ -106,7 +106,7 @@ def _closing(path: str) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, cache: int = CACHE_ENTRIES, chars: int = CHARS) -> DataFrame:
     """One row per piece of a document in a sequence; ``ids`` holds the piece's ids (little-endian uint32).
 
-    A worker keeps about ``cache`` stretches of text with their ids and encodes about ``chars`` bytes of text at
+    A worker keeps about ``cache`` stretches of text with their ids and encodes about ``chars`` characters at
     once; less of both takes less memory and more time.
     """
 
@@ -157,11 +157,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
             names, sizes, ids = names[gone:], sizes[gone:], ids[chosen[-1] :]
             return out
 
-        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=chars):
-            new, n = encode(texts)
-            sizes = np.concatenate([sizes, n + 1])
+        for doc_ids, texts in rows_of(batches, "doc_id", "text", chars=CHARS):
+            for a, b in spans(texts, chars):  # where a block ends doesn't depend on it
+                new, n = encode(texts[a:b])
+                sizes = np.concatenate([sizes, n + 1])
+                ids = np.concatenate([ids, np.insert(new, np.cumsum(n), np.uint32(end_id))])
             names += doc_ids
-            ids = np.concatenate([ids, np.insert(new, np.cumsum(n), np.uint32(end_id))])
             if len(ids) >= BLOCK:
                 yield close(False)
         if (out := close(True)) is not None:

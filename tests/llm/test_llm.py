@@ -189,7 +189,10 @@ def test_packing_keeps_few_stretches(spark, library, monkeypatch):
     assert most <= 500 + 300
     rows = [(i, t) for i, t in enumerate(texts)]
     pieces = collections.defaultdict(dict)
-    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), JSON, cache=500, chars=4000).collect():
+    few = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(few, JSON, cache=500, chars=4000).collect()
+    assert got == packing.pack(few, JSON).collect()
+    for r in got:
         pieces[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
     assert {i: [x for s in sorted(p) for x in p[s]] for i, p in pieces.items()} == {i: [*library(t), 0] for i, t in rows}
     given = {}
