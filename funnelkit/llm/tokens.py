@@ -2,8 +2,9 @@
 
 Byte-level BPE with ``public_tokenizers.PATTERN`` never joins a non-space character and a space that
 follows it: no alternative of the pattern matches across that place, and what stands left of it is
-split as if the text ended there. So a text can be cut before every space that follows a non-space
-character, its stretches encoded one by one, and the ids joined. Running prose repeats its words, so
+split as if the text ended there; the same holds before and after a line break between two non-space
+characters. So a text can be cut before every space that follows a non-space character and around such
+line breaks, its stretches encoded one by one, and the ids joined. Running prose repeats its words, so
 a cache of stretches saves most of the work; the ids are those of the whole text.
 """
 
@@ -14,7 +15,7 @@ import os
 import re
 import string
 from collections.abc import Callable
-from itertools import chain, pairwise, repeat
+from itertools import chain, compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,42 @@ from .common import kept
 
 #: Stretches in a worker's cache before it starts anew; a longer stretch is not kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
-#: Texts that can't be cut at each space: a space before white space or at either end, or a NUL.
-_LOOSE = r"^ | $|\x00| [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SIGNS = string.punctuation
-_NUL, _NONE = pa.scalar("\x00", pa.large_string()), pa.scalar("", pa.large_string())
-_CUTS = re.compile(r"(?<!\s)(?= (?!\x00))")
+#: Bytes that are white space by themselves, and first bytes of longer white space.
+_WHITE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_MAYBE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space of two or three bytes ends before places; each has the end of a character before it."""
+    out = np.zeros(len(at), bool)
+    some = np.flatnonzero(data[at - 1] >= 128)
+    z, y, x = (data[np.maximum(0, at[some] - k)] for k in (1, 2, 3))
+    out[some] = (y == 0xC2) & ((z == 0x85) | (z == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    out[some] |= (x == 0xE2) & ((y == 0x80) & ((z <= 0x8A) | np.isin(z, [0xA8, 0xA9, 0xAF])) | (y == 0x81) & (z == 0x9F))
+    return out
+
+
+def stretches(column: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The stretches of texts without nulls, and where each text's begin among them (and the last one's end)."""
+    _, ends, held = column.buffers()
+    bounds = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    first, last = int(bounds[0]), int(bounds[-1])
+    if first == last:
+        return pa.array([], pa.large_string()), np.zeros(len(bounds), np.int64)
+    data = np.frombuffer(held, np.uint8)[first:last]
+    white = _WHITE[data]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (data[1:] == 32) & ~white[:-1]
+    at = np.flatnonzero(begins)
+    begins[at[_after_white(data, at)]] = False
+    lines = np.flatnonzero(data[1:-1] == 10) + 1
+    lines = lines[~white[lines - 1] & ~white[lines + 1] & ~_MAYBE[data[lines + 1]] & ~_after_white(data, lines)]
+    begins[lines] = begins[lines + 1] = True
+    begins[bounds[:-1][bounds[:-1] < last] - first] = True
+    at = np.flatnonzero(begins)
+    parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)) + first), held)
+    return parts, np.searchsorted(at, bounds - first)
 
 
 class StretchEncoder:
@@ -52,8 +84,8 @@ class StretchEncoder:
 
     def _shrink(self) -> None:
         """Keeps the stretches that came again since the last time; the others go."""
-        kept_, ids, n, again = [s for s, i in self._slot.items() if self._again[i]], self._ids, self._n, self._again
-        at = np.array([self._slot[s] for s in kept_], np.int64)
+        at, ids, n = np.fromiter(self._slot.values(), np.int64, len(self._slot)), self._ids, self._n
+        kept_, at = list(compress(self._slot, self._again[at].tolist())), at[self._again[at]]
         if 2 * len(at) > self._entries:
             return self._clear()
         n, start = n[at], self._at[at]
@@ -64,31 +96,41 @@ class StretchEncoder:
         self._ids, self._used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), len(flat)
         self._at, self._n, self._again = ends - n, n, np.zeros(len(n), bool)
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds stretches in the cache's form: a tail without its space, a head behind a NUL."""
-        findall, found = self._findall, []
-        for s in new:
-            word = s.rstrip(_SIGNS)
-            if word.isalpha():  # a word is one match; so are the signs after it
-                found.append((" " + word, s[len(word) :]) if len(word) < len(s) else (" " + s,))
-            else:
-                found.append(findall(s[1:] if s[:1] == "\x00" else " " + s))
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(p, len(number)) for p in chain.from_iterable(found)], np.int64)
-        ids = self._pieces(list(number))
+    def _learn(self, new: pa.LargeStringArray, names: list[str]) -> None:
+        """Adds stretches, given also as a list."""
+        _, ends, held = new.buffers()
+        ends = np.frombuffer(ends, np.int64)[new.offset : new.offset + len(new) + 1]
+        data = np.frombuffer(held, np.uint8)
+        words = pc.ascii_rtrim(new, _SIGNS)
+        word_ends = ends[:-1] + pc.binary_length(words).to_numpy()
+        bare = pc.ascii_ltrim(words, " ").to_numpy(zero_copy_only=False).tolist()
+        # a space and a word is one match; so are the signs after it
+        easy = np.fromiter(map(str.isalpha, bare), bool, len(bare)) & (data[ends[:-1]] == 32)
+        easy[easy] = data[ends[:-1][easy] + 1] != 32
+        signs = easy & (word_ends < ends[1:])
+        halves = np.append(np.stack([ends[:-1], word_ends], 1).ravel(), ends[-1])
+        halves = pa.LargeStringArray.from_buffers(2 * len(new), pa.py_buffer(halves), held).filter(pa.array(np.stack([easy, signs], 1).ravel()))
+        rest = np.flatnonzero(~easy)
+        found = [self._findall(names[i]) for i in rest.tolist()]
+        pieces = pa.concat_arrays([halves, pa.array(chain.from_iterable(found), pa.large_string())]).dictionary_encode()
+        which, pieces = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        order = np.concatenate([np.flatnonzero(easy), rest])  # of the stretches by their pieces
+        per = np.concatenate([1 + signs[easy], np.fromiter(map(len, found), np.int64, len(found))])
+        ids = self._pieces(pieces)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         many, begin = size[which], (np.cumsum(size) - size)[which]
         ends = np.concatenate([[0], np.cumsum(many)])
         flat = ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])]
-        n = np.diff(ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])])
+        bounds = ends[np.concatenate([[0], np.cumsum(per)])]
+        at, n = np.empty((2, len(new)), np.int64)
+        at[order], n[order] = self._used + bounds[:-1], np.diff(bounds)
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         self._ids[self._used : self._used + len(flat)] = flat
-        self._at = np.concatenate([self._at, self._used + np.cumsum(n) - n])
-        self._n = np.concatenate([self._n, n])
+        self._slot.update(zip(names, range(len(self._n), len(self._n) + len(new)), strict=True))
+        self._at, self._n = np.concatenate([self._at, at]), np.concatenate([self._n, n])
         self._again = np.concatenate([self._again, np.zeros(len(n), bool)])
-        self._slot.update(zip(new, range(len(self._n) - len(new), len(self._n)), strict=True))
         self._used += len(flat)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +146,8 @@ class StretchEncoder:
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._n) > self._entries or self._used > 8 * self._entries:
             self._shrink()
-        column = pc.fill_null(pa.array(texts, pa.large_string()), "")
-        if pc.any(pc.match_substring_regex(column, _LOOSE)).as_py():
-            cut = []
-            for t in column.to_numpy(zero_copy_only=False):
-                first, *rest = [s for s in _CUTS.split(t) if s] or [""]
-                cut.append([first[1:] if first[:1] == " " else "\x00" + first, *[s[1:] for s in rest]])
-            parts = pa.array(cut, pa.large_list(pa.large_string()))
-        else:
-            parts = pc.split_pattern(pc.binary_join_element_wise(_NUL, column, _NONE), " ")
-        coded = parts.values.dictionary_encode()
+        parts, offsets = stretches(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+        coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         places = np.fromiter(map(self._slot.get, distinct, repeat(-1)), np.int64, len(distinct))
         unknown = np.flatnonzero(places < 0)
@@ -121,13 +155,13 @@ class StretchEncoder:
         new = [distinct[i] for i in unknown.tolist()]
         if new:
             places[unknown] = np.arange(len(self._n), len(self._n) + len(new))  # as _learn numbers them
-            self._learn(new)
+            self._learn(coded.dictionary.take(pa.array(unknown)), new)
         slots = places[coded.indices.to_numpy()]
         n = self._n[slots]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self._ids[np.repeat(self._at[slots] - ends + n, n) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        bounds = np.concatenate([[0], ends])[offsets]
         for long in [s for s in new if len(s) > CACHE_CHARS]:
             del self._slot[long]
         return ids, np.diff(bounds)

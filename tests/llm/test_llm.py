@@ -179,6 +179,24 @@ def test_signs_after_words_need_no_pattern_and_stretches_one_look_up(library):
     assert calls == ["So", " (ever!!"] and Slots.looked == 5
 
 
+def test_stretches_end_at_line_breaks(library):
+    ends, heads = [f"last{c}." for c in "abcdefghij"], [f"First{c}" for c in "abcdefghij"]
+    texts = [f"so {a}\n{b} on" for a in ends for b in heads]
+    encode = tokens._library_encoder(JSON, 1000)
+    plain, calls = getattr(encode, "_encode", encode), []
+    findall = plain._findall
+    plain._findall = lambda s: calls.append(s) or findall(s)
+    ids, n = encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library(t)] and n.tolist() == [len(library(t)) for t in texts]
+    assert len(plain._slot) == 23 and len(calls) == 12  # not each end with each head: so, on, a line break, ends and heads
+    rng = np.random.default_rng(5)
+    signs = [*"ab'.,!s \n\t\r_1", "  ", "\n\n", "\x00", "\x85", "\xa0", "é", "×", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "”", "日", "\u2080", "😀"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(3000)]
+    ids, n = encode([*texts, None])
+    assert n.tolist() == [*(len(library(t)) for t in texts), 0] and ids.tolist() == [i for t in texts for i in library(t)]
+    assert encode([None, ""])[1].tolist() == [0, 0] and encode([])[1].tolist() == []
+
+
 def test_packing_keeps_few_stretches(spark, library, monkeypatch):
     texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{i}." for k in range(300)) for i in range(40)]
     encode, most = tokens._library_encoder(JSON, 500), 0
